@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bitpack, ctw
+from . import bitpack, ctw, decontaminate, quality
 
 
 def queries() -> dict:
     return {
         "op1_ctw_score": ctw.op1_ctw_score,
         "op2_bitpacked_ids": bitpack.op2_bitpacked_ids,
+        "op6_decontaminate": decontaminate.op6_decontaminate,
+        "op8_quality": quality.op8_quality,
     }
 
 
