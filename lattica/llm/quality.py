@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", bits: i
     chosen = chosen.orderBy("order", "label").limit(max_train)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("order", "label", "text")
     slots = rows.mapInArrow(_extract(bits), "order long, label int, slots binary")
-    found = slots.groupBy(F.lit(0)).applyInArrow(_fit(bits, epochs), "weights binary").collect()
+    found = slots.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(_fit(bits, epochs), "weights binary").collect()
     return np.frombuffer(found[0][0], np.float32) if found else np.zeros((1 << bits) + 1, np.float32)
 
 
