@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import bitpack, ctw, decontaminate, quality
+from . import bestfit, bitpack, ctw, decontaminate, merkle, quality, vectorbins
 
 
 def queries() -> dict:
     return {
         "op1_ctw_score": ctw.op1_ctw_score,
         "op2_bitpacked_ids": bitpack.op2_bitpacked_ids,
+        "op3_vector_shards": vectorbins.op3_vector_shards,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op8_quality": quality.op8_quality,
+        "op9_warc_fixity": merkle.op9_warc_fixity,
+        "op10_bestfit_pack": bestfit.op10_bestfit_pack,
     }
 
 
