@@ -94,9 +94,9 @@ class Shard:
 
 # ---------------------------------------------------------------- tokens
 
-_CACHE: dict[tuple[str, bool], dict[bytes, bytes]] = {}
+_CACHE: dict[tuple[str, bool], tuple[dict[bytes, bytes], list]] = {}
 _TOKENIZERS: dict[str, object] = {}
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 
 
 def tokenizer(path: str):
@@ -111,23 +111,60 @@ class Words:
     """Token ids of texts by a tokenizer that drops white space and never joins across it.
 
     Then the ids of a text are those of its ASCII-space separated words in turn, and each
-    word is encoded once and kept. The cache only saves work and is cleared when full.
+    word is encoded once and kept. New words that are letters, but for closing stops or commas
+    (which such a tokenizer parts from letters), are encoded many at a time; their ids are
+    told apart by the tokens that end a word, and encoded singly where that doesn't come out
+    even. The cache only saves work and is cleared when full.
     """
 
-    def __init__(self, path: str, by_words: bool = True):
+    def __init__(self, path: str, by_words: bool = True, suffix: str = "</w>"):
         self.tokenizer, self.by_words = tokenizer(path), by_words
-        self.cache = _CACHE.setdefault((path, by_words), {})
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        new = list({w for words in texts for w in words if w not in self.cache})
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = list({w for words in texts for w in words})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
+        self.cache, self.ends = _CACHE.setdefault((path, by_words), ({}, []))
+        if by_words and not self.ends:
+            ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+            self.ends.append(ends)
+
+    def single(self, words: list[bytes]) -> None:
+        for i in range(0, len(words), 20_000):
+            part = words[i : i + 20_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
                 self.cache[w] = np.array(e.ids, "<u4").tobytes()
 
+    def letters(self, words: list[bytes], each: int = 512) -> None:
+        groups = [words[i : i + each] for i in range(0, len(words), each)]
+        for i in range(0, len(groups), 64):
+            part = groups[i : i + 64]
+            for ws, e in zip(part, self.tokenizer.encode_batch_fast([b" ".join(ws).decode() for ws in part], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                at = (4 * (np.flatnonzero(self.ends[0][ids]) + 1)).tolist()
+                if len(at) != len(ws) or at[-1] != 4 * len(ids):
+                    self.single(ws)
+                    continue
+                raw = ids.tobytes()
+                self.cache.update(zip(ws, [raw[a:b] for a, b in zip([0, *at], at)]))
+
+    def learn(self, texts: list[list[bytes]]) -> None:
+        cache = self.cache
+        new = {w for words in texts for w in words if w not in cache}
+        if len(cache) + len(new) > CACHE_WORDS:
+            cache.clear()
+            new = {w for words in texts for w in words}
+        parts, single, cores = [], set(), set()
+        for w in new:
+            core = w.rstrip(b".,")
+            if core.isalpha() or core.decode().isalpha():
+                low = core.lower()
+                parts.append((w, low, w[len(core) :]))
+                cores.add(low)
+            else:
+                single.add(w)
+        single.update({tail for _, _, tail in parts if tail})
+        self.single([w for w in single if w not in cache])
+        self.letters([w for w in cores if w not in cache])
+        for w, core, tail in parts:
+            cache[w] = cache[core] + cache[tail] if tail else cache[core]
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian uint32 bytes."""
         if not self.by_words:

@@ -9,7 +9,7 @@ one 0xFF, which UTF-8 never uses; the end is coded, so scores are probabilities
 Nothing is gathered by document or on one machine: documents are dealt into chunks, a chunk
 sends the distinct byte strings of ``depth + 1`` bytes it holds (with training counts) to
 buckets keyed by the last two context bytes, a bucket builds the part of the tree below its
-two-byte contexts and answers with log-probabilities, and the chunk adds them up. Only the
+two-byte contexts and answers with log-probabilities (as 32-bit floats), and the chunk adds them up. Only the
 65,536 possible nodes of depths 0 and 1 go through the driver.
 
 Defined cases: null text is empty and still codes its end; a node without training data
@@ -25,6 +25,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -222,6 +223,30 @@ def log10_probability(keys: np.ndarray, tree: Tree, top: np.ndarray) -> np.ndarr
 
 # ---------------------------------------------------------------- exchange between chunks and buckets
 
+def squeeze(a: np.ndarray, ordered: bool = False) -> bytes:
+    """An unsigned array as compressed byte planes; of differences where it is in order."""
+    if ordered:
+        a = np.diff(a, prepend=a.dtype.type(0))
+    planes = a.view(np.uint8).reshape(len(a), a.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def expand(data: bytes, kind, ordered: bool = False) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    size = np.dtype(kind).itemsize
+    a = np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
+    return np.cumsum(a, dtype=kind) if ordered else a
+
+
+def pack_words(words: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"\n".join(words))
+
+
+def unpack_words(data: bytes) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    return raw.split(b"\n") if raw else []
+
+
 def gram_bucket(keys: np.ndarray, depth: int, buckets: int) -> np.ndarray:
     suffix = (keys >> np.uint64(8 * (depth - 1))).astype(np.uint64)
     return ((suffix * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
@@ -271,10 +296,10 @@ def _send(depth: int, buckets: int, per_salt: int):
         rows = []
         keys, counts = gram_counts(texts, train, depth)
         for b, at in _split(keys, depth, buckets):
-            rows.append((chunk, b, 0, chunk // per_salt, U.blob(keys[at]), U.blob(counts[at])))
+            rows.append((chunk, b, 0, chunk // per_salt, squeeze(keys[at], True), squeeze(counts[at].astype(np.uint64))))
         known, others = word_counts(texts, train)
         for b, words in by_bucket(list(known.keys() | others), buckets).items():
-            rows.append((chunk, b, 1, chunk // per_salt, b"\n".join(words), U.blob(np.array([known.get(w, 0) for w in words], np.int64))))
+            rows.append((chunk, b, 1, chunk // per_salt, pack_words(words), squeeze(np.array([known.get(w, 0) for w in words], np.uint64))))
         return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), PART, strict=True)], schema=PART)
 
     return send
@@ -282,15 +307,15 @@ def _send(depth: int, buckets: int, per_salt: int):
 
 def _sum_parts(kind: int, keys: list[bytes], counts: list[bytes]) -> tuple[bytes, bytes, float, float]:
     if kind == 0:
-        k, c = merge_counts([np.frombuffer(x, np.uint64) for x in keys], [np.frombuffer(x, np.int64) for x in counts])
-        return U.blob(k[c > 0]), U.blob(c[c > 0]), 0.0, 0.0
+        k, c = merge_counts([expand(x, np.uint64, True) for x in keys], [expand(x, np.uint64).astype(np.int64) for x in counts])
+        return squeeze(k[c > 0], True), squeeze(c[c > 0].astype(np.uint64)), 0.0, 0.0
     total: Counter = Counter()
     for ks, cs in zip(keys, counts, strict=True):
-        for w, c in zip(ks.split(b"\n"), np.frombuffer(cs, np.int64).tolist(), strict=True):
+        for w, c in zip(unpack_words(ks), expand(cs, np.uint64).tolist(), strict=True):
             if c:
                 total[w] += c
     words = sorted(total)
-    return b"\n".join(words), U.blob(np.array([total[w] for w in words], np.int64)), float(sum(total.values())), float(len(words))
+    return pack_words(words), squeeze(np.array([total[w] for w in words], np.uint64)), float(sum(total.values())), float(len(words))
 
 
 def _stream_sum(kind: int, batches_) -> tuple[bytes, bytes, float, float]:
@@ -298,7 +323,7 @@ def _stream_sum(kind: int, batches_) -> tuple[bytes, bytes, float, float]:
     held: tuple | None = None
     for b in batches_:
         ks, cs = b.column("keys").to_pylist(), b.column("counts").to_pylist()
-        if held and (held[0] or held[1]):
+        if held:
             ks.append(held[0])
             cs.append(held[1])
         held = _sum_parts(kind, ks, cs)
@@ -311,7 +336,7 @@ def _model(depth: int):
         k, c, n, v = _stream_sum(kind, it)
         rows = [(bucket, kind, k, c, n, v)]
         if kind == 0:
-            tree = Tree(np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64), depth, 2)
+            tree = Tree(expand(k, np.uint64, True), expand(c, np.uint64), depth, 2)
             node, w, m, m1 = tree.top()
             for part in range(16):  # by the context's high half, to be summed over buckets
                 at = (node >> np.uint64(12)) == part
@@ -340,16 +365,15 @@ def _answer(depth: int, top: np.ndarray):
         kind = key[1].as_py()
         vals = []
         keys = asked["keys"].to_pylist()
-        mk, mc = (model["keys"][0].as_py(), model["counts"][0].as_py()) if model.num_rows else (b"", b"")
+        mk, mc = (model["keys"][0].as_py(), model["counts"][0].as_py()) if model.num_rows else (squeeze(np.zeros(0, np.uint64)) if kind == 0 else pack_words([]), squeeze(np.zeros(0, np.uint64)))
         if kind == 0:
-            tree = Tree(np.frombuffer(mk, np.uint64), np.frombuffer(mc, np.int64), depth, 2)
-            lists = [np.frombuffer(x, np.uint64) for x in keys]
-            every = np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.uint64)
-            logp = log10_probability(every, tree, top)
-            vals = [U.blob(logp[np.searchsorted(every, x)]) for x in lists]
+            tree = Tree(expand(mk, np.uint64, True), expand(mc, np.uint64), depth, 2)
+            every = np.unique(np.concatenate([expand(x, np.uint64, True) for x in keys]))
+            logp = log10_probability(every, tree, top).astype(np.float32)
+            vals = [U.blob(logp[np.searchsorted(every, expand(x, np.uint64, True))]) for x in keys]
         else:
-            known = dict(zip(mk.split(b"\n"), np.frombuffer(mc, np.int64).tolist(), strict=False)) if mc else {}
-            vals = [U.blob(np.array([known.get(w, 0) for w in x.split(b"\n")], np.int64)) for x in keys]
+            known = dict(zip(unpack_words(mk), expand(mc, np.uint64).tolist(), strict=True))
+            vals = [squeeze(np.array([known.get(w, 0) for w in unpack_words(x)], np.uint64)) for x in keys]
         return pa.table({"chunk": asked["chunk"], "bucket": asked["bucket"], "kind": asked["kind"], "vals": pa.array(vals, pa.binary())})
 
     return answer
@@ -364,7 +388,7 @@ def _score(depth: int, buckets: int, n_train: float, vocabulary: float):
         keys, _ = gram_counts(texts, train, depth)
         logp = np.zeros(len(keys))
         for b, at in _split(keys, depth, buckets):
-            logp[at] = np.frombuffer(got[0, b], np.float64)
+            logp[at] = np.frombuffer(got[0, b], np.float32)
         total = np.zeros(len(texts))
         for i, lengths, k in batches(texts, depth):
             both = (k << np.uint64(16)) | np.repeat(np.arange(len(lengths), dtype=np.uint64), lengths)
@@ -376,7 +400,7 @@ def _score(depth: int, buckets: int, n_train: float, vocabulary: float):
         known, others = word_counts(texts, train)
         count: dict[bytes, int] = {}
         for b, words in by_bucket(list(known.keys() | others), buckets).items():
-            count.update(zip(words, np.frombuffer(got[1, b], np.int64).tolist(), strict=True))
+            count.update(zip(words, expand(got[1, b], np.uint64).tolist(), strict=True))
         part = {w: math.log10((c + 0.1) / denominator) for w, c in count.items()}
         n_tokens, n_known, base = [], [], []
         for text in texts:
@@ -392,7 +416,7 @@ def _score(depth: int, buckets: int, n_train: float, vocabulary: float):
     return score
 
 
-def score_documents(docs: DataFrame, *, depth: int = 5, chunk_bytes: int = 16 << 20, least_chunks: int = 96, buckets: int = 96, chunks_per_salt: int = 64) -> DataFrame:
+def score_documents(docs: DataFrame, *, depth: int = 5, chunk_bytes: int = 16 << 20, least_chunks: int = 40, buckets: int = 96, chunks_per_salt: int = 64) -> DataFrame:
     """Scores ``docs(doc_id, text, train)``: base (word counts) and context-tree log10 probabilities.
 
     ``depth`` is at most 5 (a key must fit beside a document number in 64 bits). ``chunks_per_salt``
@@ -423,7 +447,7 @@ def score_documents(docs: DataFrame, *, depth: int = 5, chunk_bytes: int = 16 <<
     salts = -(-chunks // chunks_per_salt)
     spread = model.where("kind < 2").select("bucket", "kind", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "keys", "counts")
     on = ("bucket", "kind", "salt")
-    answers = parts.groupBy(*on).cogroup(spread.groupBy(*on)).applyInArrow(_answer(depth, top), ANSWER_DDL)
+    answers = parts.select("chunk", *on, "keys").groupBy(*on).cogroup(spread.groupBy(*on)).applyInArrow(_answer(depth, top), ANSWER_DDL)
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(depth, buckets, n, v), SCORE_DDL)
 
 
