@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bestfit, bitpack, ctw, decontaminate, merkle, quality, vectorbins
+from . import bestfit, bitpack, chat, ctw, cws, decontaminate, merkle, quality, vectorbins
 
 
 def queries() -> dict:
@@ -10,7 +10,9 @@ def queries() -> dict:
         "op1_ctw_score": ctw.op1_ctw_score,
         "op2_bitpacked_ids": bitpack.op2_bitpacked_ids,
         "op3_vector_shards": vectorbins.op3_vector_shards,
+        "op4_cws_fingerprint": cws.op4_cws_fingerprint,
         "op6_decontaminate": decontaminate.op6_decontaminate,
+        "op7_chat_windows": chat.op7_chat_windows,
         "op8_quality": quality.op8_quality,
         "op9_warc_fixity": merkle.op9_warc_fixity,
         "op10_bestfit_pack": bestfit.op10_bestfit_pack,
