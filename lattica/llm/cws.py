@@ -23,6 +23,7 @@ from pyspark.sql.window import Window
 
 from . import _util as U
 
+NULL_ID = -(1 << 63)
 BINS = 128  # a power of two, at most 128: 7 bits of the sort key
 
 
@@ -76,7 +77,7 @@ def followers(docs: DataFrame) -> DataFrame:
     The last is followed by the first. Only ids and lengths are ordered, by range.
     """
     keys = docs.groupBy("_id", "_h").agg(F.max("_n").alias("_n"))
-    order = [F.col("_id").desc_nulls_last(), F.col("_h").desc()]
+    order = [F.col("_id").desc(), F.col("_h").desc()]
     at = U.materialize(U.with_rank(keys, order), "order").select("_id", "_h", "_n", "rank")
     last = at.agg(F.max("rank")).first()[0] or 0
     before = at.select((F.when(F.col("rank") == last, -1).otherwise(F.col("rank")) + 1).alias("rank"), F.col("_id").alias("_to_id"), F.col("_h").alias("_to_h"), F.floor(F.col("_n") / 2).cast("int").alias("_need"))
@@ -86,20 +87,22 @@ def followers(docs: DataFrame) -> DataFrame:
 def compare(docs: DataFrame) -> DataFrame:
     """Fingerprints of ``docs(doc_id, text)``, of each edited text and the likeness to it and the next document."""
     text = F.coalesce("text", F.lit(""))
-    base = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h"), text.alias("_text"))
+    # keys are never null, so that equality joins, the window and the exchanges of texts agree
+    key = [F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.xxhash64("text", F.isnull("doc_id")).alias("_h")]
+    base = docs.select(*key, F.isnull("doc_id").alias("_null"), text.alias("_text"))
     follow = followers(base.select("_id", "_h", F.length("_text").alias("_n")))
     signed = base.withColumn("_sig", signature("_text"))
-    first = F.row_number().over(Window.partitionBy("_id", "_h").orderBy(F.lit(0)))
-    same = lambda a, b: a["_id"].eqNullSafe(b["_id"]) & (a["_h"] == b["_h"])
-    giver = signed.withColumn("_k", first).where("_k = 1").drop("_k")
-    given = giver.join(follow, same(giver, follow)).select(
-        F.col("_to_id").alias("_gid"), F.col("_to_h").alias("_gh"), F.expr("substring(_text, 1, _need)").alias("_put"), F.col("_sig").alias("_next")
+    # the first of repeated rows; lag keeps the exchange below it the one that is used again
+    first = F.lag(F.lit(1)).over(Window.partitionBy("_id", "_h").orderBy("_null")).isNull()
+    giver = signed.withColumn("_k", first).where("_k").drop("_k")
+    given = giver.join(follow, ["_id", "_h"]).select(
+        F.col("_to_id").alias("_id"), F.col("_to_h").alias("_h"), F.expr("substring(_text, 1, _need)").alias("_put"), F.col("_sig").alias("_next")
     )
-    both = signed.join(given, signed["_id"].eqNullSafe(given["_gid"]) & (signed["_h"] == given["_gh"]))
+    both = signed.join(given, ["_id", "_h"])
     edited = both.withColumn("_edit", F.expr("concat(left(_text, length(_text) - length(_text) div 2), _put)"))
     edited = edited.withColumn("_edit_sig", signature("_edit"))
     return edited.select(
-        F.col("_id").alias("doc_id"),
+        F.when(~F.col("_null"), F.col("_id")).alias("doc_id"),
         F.length("_text").cast("long").alias("n_chars"),
         F.sha2("_edit", 256).alias("edited_sha256"),
         fingerprint("_sig").alias("fingerprint"),
