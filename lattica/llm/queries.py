@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bestfit, bitpack, chat, ctw, cws, decontaminate, merkle, quality, vectorbins
+from . import bestfit, bitpack, chat, ctw, cws, decontaminate, merkle, ngram_join, quality, vectorbins
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_bitpacked_ids": bitpack.op2_bitpacked_ids,
         "op3_vector_shards": vectorbins.op3_vector_shards,
         "op4_cws_fingerprint": cws.op4_cws_fingerprint,
+        "op5_ngram_jaccard": ngram_join.op5_ngram_jaccard,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op7_chat_windows": chat.op7_chat_windows,
         "op8_quality": quality.op8_quality,
