@@ -175,6 +175,27 @@ def flood(points: list[np.ndarray], sizes: np.ndarray, num: int, den: int, verif
     return out
 
 
+def linked(points: list[np.ndarray], sizes: np.ndarray, num: int, den: int, verify=None) -> list[list[int]]:
+    """``flood`` over entries of all sizes. Only sets of similar size can link, so there is a tree
+    for each number of coordinates, with the sets of twice as many that are small enough to link there."""
+    wide = np.fromiter(map(len, points), np.int64, len(points))
+    kinds = np.unique(wide)
+    if len(kinds) == 1:
+        return flood(points, sizes, num, den, verify)
+    forest = Forest(len(points))
+    for g in kinds.tolist():
+        own = wide == g
+        at = np.flatnonzero(own | (wide > g) & (num * sizes <= den * sizes[own].max()))
+        test = None if verify is None else lambda i, found, at=at: verify(int(at[i]), at[found])
+        for group in flood([points[i] for i in at.tolist()], sizes[at], num, den, test) if len(at) > 1 else ():
+            for i in group[1:]:
+                forest.join(int(at[group[0]]), int(at[i]))
+    out: dict[int, list[int]] = {}
+    for i in range(len(points)):
+        out.setdefault(forest.find(i), []).append(i)
+    return [g for g in out.values() if len(g) > 1]
+
+
 class Forest:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -208,7 +229,7 @@ def _facts(width: int):
                 s = shingles(t, width)
                 n.append(len(s))
                 sid.append(set_id(s) if len(s) else None)
-                points.append(pack_point(point(s, 16, 32, 256)) if len(s) else None)
+                points.append(pack_point(point(s, 16, 32, 512)) if len(s) else None)
                 held.append(s)
             if held:
                 sketch += np.bincount((np.concatenate(held) >> np.uint64(20) & mask).astype(np.int64), minlength=len(sketch))
@@ -340,7 +361,7 @@ def _candidates(num: int, den: int, most: int):
                     if forest.find(a) != forest.find(b) and (num + den) * int(np.minimum(fold(of(a), g := min(len(of(a)), len(of(b)))), fold(of(b), g)).sum()) >= num * int(size[a] + size[b]):
                         forest.join(a, b)
                 elif len(part) > 2:
-                    for g in flood([of(m) for m in part], size[part], num, den):
+                    for g in linked([of(m) for m in part], size[part], num, den):
                         for m in g[1:]:
                             forest.join(part[g[0]], part[m])
         groups: dict[int, list[int]] = {}
@@ -378,7 +399,7 @@ def _verified(width: int, num: int, den: int):
                 return den * both >= num * (len(own) + lens - both)
 
             sizes = np.array([len(a) for a in arrays])
-            out.append(_stars(flood([point(a, 8, 32, 4096) for a in arrays], sizes, num, den, verify), ids))
+            out.append(_stars(linked([point(a, 8, 32, 4096) for a in arrays], sizes, num, den, verify), ids))
         return pa.concat_tables(out) if out else _stars([], [])
 
     return run
