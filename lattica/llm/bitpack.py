@@ -96,7 +96,7 @@ class Shard:
 
 _CACHE: dict[tuple[str, bool], tuple[dict[bytes, bytes], list]] = {}
 _TOKENIZERS: dict[str, object] = {}
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_500_000
 
 
 def tokenizer(path: str):
