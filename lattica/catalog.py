@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from .plans import models, oracle
+
 
 def entry(spark, sf_dir):
-    raise NotImplementedError
+    """A trained map, every sample's best neuron, and the quantisation error by neuron."""
+    return models.flagship(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {**oracle.QUERIES, **models.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**oracle.SQL, **models.SQL}
