@@ -53,7 +53,7 @@ def archive(pages: DataFrame, segment: int = SEGMENT) -> DataFrame:
     placed = placed.withColumn("start", F.coalesce(F.sum("length").over(before), F.lit(0)))
     # equal (page_id, digest) rows are interchangeable: one copy of the record serves all of them
     one = rec.groupBy("digest").agg(F.first("record").alias("record"))
-    return U.materialize(placed.join(one, "digest").select("position", "page_id", "segment", "start", "length", "record"), "warc")
+    return U.materialize(placed.join(one, "digest").select("position", "page_id", "segment", "start", "length", "record"), "warc", "zstd")
 
 
 def leaves(stored: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def damaged(stored: DataFrame) -> DataFrame:
     a lost last byte, a lost record."""
     fault = F.crc32(F.col("position").cast("string").cast("binary")) % 97
     record = F.when(fault == 1, F.concat(F.expr("substring(record, 1, octet_length(record) - 5)"), F.lit(b"!"), F.expr("substring(record, octet_length(record) - 3, 4)"))).when(fault == 2, F.expr("substring(record, 1, octet_length(record) - 1)")).otherwise(F.col("record"))
-    return U.materialize(stored.withColumn("record", record).where(fault != 3), "warc-replica")
+    return U.materialize(stored.withColumn("record", record).where(fault != 3), "warc-replica", "zstd")
 
 
 def op9_warc_fixity(spark, sf_dir: str) -> DataFrame:
