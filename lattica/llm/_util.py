@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,6 +53,16 @@ def utf8(col: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in col.cast(pa.binary()).to_pylist()]
 
 
+def text_slices(col: pa.Array, most: int = 2 << 20) -> Iterator[list[bytes]]:
+    """The bytes of a string column in lists of about ``most`` bytes, at least one text each."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(col), 0), np.int64))
+    i = 0
+    while i < len(col):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+        yield utf8(col.slice(i, j - i))
+        i = j
+
+
 def train_flag(remainders: int, left_out: int):
     """True for rows to learn from: crc32 of doc_id as text, null counted as empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % remainders != left_out

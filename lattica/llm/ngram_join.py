@@ -37,8 +37,7 @@ from . import _util as U
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 SKETCH_BITS, SLICES = 18, 16
-_CODES: dict[bytes, int] = {}
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 FAN = 16
 
 
@@ -50,20 +49,26 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def codes(words: list[bytes]) -> np.ndarray:
-    """64-bit word hashes. The cache only saves work."""
-    try:
-        return np.fromiter(map(_CODES.__getitem__, words), np.uint64, len(words))
-    except KeyError:
-        if len(_CODES) > CACHE_WORDS:
-            _CODES.clear()
-        for w in set(words):
-            if w not in _CODES:
-                _CODES[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(_CODES.__getitem__, words), np.uint64, len(words))
+class Words:
+    """64-bit word hashes, kept for a task; the cache only saves work."""
 
+    def __init__(self):
+        self.codes: dict[bytes, int] = {}
 
-def shingles(text: bytes, width: int) -> np.ndarray:
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        held = self.codes
+        try:
+            return np.fromiter(map(held.__getitem__, words), np.uint64, len(words))
+        except KeyError:
+            if len(held) > CACHE_WORDS:
+                held.clear()
+            for w in set(words):
+                if w not in held:
+                    held[w] = xxhash.xxh64_intdigest(w)
+            return np.fromiter(map(held.__getitem__, words), np.uint64, len(words))
+
+
+def shingles(text: bytes, width: int, codes: Words) -> np.ndarray:
     """The sorted distinct shingles of a text."""
     words = text.lower().split()
     if not words:
@@ -220,18 +225,15 @@ FACTS = "doc_id long, n_shingles long, sid long, point binary, slice int, sketch
 
 def _facts(width: int):
     def facts(batches):
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch, codes = np.zeros(1 << SKETCH_BITS, np.int64), Words()
         mask = np.uint64(len(sketch) - 1)
         for b in batches:
             n, sid, points = [], [], []
-            held = []
-            for t in U.utf8(b.column("text")):
-                s = shingles(t, width)
-                n.append(len(s))
-                sid.append(set_id(s) if len(s) else None)
-                points.append(pack_point(point(s, 16, 32, 512)) if len(s) else None)
-                held.append(s)
-            if held:
+            for texts in U.text_slices(b.column("text")):
+                held = [shingles(t, width, codes) for t in texts]
+                n += [len(s) for s in held]
+                sid += [set_id(s) if len(s) else None for s in held]
+                points += [pack_point(point(s, 16, 32, 512)) if len(s) else None for s in held]
                 sketch += np.bincount((np.concatenate(held) >> np.uint64(20) & mask).astype(np.int64), minlength=len(sketch))
             none = [None] * len(n)
             yield _facts_batch(b.column("doc_id"), n, sid, points, none, none)
@@ -267,6 +269,7 @@ def _prefixes(sketch, width: int, num: int, den: int, buckets: int, flush: int =
     def run(batches):
         weights = sketch.value
         seen: set[int] = set()
+        codes = Words()
         tokens, sids, n = [], [], 0
 
         def send():
@@ -279,8 +282,8 @@ def _prefixes(sketch, width: int, num: int, den: int, buckets: int, flush: int =
             return pa.RecordBatch.from_arrays([pa.array(b_, pa.int32()), pa.array(t_, pa.binary()), pa.array(s_, pa.binary())], names=["bucket", "tokens", "sids"])
 
         for b in batches:
-            for t in U.utf8(b.column("text")):
-                s = shingles(t, width)
+            for t in (t for texts in U.text_slices(b.column("text")) for t in texts):
+                s = shingles(t, width, codes)
                 if not len(s) or (sid := set_id(s)) in seen:
                     continue
                 seen.add(sid)
@@ -377,10 +380,11 @@ def _verified(width: int, num: int, den: int):
 
     def run(table):
         sets: dict[int, dict[int, np.ndarray]] = {}
+        codes = Words()
         for comp, sid, text in zip(table["comp"].to_pylist(), table["sid"].to_pylist(), U.utf8(table["text"]), strict=True):
             held = sets.setdefault(comp, {})
             if sid not in held:
-                s = shingles(text, width)
+                s = shingles(text, width, codes)
                 if len(s) and set_id(s) == sid:  # another text with a repeated doc_id is no member
                     held[sid] = s
         out = []

@@ -27,33 +27,37 @@ from pyspark.sql import types as T
 from . import _util as U
 
 TOKEN = re.compile(rb"[a-z0-9\x80-\xff]+|[^a-z0-9\x80-\xff\x00-\x20]+")
-_CODES: dict[bytes, int] = {}
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
-def token_codes(tokens: list[bytes]) -> np.ndarray:
-    """A 32-bit code for each token. The cache only saves work."""
-    if len(_CODES) > CACHE_WORDS:
-        _CODES.clear()
-    get, new = _CODES.get, zlib.crc32
-    try:
-        return np.fromiter(map(_CODES.__getitem__, tokens), np.uint64, len(tokens))
-    except KeyError:
-        for t in set(tokens):
-            if get(t) is None:
-                _CODES[t] = new(t)
-        return np.fromiter(map(_CODES.__getitem__, tokens), np.uint64, len(tokens))
+class Tokens:
+    """32-bit token codes, kept for a task; the cache only saves work."""
+
+    def __init__(self):
+        self.codes: dict[bytes, int] = {}
+
+    def __call__(self, tokens: list[bytes]) -> np.ndarray:
+        held = self.codes
+        try:
+            return np.fromiter(map(held.__getitem__, tokens), np.uint64, len(tokens))
+        except KeyError:
+            if len(held) > CACHE_WORDS:
+                held.clear()
+            for t in set(tokens):
+                if t not in held:
+                    held[t] = zlib.crc32(t)
+            return np.fromiter(map(held.__getitem__, tokens), np.uint64, len(tokens))
 
 
 SAME = np.uint64(0x3D)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def features(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
+def features(texts: list[bytes], bits: int, codes: Tokens | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Slots of all n-grams, text after text (tokens, then pairs), and the number of each text's."""
     tokens = [TOKEN.findall(t.lower()) for t in texts]
     n = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    code = token_codes([t for ts in tokens for t in ts])
+    code = (codes or Tokens())([t for ts in tokens for t in ts])
     first = np.zeros(len(code), bool)
     starts = np.cumsum(n) - n
     first[starts[n > 0]] = True
@@ -106,8 +110,8 @@ def fit(rows: list[tuple[np.ndarray, int]], bits: int, epochs: int) -> np.ndarra
     return model.weights().astype(np.float32)
 
 
-def logits(texts: list[bytes], weights: np.ndarray, bits: int) -> np.ndarray:
-    slots, n = features(texts, bits)
+def logits(texts: list[bytes], weights: np.ndarray, bits: int, codes: Tokens | None = None) -> np.ndarray:
+    slots, n = features(texts, bits, codes)
     total = np.zeros(len(texts))
     some = n > 0
     if some.any():
@@ -117,8 +121,9 @@ def logits(texts: list[bytes], weights: np.ndarray, bits: int) -> np.ndarray:
 
 def _extract(bits: int):
     def extract(batches):
+        codes = Tokens()
         for b in batches:
-            slots = [features([t], bits)[0].astype("<u4").tobytes() for t in U.utf8(b.column("text"))]
+            slots = [features([t], bits, codes)[0].astype("<u4").tobytes() for texts in U.text_slices(b.column("text")) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column("order"), b.column("label"), pa.array(slots, pa.binary())], names=["order", "label", "slots"])
 
     return extract
@@ -146,11 +151,11 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", bits: i
 
 def _score(weights, bits: int, keep: list[str]):
     def run(batches):
-        w = weights.value
+        w, codes = weights.value, Tokens()
         for b in batches:
-            texts, score = U.utf8(b.column("text")), []
-            for i in range(0, len(texts), 256):
-                score.append(1 / (1 + np.exp(-np.clip(logits(texts[i : i + 256], w, bits), -35, 35))))
+            score = []
+            for texts in U.text_slices(b.column("text"), 1 << 20):
+                score.append(1 / (1 + np.exp(-np.clip(logits(texts, w, bits, codes), -35, 35))))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(np.concatenate(score or [np.zeros(0)]))], names=[*keep, "_score"])
 
     return run
