@@ -363,7 +363,8 @@ def _sum_top(key, it):
 def _answer(depth: int, top: np.ndarray):
     def answer(key, asked, model):
         kind = key[1].as_py()
-        vals = []
+        if not asked.num_rows:  # a bucket of the model that no chunk of this salt asks for
+            return pa.table({"chunk": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "kind": pa.array([], pa.int32()), "vals": pa.array([], pa.binary())})
         keys = asked["keys"].to_pylist()
         mk, mc = (model["keys"][0].as_py(), model["counts"][0].as_py()) if model.num_rows else (squeeze(np.zeros(0, np.uint64)) if kind == 0 else pack_words([]), squeeze(np.zeros(0, np.uint64)))
         if kind == 0:
