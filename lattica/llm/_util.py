@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import tempfile
 import uuid
@@ -118,6 +120,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def release() -> None:
+    """Gives a worker's freed memory back to the system, so that the next stage finds it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def by_batches(f):
     """``f(key, batches)`` with the annotations that make Spark pass a group batch by batch."""
 

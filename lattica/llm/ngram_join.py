@@ -241,6 +241,8 @@ def _facts(width: int):
         parts = [sketch[i * step : (i + 1) * step].astype("<u4").tobytes() for i in range(SLICES)]
         none = [None] * SLICES
         yield _facts_batch(pa.array(none, pa.int64()), none, none, none, list(range(SLICES)), parts)
+        codes = sketch = parts = None
+        U.release()
 
     return facts
 
@@ -296,6 +298,8 @@ def _prefixes(sketch, width: int, num: int, den: int, buckets: int, flush: int =
                     tokens, sids, n = [], [], 0
         if n:
             yield send()
+        tokens = sids = seen = codes = None
+        U.release()
 
     return run
 
@@ -370,7 +374,10 @@ def _candidates(num: int, den: int, most: int):
         groups: dict[int, list[int]] = {}
         for m in range(len(ids)):
             groups.setdefault(forest.find(m), []).append(m)
-        return _stars([g for g in groups.values() if len(g) > 1], ids.tolist())
+        out = _stars([g for g in groups.values() if len(g) > 1], ids.tolist())
+        del points, groups, forest, packed
+        U.release()
+        return out
 
     return run
 
@@ -404,6 +411,8 @@ def _verified(width: int, num: int, den: int):
 
             sizes = np.array([len(a) for a in arrays])
             out.append(_stars(linked([point(a, 8, 32, 4096) for a in arrays], sizes, num, den, verify), ids))
+        sets = codes = held = arrays = None
+        U.release()
         return pa.concat_tables(out) if out else _stars([], [])
 
     return run

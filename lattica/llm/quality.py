@@ -97,16 +97,16 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def fit(rows: list[tuple[np.ndarray, int]], bits: int, epochs: int) -> np.ndarray:
+def fit(rows, bits: int, epochs: int) -> np.ndarray:
     """Weights, the bias last, from (slots, label) rows in the given order."""
     model = Ftrl(bits)
     prepared = []
     for slots, y in rows:
         at, count = np.unique(slots, return_counts=True)
-        prepared.append((np.append(at, 1 << bits), np.append(count / np.sqrt(max(1, len(slots))), 1.0), y))
+        prepared.append((np.append(at, 1 << bits).astype(np.int32), np.append(count / np.sqrt(max(1, len(slots))), 1.0).astype(np.float32), y))
     for _ in range(epochs):
         for at, x, y in prepared:
-            model.learn(at, x, y)
+            model.learn(at, x.astype(np.float64), y)
     return model.weights().astype(np.float32)
 
 
@@ -132,7 +132,9 @@ def _extract(bits: int):
 def _fit(bits: int, epochs: int):
     def run(table):
         rows = sorted(zip(table["order"].to_pylist(), table["label"].to_pylist(), table["slots"].to_pylist(), strict=True))
-        w = fit([(np.frombuffer(s, "<u4").astype(np.int64), y) for _, y, s in rows], bits, epochs)
+        w = fit(((np.frombuffer(s, "<u4").astype(np.int64), y) for _, y, s in rows), bits, epochs)
+        del rows
+        U.release()
         return pa.table({"weights": pa.array([w.tobytes()], pa.binary())})
 
     return run
@@ -157,6 +159,8 @@ def _score(weights, bits: int, keep: list[str]):
             for texts in U.text_slices(b.column("text"), 1 << 20):
                 score.append(1 / (1 + np.exp(-np.clip(logits(texts, w, bits, codes), -35, 35))))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(np.concatenate(score or [np.zeros(0)]))], names=[*keep, "_score"])
+        b = score = codes = None
+        U.release()
 
     return run
 
