@@ -7,14 +7,19 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():
+def shared(spark: SparkSession) -> None:
+    """Names a checkpoint folder where the session has none, as in tests."""
+    sc = spark.sparkContext
+    if not spark.conf.get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lattica-"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    shared(df.sparkSession)
     return df.checkpoint()
 
 

@@ -61,6 +61,42 @@ def space_time_cube(spark: SparkSession, n: int, seed: int) -> DataFrame:
     return p.select("*", c.cast("double").alias("s"), c.alias("class"))
 
 
+def bent(spark: SparkSession, n: int, shape: str, noise: float, seed: int) -> DataFrame:
+    """A letter of value 1 on a ground of 0 with Gaussian noise; ``shape`` is L or T."""
+    if shape not in ("L", "T"):
+        raise ValueError("shape is L or T")
+    p = uniform(spark, n, ["x", "y"], seed)
+    x, y = F.col("x"), F.col("y")
+    stem, bar = (x < 1 / 3, y < 1 / 3) if shape == "L" else (x.between(1 / 3, 2 / 3), y > 2 / 3)
+    c = (stem | bar).cast("int")
+    return p.select("*", (c + noise * F.randn(seed + 7)).alias("value"), c.alias("class"))
+
+
+def outliers(spark: SparkSession, seed: int, n: int = 400, spatial: int = 10, value: int = 10) -> DataFrame:
+    """A cluster of points with value near 0 (class 0), points far away (1) and points with a far value (2)."""
+    k = F.when(F.col("id") < n, 0).when(F.col("id") < n + spatial, 1).otherwise(2)
+    p = spark.range(n + spatial + value).withColumn("class", k)
+    far = F.when(F.col("class") == 1, 6.0).otherwise(0.0)
+    return p.select("id", (F.randn(seed) + far).alias("x"), (F.randn(seed + 1) + far).alias("y"), (0.1 * F.randn(seed + 2) + F.when(F.col("class") == 2, 5.0).otherwise(0.0)).alias("value"), "class")
+
+
+def squares(spark: SparkSession, n: int, side: int, seed: int) -> DataFrame:
+    """Points in side x side squares, each a cluster with its own value."""
+    p = uniform(spark, n, ["x", "y"], seed)
+    c = (F.floor(F.col("x") * side) * side + F.floor(F.col("y") * side)).cast("int")
+    return p.select("*", F.pmod(c * 7, F.lit(side * side)).cast("double").alias("value"), c.alias("cluster"))
+
+
+def voronoi_regions(spark: SparkSession, side: int, regions: int, noise: float, seed: int) -> DataFrame:
+    """side x side cells, each in the region of its nearest seed (the smaller index at equal
+    distance), with the region's value plus noise: (id, i, j, value, class). Seeds are few and literal."""
+    rng = np.random.default_rng(seed)
+    at = rng.random((regions, 2)) * side
+    d = F.array(*(F.struct(((F.col("i") - float(a)) ** 2 + (F.col("j") - float(b)) ** 2).alias("d"), F.lit(k).alias("k")) for k, (a, b) in enumerate(at)))
+    c = F.array_min(d)["k"]
+    return _lattice(spark, side, side).withColumn("class", c).select("id", "i", "j", (F.col("class") + noise * F.randn(seed)).alias("value"), "class")
+
+
 def mackey_glass(n: int, tau: int = 17, a: float = 0.2, b: float = 0.1, x0: float = 1.2, step: float = 1.0) -> np.ndarray:
     """n + 1 values of dx/dt = a x(t - tau) / (1 + x(t - tau)^10) - b x, by Runge-Kutta with the delayed value held in a step."""
     x = np.full(n + 1, x0)

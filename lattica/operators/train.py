@@ -151,6 +151,86 @@ def run_gng(x: np.ndarray, seed: int, steps: int, most: int = 64, lr_b=0.05, lr_
     return np.array([w[n] for n in sorted(w)])
 
 
+def run_growing_som(x: np.ndarray, seed: int, steps: int, start=(2, 2), every: int = 100, most: int = 500, rate=(0.5, 0.02), width: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """A rectangular map that grows: after ``every`` steps for each unit, a row or column is put between
+    the unit hit most and its most distant neighbour. Returns (positions, w); stops growing at ``most``."""
+    rng = np.random.default_rng(seed)
+    grid = x[rng.integers(0, len(x), start[0] * start[1])].reshape(*start, -1).copy()
+    hits, since = np.zeros(start, int), 0
+    for i, k in enumerate(rng.integers(0, len(x), steps)):
+        d = x[k] - grid
+        a, b = np.unravel_index((d * d).sum(axis=2).argmin(), hits.shape)
+        hits[a, b] += 1
+        gx, gy = np.indices(hits.shape)
+        h = np.exp(-0.5 * ((abs(gx - a) + abs(gy - b)) / width) ** 2) * (rate[0] + (rate[1] - rate[0]) * i / steps)
+        grid += h[:, :, None] * d
+        since += 1
+        if since >= every * hits.size and hits.size < most:
+            a, b = np.unravel_index(hits.argmax(), hits.shape)
+            near = [(a + s, b + t) for s, t in ((-1, 0), (0, -1), (0, 1), (1, 0)) if 0 <= a + s < hits.shape[0] and 0 <= b + t < hits.shape[1]]
+            c, e = max(near, key=lambda n: ((grid[n] - grid[a, b]) ** 2).sum())
+            axis, at = (0, max(a, c)) if a != c else (1, max(b, e))
+            mid = (np.take(grid, at - 1, axis) + np.take(grid, at, axis)) / 2
+            grid = np.insert(grid, at, mid, axis)
+            hits, since = np.zeros(grid.shape[:2], int), 0
+    gx, gy = np.indices(hits.shape)
+    return np.stack([gx.ravel(), gy.ravel()], axis=1), grid.reshape(hits.size, -1)
+
+
+def run_temporal(series: np.ndarray, seed: int, epochs: int, grid: tuple[str, int, int], kind: str, leak: float = 0.5, width=(3.0, 0.5), rate=(0.5, 0.02)) -> np.ndarray:
+    """Maps of a series in its order. ``tkm``: the unit of greatest leaky potential wins and units move
+    to the sample. ``rsom``: each unit keeps a leaky difference to the inputs, the shortest wins, and
+    units move along their own difference."""
+    if kind not in ("tkm", "rsom"):
+        raise ValueError("kind is tkm or rsom")
+    rng = np.random.default_rng(seed)
+    h = hops(*grid).astype(float)
+    w = series[rng.integers(0, len(series), len(h))].copy()
+    for e in range(epochs):
+        y = np.zeros_like(w)
+        v = np.zeros(len(w))
+        for i, x in enumerate(series):
+            t = (e + i / len(series)) / epochs
+            if kind == "tkm":
+                v = leak * v - 0.5 * ((x - w) ** 2).sum(axis=1)
+                b, move = int(v.argmax()), x - w
+            else:
+                y = (1 - leak) * y + leak * (x - w)
+                b, move = int((y * y).sum(axis=1).argmin()), y
+            s = width[0] + (width[1] - width[0]) * t
+            w = w + (np.exp(-0.5 * (h[b] / s) ** 2) * (rate[0] + (rate[1] - rate[0]) * t))[:, None] * move
+    return w
+
+
+def run_merge(series: np.ndarray, seed: int, epochs: int, neurons: int, alpha: float = 0.5, beta: float = 0.5, grid: tuple[str, int, int] | None = None, range_=(10.0, 0.1), rate=(0.5, 0.01)) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and contexts of a merge network over a series: the context of a step merges weight and
+    context of the last winner. Neural gas by ranks, or a map by hops if ``grid`` is given."""
+    rng = np.random.default_rng(seed)
+    h = hops(*grid).astype(float) if grid else None
+    w = series[rng.integers(0, len(series), neurons if h is None else len(h))].copy()
+    c = np.zeros_like(w)
+    for e in range(epochs):
+        last = None
+        for i, x in enumerate(series):
+            t = (e + i / len(series)) / epochs
+            d = np.sqrt(((w - x) ** 2).sum(axis=1))
+            ctx = None if last is None else (1 - beta) * w[last] + beta * c[last]
+            if ctx is not None:
+                d = (1 - alpha) * d + alpha * np.sqrt(((c - ctx) ** 2).sum(axis=1))
+            lam, eps = range_[0] * (range_[1] / range_[0]) ** t, rate[0] * (rate[1] / rate[0]) ** t
+            order = np.argsort(d, kind="stable")
+            if h is None:
+                g = np.empty(len(w))
+                g[order] = np.exp(-np.arange(len(w)) / lam)
+            else:
+                g = np.exp(-0.5 * (h[order[0]] / lam) ** 2)
+            last = int(order[0])
+            w = w + (eps * g)[:, None] * (x - w)
+            if ctx is not None:
+                c = c + (eps * g)[:, None] * (ctx - c)
+    return w, c
+
+
 def fit(samples: DataFrame, kernel, seeds: list[int], most_rows: int = 1_000_000) -> DataFrame:
     """Runs ``kernel(matrix, seed)`` once for each seed, in parallel tasks: (run, neuron_id, w).
 
@@ -168,4 +248,4 @@ def fit(samples: DataFrame, kernel, seeds: list[int], most_rows: int = 1_000_000
     return runs.select("run", "sample_id", "x").groupBy("run").applyInArrow(one, "run int, neuron_id long, w array<double>")
 
 
-__all__ = ["cng", "fit", "kmeans", "kmeans_step", "ng_epoch", "run_gng", "run_ng", "run_som", "som_epoch"]
+__all__ = ["cng", "fit", "kmeans", "kmeans_step", "ng_epoch", "run_gng", "run_growing_som", "run_merge", "run_ng", "run_som", "run_temporal", "som_epoch"]

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .reshape import numbered
+
 
 def radius_pairs(points: DataFrame, radius: float) -> DataFrame:
     """Pairs of ``points(id, px, py)`` within ``radius``: (src, dst, dist). Points meet in cells of
@@ -106,3 +108,34 @@ def morans_i_monte_carlo(w: DataFrame, values: DataFrame, reps: int, seed: int)
     out = each.agg(F.avg("p").alias("mean"), F.var_samp("p").alias("var"), F.avg((F.col("p") >= i).cast("double")).alias("ge"), F.avg((F.col("p") <= i).cast("double")).alias("le"))
     p = F.when(F.lit(i) > F.col("mean"), F.col("ge")).when(F.lit(i) < F.col("mean"), F.col("le")).otherwise(0.0)
     return out.select(F.lit(i).alias("i"), "mean", "var", ((F.lit(i) - F.col("mean")) / F.sqrt("var")).alias("z"), p.alias("p"))
+
+
+def power(w: DataFrame, exponent: float) -> DataFrame:
+    """(1 / w)^exponent of each entry."""
+    return w.withColumn("w", F.pow(1 / F.col("w"), F.lit(exponent)))
+
+
+def k_per_row(w: DataFrame, k: int, largest: bool = False) -> DataFrame:
+    """The k entries of each row with the smallest (or largest) weights; ties by dst."""
+    order = F.col("w").desc() if largest else F.col("w")
+    return w.withColumn("_r", F.row_number().over(Window.partitionBy("src").orderBy(order, "dst"))).where(F.col("_r") <= k).drop("_r")
+
+
+def local_morans_i_monte_carlo(w: DataFrame, values: DataFrame, reps: int, seed: int) -> DataFrame:
+    """Local I against ``reps`` draws of other samples as neighbours, with replacement:
+    (id, i, mean, sd, z, p), p one-sided with (1 + extremes) / (1 + reps).
+
+    A neighbour is drawn by its place in a dense numbering, so a draw is an equi-join and no row
+    meets all others; the rows are edges times ``reps``, spread by (src, rep).
+    """
+    z = _centred(values)
+    m = z.agg(F.avg(F.col("z") * F.col("z")), F.count("*")).first()
+    placed = numbered(z, [F.xxhash64("id", F.lit(seed)), F.col("id")], "at")
+    draws = w.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    draws = draws.withColumn("at", F.pmod(F.xxhash64("src", "dst", "rep", F.lit(seed)), F.lit(m[1])))
+    got = draws.select("src", "rep", "w", "at").join(placed.select("at", "z"), "at").groupBy("src", "rep").agg(F.sum(F.col("w") * F.col("z")).alias("s"))
+    each = got.join(z.select(F.col("id").alias("src"), F.col("z").alias("zi")), "src").select(F.col("src").alias("id"), (F.col("zi") / m[0] * F.col("s")).alias("p"))
+    both = each.join(local_morans_i(w, values), "id")
+    out = both.groupBy("id", "i").agg(F.avg("p").alias("mean"), F.stddev_samp("p").alias("sd"), F.count_if(F.col("p") >= F.col("i")).alias("ge"), F.count_if(F.col("p") <= F.col("i")).alias("le"))
+    p = (F.least("ge", "le") + 1) / (1 + reps)
+    return out.select("id", "i", "mean", "sd", ((F.col("i") - F.col("mean")) / F.nullif("sd", F.lit(0.0))).alias("z"), p.alias("p"))
