@@ -93,22 +93,32 @@ def with_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     return joined.withColumn(name, F.col("_start") + F.col("_row")).drop("_part", "_pos", "_start", "_row")
 
 
+def with_total(df: DataFrame, key: str, by: str, partial, final, name: str, parts: int = 64) -> DataFrame:
+    """``df`` with ``name``, an aggregate over the rows of each ``key``, without a task that gets all
+    rows of a frequent key: a key's rows are dealt into ``parts`` by a hash of ``by``, aggregated there
+    (``partial``, named _p), then together (``final`` over _p), and joined by key and part. Null keys
+    get no row. ``df`` is read twice, so it must give the same rows each time."""
+    dealt = df.withColumn("_s", F.pmod(F.xxhash64(by), F.lit(parts)))
+    part = dealt.groupBy(key, "_s").agg(partial.alias("_p"))
+    total = part.groupBy(key).agg(final.alias(name))
+    return dealt.join(part.select(key, "_s").join(total, key), [key, "_s"]).drop("_s")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: (node, root), root the smallest node reached.
 
-    Alternates large-star and small-star steps until no edge changes; every step is a
-    shuffle on the node and is written to the shared folder.
+    Alternates large-star and small-star steps until no edge changes; every step is written to the
+    shared folder. A node at the centre of a large component meets its edges in parts.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = materialize(e, "edges")
+    low = (F.min("b"), F.min("_p"), "m")
     seen = None
     for _ in range(max_rounds):
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        floor = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(floor, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        large = with_total(both, "a", "b", *low).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        large = materialize(large.where("a <> b").distinct(), "edges")
+        small = with_total(large, "a", "b", *low).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         e = materialize(small.where("a <> b").distinct(), "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:

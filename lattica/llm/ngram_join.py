@@ -443,10 +443,10 @@ def classes(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, l
     links = met.groupBy("bucket").applyInArrow(_candidates(num, den, 8192), "a long, b long")
     comps = U.materialize(U.components(links), "candidates")
     # sets of small components share blocks by hash, large components are split into pairs of blocks
-    sizes = comps.groupBy("root").agg(F.count("*").alias("size"))
     total = comps.count()
     bins = U.pieces(total, block, 1)
-    member = comps.join(sizes, "root").join(sets.select(F.col("sid").alias("node"), "first_id"), "node")
+    sized = U.with_total(comps, "root", "node", F.count("*"), F.sum("_p"), "size")
+    member = sized.join(sets.select(F.col("sid").alias("node"), "first_id"), "node")
     parts = F.ceil(F.col("size") / block).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(7)), parts).cast("int")
     pairs = F.when(F.col("size") > block, F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(F.col("root").alias("g"), F.least(k, own).alias("i"), F.greatest(k, own).alias("j"))))
@@ -456,8 +456,8 @@ def classes(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, l
     true_links = blocks.groupBy("g", "i", "j").applyInArrow(_verified(width, num, den), "a long, b long")
     roots = U.components(true_links)
     firsts = roots.join(sets.select(F.col("sid").alias("node"), "first_id"), "node")
-    named = firsts.groupBy("root").agg(F.min("first_id").alias("component"))
-    of_set = sets.select("sid", "first_id").join(firsts.select(F.col("node").alias("sid"), "root").join(named, "root"), "sid", "left")
+    named = U.with_total(firsts, "root", "node", F.min("first_id"), F.min("_p"), "component")
+    of_set = sets.select("sid", "first_id").join(named.select(F.col("node").alias("sid"), "component"), "sid", "left")
     of_set = U.materialize(of_set.select("sid", F.coalesce("component", "first_id").alias("component")), "classes")
     out = rows.join(of_set, "sid", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
@@ -471,8 +471,9 @@ def dedupe(docs: DataFrame, **options) -> DataFrame:
     found = classes(docs, **options)
     drop = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(drop, "doc_id", "left_anti")
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return kept.withColumn("_turn", turn).where("_turn = 1 or doc_id is null").drop("_turn").select(*docs.columns)
+    alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    turn = F.row_number().over(Window.partitionBy("doc_id", alone).orderBy(F.xxhash64("text")))
+    return kept.withColumn("_turn", turn).where("_turn = 1").select(*docs.columns)
 
 
 def op5_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
