@@ -7,7 +7,6 @@ read again as the next one's documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lattica.llm import _util, bestfit, decontaminate, ngram_join, quality
 
@@ -15,7 +14,7 @@ from lattica.llm import _util, bestfit, decontaminate, ngram_join, quality
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on ``labels``, does not reject."""
     weights = quality.train(docs, _util.read(spark, sf_dir, "labels"))
-    return quality.score(docs, weights).where(F.col("_score") >= 0.5).select(*docs.columns)
+    return quality.accept(docs, weights)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

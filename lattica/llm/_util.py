@@ -70,6 +70,14 @@ def train_flag(remainders: int, left_out: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % remainders != left_out
 
 
+def sheltered(docs: DataFrame, f) -> DataFrame:
+    """``f(docs)``, while columns whose names begin with ``_`` have others, so that none meets a
+    helper column of ours; ``f`` returns the columns it was given."""
+    other = {c: f"extra{i} {c}" for i, c in enumerate(docs.columns) if c.startswith("_")}
+    out = f(docs.withColumnsRenamed(other) if other else docs)
+    return out.withColumnsRenamed({v: k for k, v in other.items()}) if other else out
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     return int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)
 

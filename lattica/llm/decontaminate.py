@@ -163,7 +163,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, block_bytes:
     """``docs`` with _n_words, _hits (positions of hit words) and _items (item_ids found)."""
     spark = docs.sparkSession
     keep = [c for c in docs.columns if c not in ("_n_words", "_hits", "_items")]
-    out = docs.select(*keep, F.array().cast("array<long>").alias("_hits"), F.array().cast("array<long>").alias("_items"))
+    out = docs.select(*(f"`{c}`" for c in keep), F.array().cast("array<long>").alias("_hits"), F.array().cast("array<long>").alias("_items"))
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("_n_words", T.LongType()), T.StructField("_hits", T.ArrayType(T.LongType())), T.StructField("_items", T.ArrayType(T.LongType()))])
     for k, items in enumerate(blocks_of(benchmark, block_bytes)):
         if k:
@@ -201,13 +201,18 @@ def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without contaminated documents, and without hit spans in the others.
 
     ``n_chars`` is counted anew where the text was cut; a document without hits stays as it is.
+    Further columns are kept, whatever their names.
     """
-    found = scan(docs, benchmark, **options).where(~contaminated())
-    out = found.mapInArrow(_cut([*docs.columns, "_hits"]), T.StructType([*docs.schema, found.schema["_hits"]]))
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.size("_hits") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.drop("_hits")
+
+    def cleaned(docs):
+        found = scan(docs, benchmark, **options).where(~contaminated())
+        out = found.mapInArrow(_cut([*docs.columns, "_hits"]), T.StructType([*docs.schema, found.schema["_hits"]]))
+        if "n_chars" in docs.columns:
+            kind = docs.schema["n_chars"].dataType
+            out = out.withColumn("n_chars", F.when(F.size("_hits") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        return out.drop("_hits")
+
+    return U.sheltered(docs, cleaned)
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:

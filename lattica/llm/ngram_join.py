@@ -467,13 +467,17 @@ def classes(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, l
 def dedupe(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with the document of the smallest doc_id of each class; rows without doc_id stay.
 
-    Of rows that repeat a doc_id one stays."""
-    found = classes(docs, **options)
-    drop = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(drop, "doc_id", "left_anti")
-    alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    turn = F.row_number().over(Window.partitionBy("doc_id", alone).orderBy(F.xxhash64("text")))
-    return kept.withColumn("_turn", turn).where("_turn = 1").select(*docs.columns)
+    Of rows that repeat a doc_id one stays. Further columns are kept, whatever their names."""
+
+    def first(docs):
+        found = classes(docs, **options)
+        drop = found.where("doc_id <> component_id").select("doc_id").distinct()
+        kept = docs.join(drop, "doc_id", "left_anti")
+        alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+        turn = F.row_number().over(Window.partitionBy("doc_id", alone).orderBy(F.xxhash64("text")))
+        return kept.withColumn("_turn", turn).where("_turn = 1").select(*(f"`{c}`" for c in docs.columns))
+
+    return U.sheltered(docs, first)
 
 
 def op5_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

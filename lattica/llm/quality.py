@@ -170,7 +170,16 @@ def score(docs: DataFrame, weights: np.ndarray, *, bits: int = 18, keep: list[st
     keep = keep if keep is not None else [c for c in docs.columns if c != "_score"]
     held = docs.sparkSession.sparkContext.broadcast(weights)
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("_score", T.DoubleType())])
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(_score(held, bits, keep), schema)
+    return docs.select(*(f"`{c}`" for c in dict.fromkeys([*keep, "text"]))).mapInArrow(_score(held, bits, keep), schema)
+
+
+def accept(docs: DataFrame, weights: np.ndarray, least: float = 0.5, **options) -> DataFrame:
+    """``docs`` that score ``least`` or more, with their columns, whatever their names."""
+
+    def kept(docs):
+        return score(docs, weights, **options).where(F.col("_score") >= least).drop("_score")
+
+    return U.sheltered(docs, kept)
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.llm import bestfit, bitpack, chat, ctw, cws, decontaminate, merkle, ngram_join, quality, vectorbins
+from lattica.llm import _util, bestfit, bitpack, chat, ctw, cws, decontaminate, merkle, ngram_join, quality, vectorbins
 
 LONG = " ".join(f"w{i % 97}x{i}" for i in range(3000))
 ROWS = [
@@ -184,3 +184,30 @@ def test_packing(docs, none):
     assert len({(r.bin_id, r.bin_offset) for r in got}) == len(got)
     assert all(r.bin_offset + r.n_tokens <= r.bin_tokens <= r.capacity for r in got)
     assert bestfit.pack(bestfit.word_tokens(none)).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(docs, none, spark):
+    extra = ["_score", "_turn", "_hits", "_items", "_n_words", "n", "sid", "component_id", "_s"]
+    wide = docs.select("*", *(F.lit(i).alias(c) for i, c in enumerate(extra)))
+    item = spark.createDataFrame([(1, "an item that no document holds")], "item_id long, text string")
+    weights = quality.train(docs, docs.limit(0).select("doc_id", F.lit(1).alias("quality")))
+    for f in (ngram_join.dedupe, lambda d: decontaminate.clean(d, item), lambda d: quality.accept(d, weights)):
+        got = f(wide)
+        assert got.columns == wide.columns
+        assert all(tuple(r)[2:] == tuple(range(len(extra))) for r in got.collect())
+    assert bestfit.pack(bestfit.word_tokens(wide)).count() >= len({r[0] for r in ROWS})
+
+
+def test_rows_without_id_all_stay(spark):
+    rows = [(None, "one and the same text"), (None, "one and the same text"), (None, None), (4, "one and the same text"), (4, "another text with this id")]
+    got = ngram_join.dedupe(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id is None for r in got) == [False, True, True, True]
+
+
+def test_totals_in_parts(spark):
+    df = spark.createDataFrame([(7, i) for i in range(500)] + [(i, i) for i in range(20)], "k long, v long")
+    got = _util.with_total(df, "k", "v", F.count("*"), F.sum("_p"), "n").collect()
+    assert len(got) == 520 and all(r.n == (501 if r.k == 7 else 1) for r in got)
+    edges = spark.createDataFrame([(0, i) for i in range(1, 300)] + [(i, 999) for i in range(400, 700)] + [(10_000, 10_001)], "a long, b long")
+    roots = {r.node: r.root for r in _util.components(edges).collect()}
+    assert all(roots[i] == 0 for i in range(300)) and all(roots[i] == 400 for i in [*range(400, 700), 999]) and roots[10_001] == 10_000
