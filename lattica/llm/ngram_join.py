@@ -11,7 +11,8 @@ one order of shingles, two sets of sufficient similarity share one of the first
 ``n - ceil(t * n) + 1`` (the prefix filter); shingles are ordered by rarity in a sketch of
 fixed size over all documents. The sets that share a prefix shingle meet in a block; a tree
 over their points leaves the candidate graph, whose connected components are small and
-contain every link. Each component's sets then meet once, in blocks of at most ``block`` sets
+contain every link. The sets of a shingle that more than ``most`` have meet in pairs of blocks,
+so that every two are in one tree. Each component's sets then meet once, in blocks of at most ``block`` sets
 or pairs of such blocks, where trees over finer points and exact overlaps decide.
 
 Equal sets are one class throughout, so copies never multiply. Results are classes of linked
@@ -304,22 +305,31 @@ def _prefixes(sketch, width: int, num: int, den: int, buckets: int, flush: int =
     return run
 
 
-def _shared(key, batches):
-    """(token, set) of prefix shingles that more than one set has."""
-    ts, ss = [], []
-    for b in batches:
-        ts += [np.frombuffer(x, np.uint64) for x in b.column("tokens").to_pylist()]
-        ss += [np.frombuffer(x, np.int64) for x in b.column("sids").to_pylist()]
-    t, s = np.concatenate(ts), np.concatenate(ss)
-    order = np.lexsort((s, t))
-    t, s = t[order], s[order]
-    keep = np.concatenate(([True], (t[1:] != t[:-1]) | (s[1:] != s[:-1])))
-    t, s = t[keep], s[keep]
-    same = t[1:] == t[:-1]
-    many = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-    t, s = t[many].view(np.int64), s[many]
-    for i in range(0, len(t), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(t[i : i + (1 << 16)]), pa.array(s[i : i + (1 << 16)])], names=["token", "sid"])
+def _shared(most: int):
+    """(token, set) of prefix shingles that more than one set has, and the number of blocks that a
+    shingle's sets are dealt into: more than one where more than ``most`` have it, two of which hold
+    about ``most``."""
+
+    def run(key, batches):
+        ts, ss = [], []
+        for b in batches:
+            ts += [np.frombuffer(x, np.uint64) for x in b.column("tokens").to_pylist()]
+            ss += [np.frombuffer(x, np.int64) for x in b.column("sids").to_pylist()]
+        t, s = np.concatenate(ts), np.concatenate(ss)
+        order = np.lexsort((s, t))
+        t, s = t[order], s[order]
+        keep = np.concatenate(([True], (t[1:] != t[:-1]) | (s[1:] != s[:-1])))
+        t, s = t[keep], s[keep]
+        same = t[1:] == t[:-1]
+        many = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        t, s = t[many].view(np.int64), s[many]
+        ends = np.append(np.flatnonzero(t[1:] != t[:-1]) + 1, len(t)) if len(t) else np.zeros(0, np.int64)
+        n = np.diff(ends, prepend=0)
+        parts = np.repeat(np.where(n > most, -(-2 * n // most), 1), n).astype(np.int32)
+        for i in range(0, len(t), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in (t, s, parts)], names=["token", "sid", "parts"])
+
+    return run
 
 
 def _stars(groups: list[list[int]], sids: list[int]):
@@ -334,8 +344,8 @@ def _stars(groups: list[list[int]], sids: list[int]):
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _candidates(num: int, den: int, most: int):
-    """Links by the bound among the sets of each prefix shingle of a bucket, as stars."""
+def _candidates(num: int, den: int):
+    """Links by the bound among the sets of each prefix shingle of a bucket or pair of blocks, as stars."""
 
     def run(table):
         token, sid = table["token"].to_numpy(), table["sid"].to_numpy()
@@ -359,18 +369,14 @@ def _candidates(num: int, den: int, most: int):
                 roots = {forest.find(m) for m in members}
                 if len(roots) == 1:
                     continue
-            for k in range(0, len(members), most):
-                part = members[k : k + most]
-                if k:  # blocks of a very frequent shingle are linked without a test; that only merges blocks
-                    forest.join(members[k - 1], part[0])
-                if len(part) == 2:
-                    a, b = part
-                    if forest.find(a) != forest.find(b) and (num + den) * int(np.minimum(fold(of(a), g := min(len(of(a)), len(of(b)))), fold(of(b), g)).sum()) >= num * int(size[a] + size[b]):
-                        forest.join(a, b)
-                elif len(part) > 2:
-                    for g in linked([of(m) for m in part], size[part], num, den):
-                        for m in g[1:]:
-                            forest.join(part[g[0]], part[m])
+            if len(members) == 2:
+                a, b = members
+                if forest.find(a) != forest.find(b) and (num + den) * int(np.minimum(fold(of(a), g := min(len(of(a)), len(of(b)))), fold(of(b), g)).sum()) >= num * int(size[a] + size[b]):
+                    forest.join(a, b)
+            elif len(members) > 2:
+                for g in linked([of(m) for m in members], size[members], num, den):
+                    for m in g[1:]:
+                        forest.join(members[g[0]], members[m])
         groups: dict[int, list[int]] = {}
         for m in range(len(ids)):
             groups.setdefault(forest.find(m), []).append(m)
@@ -420,7 +426,7 @@ def _verified(width: int, num: int, den: int):
 
 # ---------------------------------------------------------------- the join
 
-def classes(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, least_buckets: int = 96, block: int = 512) -> DataFrame:
+def classes(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, least_buckets: int = 96, block: int = 512, most: int = 8192) -> DataFrame:
     """``docs(doc_id, text)``: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -438,9 +444,14 @@ def classes(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, l
     held = spark.sparkContext.broadcast(sketch)
     source = docs.where("doc_id is not null").select("text")
     tokens = source.mapInArrow(_prefixes(held, width, num, den, buckets), "bucket int, tokens binary, sids binary")
-    shared = tokens.groupBy("bucket").applyInArrow(U.by_batches(_shared), "token long, sid long")
-    met = shared.join(sets.select("sid", "n", "point"), "sid").withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
-    links = met.groupBy("bucket").applyInArrow(_candidates(num, den, 8192), "a long, b long")
+    shared = tokens.groupBy("bucket").applyInArrow(U.by_batches(_shared(most)), "token long, sid long, parts int")
+    met = shared.join(sets.select("sid", "n", "point"), "sid")
+    # a shingle of many sets is split into pairs of blocks, the others share buckets by hash
+    own = F.pmod(F.xxhash64("sid", F.lit(5)), F.col("parts")).cast("int")
+    pairs = F.transform(F.array_remove(F.sequence(F.lit(0), F.col("parts") - 1), own), lambda k: F.struct(F.col("token").alias("g"), F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
+    bucket = F.array(F.struct(F.pmod(F.xxhash64("token"), F.lit(buckets)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j")))
+    met = met.select("token", "sid", "n", "point", F.explode(F.when(F.col("parts") > 1, pairs).otherwise(bucket)).alias("p"))
+    links = met.select("token", "sid", "n", "point", "p.*").groupBy("g", "i", "j").applyInArrow(_candidates(num, den), "a long, b long")
     comps = U.materialize(U.components(links), "candidates")
     # sets of small components share blocks by hash, large components are split into pairs of blocks
     total = comps.count()

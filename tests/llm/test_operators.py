@@ -1,6 +1,7 @@
 """Operators on small fixtures with nulls, ties, repeated rows and clashing names."""
 
 import hashlib
+import random
 import zlib
 
 import pytest
@@ -113,6 +114,18 @@ def test_large_component_in_blocks(spark):
     assert all(got[k] == 0 for k in range(40)) and got[99] == 99
 
 
+def test_frequent_shingle_in_pairs_of_blocks(spark):
+    rng = random.Random(5)
+    kinds = [rng.sample([f"v{i}" for i in range(20)], 8) for _ in range(30)]
+    texts = {k: [*kinds[k % 30], f"own{k}"] for k in range(60)}
+    near = lambda a, b: 5 * len(set(a) & set(b)) >= 4 * len(set(a) | set(b))
+    want = {k: min(j for j in texts if near(texts[j], texts[k])) for k in texts}
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")
+    for most in (2, 4, 8192):
+        got = {r.doc_id: r.component_id for r in ngram_join.classes(df, width=1, least_buckets=3, most=most).collect()}
+        assert got == want and sum(got[k] == k for k in got) == 30
+
+
 def test_decontamination(docs, none, spark):
     bench = spark.createDataFrame([(5, "quick brown fox jumps over the lazy dog and runs away from it all"), (50, None), (6, "word")], "item_id long, text string")
     got = {r.doc_id: r for r in decontaminate.report(decontaminate.scan(docs, bench)).collect()}
