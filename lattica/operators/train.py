@@ -49,8 +49,8 @@ def kmeans_step(samples: DataFrame, centres: DataFrame) -> DataFrame:
     return centres.select("neuron_id", "w").join(part, "neuron_id", "left").select("neuron_id", F.coalesce("m", "w").alias("w"))
 
 
-def kmeans(samples: DataFrame, centres: DataFrame, rounds: int = 50, delta: float = 1e-5) -> DataFrame:
-    """Lloyd's iterations until no centre moves more than ``delta``."""
+def kmeans(samples: DataFrame, centres: DataFrame, rounds: int = 1000, delta: float = 1e-5) -> DataFrame:
+    """Lloyd's iterations until no centre moves more than ``delta``; an error where ``rounds`` do not suffice."""
     from .graph import cut
 
     centres = cut(centres.select("neuron_id", "w"))
@@ -59,8 +59,8 @@ def kmeans(samples: DataFrame, centres: DataFrame, rounds: int = 50, delta: floa
         moved = new.join(centres.withColumnRenamed("w", "old"), "neuron_id").agg(F.max(V.euclid("w", "old"))).first()[0]
         centres = new
         if moved <= delta:
-            break
-    return centres
+            return centres
+    raise RuntimeError(f"k-means did not settle in {rounds} rounds")
 
 
 # ---------------------------------------------------------------- online kernels

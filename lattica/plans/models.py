@@ -49,7 +49,7 @@ _fit("gng_fit", lambda x, seed: train.run_gng(x, seed, 5_000))
 
 @query("kmeans")
 def kmeans(spark, d):
-    return train.kmeans(samples(spark, d), T.codebook(spark, d), rounds=10)
+    return train.kmeans(samples(spark, d), T.codebook(spark, d))
 
 
 @query("som_batch_fit")
