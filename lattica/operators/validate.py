@@ -26,10 +26,10 @@ def wcss(df: DataFrame) -> DataFrame:
 
 
 def bcss(df: DataFrame) -> DataFrame:
-    """Distances of cluster means to the whole mean, weighted by the clusters' shares."""
+    """Squared distances of cluster means to the whole mean, weighted by the clusters' shares."""
     total = means(df.withColumn("one", F.lit(1)), "one").select(F.col("m").alias("t"), F.col("n").alias("all"))
     c = means(df, "cluster").join(F.broadcast(total))
-    return c.agg(F.sum(F.col("n") / F.col("all") * V.euclid("m", "t")).alias("bcss"))
+    return c.agg(F.sum(F.col("n") / F.col("all") * F.pow(V.euclid("m", "t"), F.lit(2.0))).alias("bcss"))
 
 
 def davies_bouldin(df: DataFrame) -> DataFrame:

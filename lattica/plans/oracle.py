@@ -297,7 +297,7 @@ def _valid(name, f, sql, *columns):
 
 
 _valid("wcss", validate.wcss, f"WITH {T.MEANS} SELECT round(sum(d * d), 6) AS wcss FROM dm", "wcss")
-_valid("bcss", validate.bcss, f"WITH {T.MEANS} SELECT round(sum(n / (SELECT count(*) FROM vec)::DOUBLE * list_distance(m, t)), 6) AS bcss FROM m, tot", "bcss")
+_valid("bcss", validate.bcss, f"WITH {T.MEANS} SELECT round(sum(n / (SELECT count(*) FROM vec)::DOUBLE * list_distance(m, t) ** 2), 6) AS bcss FROM m, tot", "bcss")
 DB = "s AS (SELECT label, avg(d) AS s FROM dm GROUP BY label), w AS (SELECT a.label, max((a.s + b.s) / list_distance(ma.m, mb.m)) AS r FROM s a JOIN s b ON a.label <> b.label JOIN m ma ON ma.label = a.label JOIN m mb ON mb.label = b.label GROUP BY a.label)"
 _valid("davies_bouldin", validate.davies_bouldin, f"WITH {T.MEANS}, {DB} SELECT round(avg(r), 6) AS davies_bouldin FROM w", "davies_bouldin")
 SIL = "sa AS (SELECT sample_id, own, other, avg(d) AS d FROM pr GROUP BY ALL), sb AS (SELECT sample_id, min(d) FILTER (own = other) AS a, min(d) FILTER (own <> other) AS b FROM sa GROUP BY sample_id)"
@@ -305,7 +305,7 @@ _valid("silhouette", validate.silhouette, f"WITH {T.SUMS}, {SIL} SELECT round(av
 _valid("dunn", validate.dunn, f"WITH {T.SUMS} SELECT round(min(d) FILTER (own <> other) / max(d) FILTER (own = other), 6) AS dunn FROM pr", "dunn")
 _valid("connectivity", lambda c: validate.connectivity(c, 5), f"WITH {T.VEC}, k AS (SELECT a.label AS la, b.label AS lb, row_number() OVER (PARTITION BY a.sample_id ORDER BY list_distance(a.x, b.x), b.sample_id) AS rank FROM vec a JOIN vec b ON a.sample_id <> b.sample_id) SELECT round(sum(CASE WHEN la <> lb THEN 1.0::DOUBLE / rank ELSE 0.0 END), 6) AS connectivity FROM k WHERE rank <= 5", "connectivity")
 _valid("heterogeneity", validate.heterogeneity, f"WITH {T.MEANS} SELECT label AS cluster, round(sum(d * d) / 64, 6) AS ssd FROM dm GROUP BY label", "ssd")
-_valid("cluster_summary", validate.summary, f"WITH {T.MEANS}, {DB}, pr AS (SELECT a.sample_id, a.label AS own, b.label AS other, list_distance(a.x, b.x) AS d FROM vec a JOIN vec b ON a.sample_id <> b.sample_id), {SIL} SELECT (SELECT count(DISTINCT label) FROM vec) AS clusters, (SELECT round(sum(d * d), 6) FROM dm) AS wcss, (SELECT round(sum(n / (SELECT count(*) FROM vec)::DOUBLE * list_distance(m, t)), 6) FROM m, tot) AS bcss, (SELECT round(avg(d), 6) FROM dm) AS mean_qe, (SELECT round(avg(r), 6) FROM w) AS davies_bouldin, (SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) FROM sb) AS silhouette, (SELECT round(min(d) FILTER (own <> other) / max(d) FILTER (own = other), 6) FROM pr) AS dunn", "wcss", "bcss", "mean_qe", "davies_bouldin", "silhouette", "dunn")
+_valid("cluster_summary", validate.summary, f"WITH {T.MEANS}, {DB}, pr AS (SELECT a.sample_id, a.label AS own, b.label AS other, list_distance(a.x, b.x) AS d FROM vec a JOIN vec b ON a.sample_id <> b.sample_id), {SIL} SELECT (SELECT count(DISTINCT label) FROM vec) AS clusters, (SELECT round(sum(d * d), 6) FROM dm) AS wcss, (SELECT round(sum(n / (SELECT count(*) FROM vec)::DOUBLE * list_distance(m, t) ** 2), 6) FROM m, tot) AS bcss, (SELECT round(avg(d), 6) FROM dm) AS mean_qe, (SELECT round(avg(r), 6) FROM w) AS davies_bouldin, (SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) FROM sb) AS silhouette, (SELECT round(min(d) FILTER (own <> other) / max(d) FILTER (own = other), 6) FROM pr) AS dunn", "wcss", "bcss", "mean_qe", "davies_bouldin", "silhouette", "dunn")
 TAB = "t AS (SELECT label AS u, neuron_id AS v, count(*) AS n FROM r WHERE rank = 1 GROUP BY ALL), tot AS (SELECT sum(n)::DOUBLE AS t FROM t), tu AS (SELECT u, sum(n)::DOUBLE AS n FROM t GROUP BY u), tv AS (SELECT v, sum(n)::DOUBLE AS n FROM t GROUP BY v)"
 
 

@@ -8,7 +8,6 @@ import pytest
 from lattica import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"cluster_summary"}
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +19,7 @@ def duck(sf):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_matches_sql(spark, sf, duck, name):
     got = catalog.queries()[name](spark, sf)
     cols = sorted(got.columns)
