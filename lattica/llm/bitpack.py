@@ -1,30 +1,36 @@
 """Token ids in fixed-width bit packing, with block offsets and random access.
 
-A packed shard is one byte string::
+A packed file (``.ltbp``)::
 
-    8 bytes   magic "LTBP0001"
+    8 bytes   magic "LTBP0002"
     6 uint32  bits an id, ids a block, documents, blocks, low and high half of the ids
-    int64     a document: its id (the smallest int64 stands for null)
-    uint64    a document + 1: where its ids start in the shard, and the total
+    int64     a document: its id (0 where it is null)
+    uint8     a document: 1 where its id is null; then zeros to a multiple of 8 bytes
+    uint64    a document + 1: where its ids start in the file, and the total
     uint64    a block + 1: where its bytes start after the header, and the end
     bytes     blocks; each holds its ids at ``bits`` bits, least significant first, padded to a byte
 
 A block unpacks with a handful of numpy operations; ids i..j need only the blocks that hold
-them. ``encode`` writes shards in ascending (doc_id, hash of text) order as rows of a Parquet
-table in the shared folder; ``decode`` reads them back and gives each document's global start.
+them, which ``Packed`` reads from a file by their byte range. ``encode`` writes the files, in
+ascending (doc_id, hash of text) order, to the shared folder through Arrow's file systems
+(local, HDFS, S3, GCS), and returns their manifest, a table of a row a file, written last: files
+of a task that was lost or run twice have names of their own and are in no manifest.
+``decode`` reads the files of a manifest back and gives each document's global start.
 
 Defined cases: null text is empty and yields the end id alone; null doc_ids come first;
-repeated rows are encoded each for itself, in any order among themselves; an empty table
-yields an empty table. A document never crosses shards, so memory is bounded by the shard
-size or the longest document.
+repeated rows are encoded each for itself, in any order among themselves; extra columns are not
+read; an empty table yields an empty manifest and table. A document never crosses files, so
+memory is bounded by a file's ids or the longest document.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +38,7 @@ from pyspark.sql.window import Window
 
 from . import _util as U
 
-MAGIC = b"LTBP0001"
-NULL_ID = -(1 << 63)
+MAGIC = b"LTBP0002"
 
 
 # ---------------------------------------------------------------- format
@@ -48,50 +53,76 @@ def pack_bits(ids: np.ndarray, bits: int) -> bytes:
 def unpack_bits(data: bytes | memoryview, bits: int, n: int) -> np.ndarray:
     if bits in (8, 16, 32):
         return np.frombuffer(data, f"<u{bits // 8}", n).astype(np.uint32)
-    raw = np.unpackbits(np.frombuffer(data, np.uint8), count=n * bits, bitorder="little").reshape(n, bits)
-    return raw.astype(np.uint32) @ (np.uint32(1) << np.arange(bits, dtype=np.uint32))
+    raw = bytes(data) + bytes(8)
+    words = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))  # the 64 bits that begin at each byte
+    at = np.arange(n, dtype=np.int64) * bits
+    return (words[at >> 3] >> (at & 7).astype(np.uint64)).astype(np.uint32) & np.uint32((1 << bits) - 1)
 
 
-def pack_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, bits: int, block: int = 4096) -> bytes:
+def pack_file(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, bits: int, block: int = 4096) -> bytes:
     starts = np.concatenate(([0], np.cumsum(lengths, dtype=np.uint64))).astype("<u8")
     parts = [pack_bits(ids[i : i + block], bits) for i in range(0, len(ids), block)]
     offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.uint64))).astype("<u8")
     head = np.array([bits, block, len(doc_ids), len(parts), len(ids) & 0xFFFFFFFF, len(ids) >> 32], "<u4")
-    keys = np.array([NULL_ID if d is None else d for d in doc_ids], "<i8")
-    return b"".join([MAGIC, head.tobytes(), keys.tobytes(), starts.tobytes(), offsets.tobytes(), *parts])
+    keys = np.array([0 if d is None else d for d in doc_ids], "<i8")
+    nulls = bytes(d is None for d in doc_ids) + bytes(-len(doc_ids) % 8)
+    return b"".join([MAGIC, head.tobytes(), keys.tobytes(), nulls, starts.tobytes(), offsets.tobytes(), *parts])
 
 
-class Shard:
-    """Reads a packed shard; ``ids(i, j)`` unpacks only the blocks that hold ids i..j."""
+class Packed:
+    """Reads a packed file by byte ranges, from ``read(start, length)``."""
 
-    def __init__(self, data: bytes):
-        if data[:8] != MAGIC:
-            raise ValueError("not a packed shard")
-        self.bits, self.block, docs, blocks, low, high = map(int, np.frombuffer(data, "<u4", 6, 8))
+    def __init__(self, read):
+        self.read = read
+        if read(0, 8) != MAGIC:
+            raise ValueError("not a packed file")
+        self.bits, self.block, docs, blocks, low, high = map(int, np.frombuffer(read(8, 24), "<u4"))
         self.n = low | high << 32
-        at = 32
-        self.doc_ids = np.frombuffer(data, "<i8", docs, at)
-        self.starts = np.frombuffer(data, "<u8", docs + 1, at := at + 8 * docs)
-        self.offsets = np.frombuffer(data, "<u8", blocks + 1, at := at + 8 * (docs + 1))
-        self.body = memoryview(data)[at + 8 * (blocks + 1) :]
+        self.docs, flags, at = docs, docs + -docs % 8, 32
+        keys, nulls = np.frombuffer(read(at, 8 * docs), "<i8"), read(at + 8 * docs, flags)
+        self.doc_ids = [None if z else k for k, z in zip(keys.tolist(), nulls, strict=False)]
+        at += 8 * docs + flags
+        self.starts = np.frombuffer(read(at, 8 * (docs + 1)), "<u8")
+        at += 8 * (docs + 1)
+        self.offsets = np.frombuffer(read(at, 8 * (blocks + 1)), "<u8")
+        self.body = at + 8 * (blocks + 1)
+
+    @classmethod
+    def of(cls, data: bytes) -> Packed:
+        return cls(lambda at, n: data[at : at + n])
+
+    @classmethod
+    def open(cls, path: str) -> Packed:
+        fs, name = file_system(path)
+        f = fs.open_input_file(name)
+        return cls(lambda at, n: f.read_at(n, at))
 
     def ids(self, i: int = 0, j: int | None = None) -> np.ndarray:
+        """Ids i..j, from the bytes of their blocks alone."""
         j = self.n if j is None else j
         if i >= j:
             return np.zeros(0, np.uint32)
         first, last = i // self.block, (j - 1) // self.block
         begin = first * self.block
-        got = min((last + 1) * self.block, self.n) - begin
+        low = int(self.offsets[first])
+        data = memoryview(self.read(self.body + low, int(self.offsets[last + 1]) - low))
         if self.block * self.bits % 8 == 0:  # whole blocks follow each other without gaps
-            out = unpack_bits(self.body[int(self.offsets[first]) : int(self.offsets[last + 1])], self.bits, got)
+            out = unpack_bits(data, self.bits, min((last + 1) * self.block, self.n) - begin)
         else:
-            out = np.concatenate([unpack_bits(self.body[int(self.offsets[b]) : int(self.offsets[b + 1])], self.bits, min(self.block, self.n - b * self.block)) for b in range(first, last + 1)])
+            out = np.concatenate([unpack_bits(data[int(self.offsets[b]) - low : int(self.offsets[b + 1]) - low], self.bits, min(self.block, self.n - b * self.block)) for b in range(first, last + 1)])
         return out[i - begin : j - begin]
 
     def document(self, k: int) -> np.ndarray:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
 
+def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
+    """Arrow's file system of a Hadoop path (``file:/a`` is ``file:///a``) and the name in it."""
+    if path.startswith("file:") and not path.startswith("file://"):
+        path = "file://" + path[5:]
+    return pa.fs.FileSystem.from_uri(path)
+
+
 # ---------------------------------------------------------------- tokens
 
 _CACHE: dict[tuple[str, bool], tuple[dict[bytes, bytes], list]] = {}
@@ -107,8 +138,24 @@ def tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
+def parts_at_blanks(t) -> bool:
+    """Whether a tokenizer lower-cases, drops white space and never joins across it, as its parts say:
+    only normal forms, replaced white space and lower case before, and a first split that keeps what
+    is found of a pattern without white space, with a suffix that ends words."""
+    d = json.loads(t.to_str())
+    norm, pre = d.get("normalizer") or {}, d.get("pre_tokenizer") or {}
+    norms, pres = norm.get("normalizers", [norm]), pre.get("pretokenizers", [pre])
+    plain = all(x.get("type") in ("NFC", "Lowercase") or x == {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "} for x in norms)
+    lower = any(x.get("type") == "Lowercase" for x in norms)
+    first = pres[0]
+    splits = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and "\\s" in first.get("pattern", {}).get("Regex", "")
+    later = all(x.get("type") == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex") for x in pres[1:])
+    return bool(plain and lower and splits and later and d["model"].get("type") == "BPE" and d["model"].get("end_of_word_suffix"))
+
+
 class Words:
-    """Token ids of texts by a tokenizer that drops white space and never joins across it.
+    """Token ids of texts. ``by_words`` needs a tokenizer that lower-cases, drops white space and never
+    joins across it, which is read from its parts; None takes that form where it holds.
 
     Then the ids of a text are those of its ASCII-space separated words in turn, and each
     word is encoded once and kept. New words that are letters, but for closing stops or commas
@@ -117,10 +164,15 @@ class Words:
     even. The cache only saves work and is cleared when full.
     """
 
-    def __init__(self, path: str, by_words: bool = True, suffix: str = "</w>"):
-        self.tokenizer, self.by_words = tokenizer(path), by_words
-        self.cache, self.ends = _CACHE.setdefault((path, by_words), ({}, []))
-        if by_words and not self.ends:
+    def __init__(self, path: str, by_words: bool | None = None):
+        self.tokenizer = tokenizer(path)
+        apt = parts_at_blanks(self.tokenizer)
+        if by_words and not apt:
+            raise ValueError("this tokenizer's ids are not those of its words in turn")
+        self.by_words = apt if by_words is None else by_words
+        self.cache, self.ends = _CACHE.setdefault((path, self.by_words), ({}, []))
+        if self.by_words and not self.ends:
+            suffix = json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
             ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
             ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
             self.ends.append(ends)
@@ -174,89 +226,91 @@ class Words:
         return [b"".join(map(self.cache.__getitem__, words)) for words in split]
 
 
-def _slices(texts: list[bytes], most: int = 4 << 20):
-    i = 0
-    while i < len(texts):
-        j, n = i, 0
-        while j < len(texts) and (j == i or n + len(texts[j]) <= most):
-            n += len(texts[j])
-            j += 1
-        yield i, j
-        i = j
+FILE_DDL = "part int, seq int, n_docs long, n_ids long, n_bytes long, path string"
 
 
-SHARD_DDL = "part int, seq int, n_docs long, n_ids long, shard binary"
-
-
-def _pack(path: str, bits: int, end_id: int, shard_ids: int, by_words: bool):
+def _pack(path: str, folder: str, bits: int, end_id: int, file_ids: int, by_words: bool | None):
     end = np.array([end_id], "<u4").tobytes()
 
     def pack(batches):
-        part, seq = TaskContext.get().partitionId(), 0
+        task = TaskContext.get()
+        part, seq = task.partitionId(), 0
         words = Words(path, by_words)
+        fs, name = file_system(folder)
         docs: list = []
         held: list[bytes] = []
         n = 0
 
-        def shard():
+        def write():
             nonlocal docs, held, n, seq
-            lengths = [len(h) // 4 for h in held]
-            data = pack_shard(docs, lengths, np.frombuffer(b"".join(held), "<u4"), bits)
-            out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(docs)], pa.int64()), pa.array([n], pa.int64()), pa.array([data], pa.binary())], names=["part", "seq", "n_docs", "n_ids", "shard"])
+            data = pack_file(docs, [len(h) // 4 for h in held], np.frombuffer(b"".join(held), "<u4"), bits)
+            leaf = f"part-{part:06d}-{seq:06d}-{task.taskAttemptId()}.ltbp"
+            with fs.open_output_stream(f"{name}/{leaf}") as f:
+                f.write(data)
+            row = [part, seq, len(docs), n, len(data), f"{folder}/{leaf}"]
+            out = pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=[x.split()[0] for x in FILE_DDL.split(", ")])
             docs, held, n, seq = [], [], 0, seq + 1
             return out
 
         for b in batches:
-            texts, ids = U.utf8(b.column("text")), b.column("doc_id").to_pylist()
-            for i, j in _slices(texts):
-                for d, e in zip(ids[i:j], words.encode(texts[i:j]), strict=True):
+            ids = b.column("doc_id").to_pylist()
+            at = 0
+            for texts in U.text_slices(b.column("text"), 4 << 20):
+                for d, e in zip(ids[at : at + len(texts)], words.encode(texts), strict=True):
                     docs.append(d)
                     held.append(e + end)
                     n += len(e) // 4 + 1
-                    if n >= shard_ids:
-                        yield shard()
+                    if n >= file_ids:
+                        yield write()
+                at += len(texts)
         if docs:
-            yield shard()
+            yield write()
 
     return pack
 
 
-def encode(docs: DataFrame, path: str, *, bits: int | None = None, end_id: int = 1, shard_ids: int = 1 << 20, by_words: bool = True) -> DataFrame:
-    """Writes ``docs(doc_id, text)`` as packed shards; the table of shards, read from where it was written.
+def encode(docs: DataFrame, path: str, *, bits: int | None = None, end_id: int = 1, file_ids: int = 4 << 20, by_words: bool | None = None) -> DataFrame:
+    """Writes ``docs(doc_id, text)`` as packed files of about ``file_ids`` ids; their manifest.
 
     ``bits`` defaults to the fewest that hold the vocabulary's ids.
     """
+    spark = docs.sparkSession
     bits = bits or max(1, (tokenizer(path).get_vocab_size() - 1).bit_length())
+    folder = U.new_path(spark, "packed")
+    fs, name = file_system(folder)
+    fs.create_dir(name, recursive=True)
     order = [F.col("doc_id").asc_nulls_first(), F.col("_tie")]
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_tie")).repartitionByRange(*order).sortWithinPartitions(*order)
-    return U.materialize(rows.select("doc_id", "text").mapInArrow(_pack(path, bits, end_id, shard_ids, by_words), SHARD_DDL), "packed", "uncompressed")
+    return U.materialize(rows.select("doc_id", "text").mapInArrow(_pack(path, folder, bits, end_id, file_ids, by_words), FILE_DDL), "manifest")
 
 
 def _unpack(batches):
     for b in batches:
-        for base, data in zip(b.column("base").to_pylist(), b.column("shard").to_pylist(), strict=True):
-            s = Shard(data)
-            raw = memoryview(s.ids().astype("<u4").tobytes())
+        for base, path in zip(b.column("base").to_pylist(), b.column("path").to_pylist(), strict=True):
+            s = Packed.open(path)
             at = s.starts.astype(np.int64)
-            crc = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([None if d == NULL_ID else d for d in s.doc_ids.tolist()], pa.int64()), pa.array(at[:-1] + base), pa.array(np.diff(at)), pa.array(crc, pa.int64()),
-            ], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-
-def with_base(shards: DataFrame) -> DataFrame:
-    """``shards`` and ``base``: the ids in all shards before. The totals of parts are one row a part."""
+            crc, i = [], 0
+            while i < s.docs:  # about a million ids at a time, or one document
+                j = max(i + 1, int(np.searchsorted(at, at[i] + (1 << 20), "right")) - 1)
+                raw = memoryview(s.ids(int(at[i]), int(at[j])).astype("<u4").tobytes())
+                cuts = (4 * (at[i : j + 1] - at[i])).tolist()
+                crc += [zlib.crc32(raw[x:y]) for x, y in zip(cuts, cuts[1:])]
+                i = j
+            yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, pa.int64()), pa.array(at[:-1] + base), pa.array(np.diff(at)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+
+def with_base(files: DataFrame) -> DataFrame:
+    """(path, base): each file and the ids in all files before it, from the manifest alone."""
     before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    small = shards.select("part", "seq", "n_ids")
-    parts = small.groupBy("part").agg(F.sum("n_ids").alias("_n")).select("part", F.coalesce(F.sum("_n").over(before("part")), F.lit(0)).alias("_p"))
-    base = small.withColumn("_s", F.coalesce(F.sum("n_ids").over(before("part", "seq")), F.lit(0))).join(F.broadcast(parts), "part")
-    base = base.select("part", "seq", (F.col("_p") + F.col("_s")).alias("base"))
-    return shards.join(base, ["part", "seq"])
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("_n")).select("part", F.coalesce(F.sum("_n").over(before("part")), F.lit(0)).alias("_p"))
+    own = files.withColumn("_s", F.coalesce(F.sum("n_ids").over(before("part", "seq")), F.lit(0)))
+    return own.join(parts, "part").select("path", (F.col("_p") + F.col("_s")).alias("base"))
 
 
-def decode(shards: DataFrame) -> DataFrame:
-    """Reads packed shards: doc_id, start, n_tokens, ids_crc32 (over little-endian uint32)."""
-    return with_base(shards).select("base", "shard").mapInArrow(_unpack, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def decode(files: DataFrame, most_tasks: int = 20_000) -> DataFrame:
+    """Reads packed files: doc_id, start, n_tokens, ids_crc32 (over little-endian uint32)."""
+    tasks = min(most_tasks, max(1, files.count()))
+    return with_base(files).repartition(tasks).mapInArrow(_unpack, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op2_bitpacked_ids(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ RNG = np.random.default_rng(5)
 def test_bits_round_trip(bits, block):
     ids = RNG.integers(0, 1 << bits, 1003, dtype=np.uint64).astype(np.uint32)
     lengths = [0, 1, 2, 1000]
-    s = bitpack.Shard(bitpack.pack_shard([None, -5, 7, 8], lengths, ids, bits, block))
+    s = bitpack.Packed.of(bitpack.pack_file([None, -5, 7, 8], lengths, ids, bits, block))
     assert (s.ids() == ids).all()
     assert len(s.document(0)) == 0 and (s.document(3) == ids[3:]).all()
     for i, j in ((0, 1), (99, 101), (500, 1003), (7, 7)):
@@ -24,7 +24,7 @@ def test_bits_round_trip(bits, block):
 
 
 def test_empty_shard():
-    assert len(bitpack.Shard(bitpack.pack_shard([], [], np.zeros(0, np.uint32), 16)).ids()) == 0
+    assert len(bitpack.Packed.of(bitpack.pack_file([], [], np.zeros(0, np.uint32), 16)).ids()) == 0
 
 
 def kt(n0, n1):

@@ -2,12 +2,11 @@
 
 import hashlib
 import random
-import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.llm import _util, bestfit, bitpack, chat, ctw, cws, decontaminate, merkle, ngram_join, quality, vectorbins
+from lattica.llm import _util, bitpack, chat, ctw, cws, decontaminate, merkle, ngram_join, quality, vectorbins
 
 LONG = " ".join(f"w{i % 97}x{i}" for i in range(3000))
 ROWS = [
@@ -40,19 +39,6 @@ def test_scores(docs, none):
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in untaught.collect())
 
 
-def test_bitpack(docs, none):
-    import public_tokenizers
-
-    path = public_tokenizers.path("word_bpe_49k.json")
-    t = bitpack.tokenizer(path)
-    got = sorted(map(tuple, bitpack.decode(bitpack.encode(docs, path, shard_ids=50)).collect()), key=lambda r: r[1])
-    assert [r[0] for r in got] == sorted((d for d, _ in ROWS), key=lambda d: (d is not None, d))
-    want = sorted(zlib.crc32(b"".join(i.to_bytes(4, "little") for i in [*t.encode(x or "", add_special_tokens=False).ids, 1])) for _, x in ROWS)
-    assert sorted(r[3] for r in got) == want
-    assert all(a[1] + a[2] == b[1] for a, b in zip(got, got[1:], strict=False))
-    assert bitpack.decode(bitpack.encode(none, path)).count() == 0
-
-
 def test_words_match_whole_texts():
     import public_tokenizers
 
@@ -190,15 +176,6 @@ def test_fixity(spark):
     assert merkle.audit(empty, empty).count() == 0
 
 
-def test_packing(docs, none):
-    items = bestfit.word_tokens(docs)
-    got = bestfit.pack(items, sizes=(16, 64, 256), rows_per_group=2).collect()
-    assert sum(r.n_tokens for r in got) == sum(r.tokens for r in items.collect())
-    assert len({(r.bin_id, r.bin_offset) for r in got}) == len(got)
-    assert all(r.bin_offset + r.n_tokens <= r.bin_tokens <= r.capacity for r in got)
-    assert bestfit.pack(bestfit.word_tokens(none)).count() == 0
-
-
 def test_stages_keep_columns_of_any_name(docs, none, spark):
     extra = ["_score", "_turn", "_hits", "_items", "_n_words", "n", "sid", "component_id", "_s"]
     wide = docs.select("*", *(F.lit(i).alias(c) for i, c in enumerate(extra)))
@@ -208,7 +185,6 @@ def test_stages_keep_columns_of_any_name(docs, none, spark):
         got = f(wide)
         assert got.columns == wide.columns
         assert all(tuple(r)[2:] == tuple(range(len(extra))) for r in got.collect())
-    assert bestfit.pack(bestfit.word_tokens(wide)).count() >= len({r[0] for r in ROWS})
 
 
 def test_rows_without_id_all_stay(spark):
