@@ -6,29 +6,37 @@ size is opened that costs least for each token it can be expected to hold, count
 shorter items that are left. At the end every bin is downsized to the smallest permitted
 length that holds its contents.
 
-The plan is made from the histogram of item lengths, so its size depends on the permitted
-lengths and not on the number of documents: equal lengths are interchangeable, and bins with
-the same contents are handled as one group. Each group of equal bins takes a range of ranks
-of each length. Rows then find their bin from their rank among items of their length; ranks
-come from hash-salted groups of bounded size and the groups' offsets, so a length that a third
-of all rows share is no single task.
-
-Documents longer than the largest length are cut into pieces of it. Defined cases: null and
-empty texts have the end token only; repeated rows are packed each for itself; an empty table
-gives an empty result.
+``pack`` encodes documents with a tokenizer, ends each with an end id, cuts what is longer than
+the largest length into pieces of it, and packs the pieces of ``buffer_tokens`` tokens at a time
+where they were read: the texts and ids of a corpus are never exchanged, a task's memory is
+bounded by the buffer or the longest document, and a lost task is done again alone. A buffer
+fills hundreds of bins, so that all but its last few are as full as those of one plan for all;
+the last ones are downsized. Equal lengths are interchangeable and bins of the same contents
+are one group of the plan.
+
+A row of the result is a bin: bin_id, capacity, n_tokens, ids (its tokens, one piece after the
+other), doc_ids, and pieces: for each its number in its document, the start in the document's
+ids, offset and length in ``ids``, and all columns of its document but the text.
+
+Defined cases: null and empty texts have the end token only; repeated rows are packed each for
+itself; columns of any name are kept, in ``pieces.doc``; null doc_ids are null in ``doc_ids``; an
+empty table gives an empty result. Which documents share a bin depends on how the table is read
+in splits; contents, bounds and the lengths of bins of a split do not.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from . import _util as U
+from . import bitpack
 
 SIZES = (512, 1024, 2048, 4096, 8192)
 #: Tokens that opening any bin costs besides its length.
@@ -57,24 +65,21 @@ class Group:
         self.used += n
 
 
-def choose_size(n: int, left: list[tuple[int, int]], sizes: tuple[int, ...], overhead: int) -> int:
+def choose_size(n: int, lengths: list[int], counts: list[int], last: int, sizes: tuple[int, ...], overhead: int) -> int:
     """The permitted length that costs least a token for a bin opened by an item of ``n`` tokens.
 
-    ``left``: (length, count) of this and all shorter lengths, the longest first. What a bin of
-    size c will hold is estimated by filling it greedily from ``left``.
+    ``lengths`` in ascending order up to the place ``last``, with the ``counts`` that are left. What
+    a bin of size c will hold is estimated by filling it from them, the longest first.
     """
     best = None
     for c in sizes:
         if c < n:
             continue
-        room = c - n
-        for m, count in left:
-            if room < m:
-                continue
-            take = min(count - (m == n), room // m)
-            room -= max(0, take) * m
-            if not room:
-                break
+        room, at = c - n, last
+        while room and (at := min(at, bisect_right(lengths, room, 0, at + 1) - 1)) >= 0:
+            m = lengths[at]
+            room -= max(0, min(counts[at] - (m == n), room // m)) * m
+            at -= 1
         cost = (c + overhead) / (c - room)
         if best is None or cost < best[0]:
             best = (cost, c)
@@ -84,7 +89,8 @@ def choose_size(n: int, left: list[tuple[int, int]], sizes: tuple[int, ...], ove
 def plan(histogram: dict[int, int], sizes: tuple[int, ...] = SIZES, overhead: int = OVERHEAD) -> list[Group]:
     """Groups of equal bins that hold every item of ``histogram`` (length: count)."""
     sizes = tuple(sorted(sizes))
-    lengths = sorted((n for n, c in histogram.items() if c), reverse=True)
+    lengths = sorted(n for n, c in histogram.items() if c)
+    counts = [histogram[n] for n in lengths]
     rooms: list[int] = []  # distinct free room of open groups, in order
     open_: dict[int, list[Group]] = {}
     done: list[Group] = []
@@ -99,8 +105,8 @@ def plan(histogram: dict[int, int], sizes: tuple[int, ...] = SIZES, overhead: in
                 insort(rooms, room)
             open_[room].append(g)
 
-    for i, n in enumerate(lengths):
-        count, rank = histogram[n], 0
+    for i in range(len(lengths) - 1, -1, -1):
+        n, count, rank = lengths[i], counts[i], 0
         while count:
             at = bisect_left(rooms, n)
             if at < len(rooms):
@@ -113,8 +119,8 @@ def plan(histogram: dict[int, int], sizes: tuple[int, ...] = SIZES, overhead: in
                     put(g)
                     g = part
             else:
-                left = [(m, count if m == n else histogram[m]) for m in lengths[i : i + 4096]]
-                size = choose_size(n, left, sizes, overhead)
+                counts[i] = count
+                size = choose_size(n, lengths, counts, i, sizes, overhead)
                 g = Group(max(1, count // max(1, size // n)), size)
             g.add(n, rank)
             rank += g.bins
@@ -128,70 +134,126 @@ def plan(histogram: dict[int, int], sizes: tuple[int, ...] = SIZES, overhead: in
 
 
 class Lookup:
-    """Bin, capacity and offset of (length, rank), by binary search."""
+    """Bin, capacity, tokens in the bin and offset of (length, rank), by binary search."""
 
     def __init__(self, groups: list[Group]):
         rows = []
-        first = 0
+        self.bins = 0
         for g in sorted(groups, key=lambda g: (g.size, g.items)):
-            rows += [(n, rank, first, g.size, g.used, at) for n, rank, at in g.items]
-            first += g.bins
+            rows += [(n, rank, self.bins, g.size, g.used, at) for n, rank, at in g.items]
+            self.bins += g.bins
         rows.sort()
         self.rows = np.array(rows, np.int64).reshape(-1, 6)
         self.key = self.rows[:, 0] * (1 << 40) + self.rows[:, 1]
 
     def find(self, n: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, ...]:
-        """bin, capacity, tokens in the bin, offset."""
         r = self.rows[np.searchsorted(self.key, n * (1 << 40) + rank, "right") - 1]
         return r[:, 2] + rank - r[:, 1], r[:, 3], r[:, 4], r[:, 5]
 
 
-OUT = ["bin_id", "capacity", "bin_tokens", "bin_offset"]
+def ranks(n: np.ndarray) -> np.ndarray:
+    """Each item's number, from 0, among the items of its length."""
+    order = np.argsort(n, kind="stable")
+    first = np.flatnonzero(np.diff(n[order], prepend=-1))
+    out = np.empty(len(n), np.int64)
+    out[order] = np.arange(len(n)) - np.repeat(first, np.diff(np.append(first, len(n))))
+    return out
+
+
+# ---------------------------------------------------------------- over documents
+
+BIN = [("bin_id", pa.int64()), ("capacity", pa.int32()), ("n_tokens", pa.int32())]
+PIECE = [("piece", pa.int32()), ("start", pa.int64()), ("offset", pa.int32()), ("length", pa.int32())]
+
+
+def cut(ids: list[bytes], top: int) -> tuple[list[int], list[int], list[bytes]]:
+    """The pieces of each document's ids (4 bytes each): document, number in it, ids."""
+    docs, nth, out = [], [], []
+    for k, x in enumerate(ids):
+        for j in range(0, len(x), 4 * top):
+            docs.append(k)
+            nth.append(j // (4 * top))
+            out.append(x[j : j + 4 * top])
+    return docs, nth, out
+
+
+def bins(docs: list[pa.Array], nth: list[int], ids: list[bytes], first: int, sizes: tuple[int, ...], overhead: int) -> pa.RecordBatch:
+    """One batch of bins of the pieces ``ids``; ``docs`` has the columns of each piece's document, doc_id first."""
+    n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    lengths, counts = np.unique(n, return_counts=True)
+    look = Lookup(plan(dict(zip(lengths.tolist(), counts.tolist(), strict=True)), sizes, overhead))
+    at, capacity, used, offset = look.find(n, ranks(n))
+    order = np.lexsort((offset, at))
+    head = np.flatnonzero(np.diff(at[order], prepend=-1))
+    ends = np.append(head, len(order)).astype(np.int32)
+    top, nth_ = max(sizes), np.array(nth, np.int64)
+    flat = np.frombuffer(b"".join([ids[i] for i in order.tolist()]), "<u4").astype(np.int32)
+    spans = np.concatenate(([0], np.cumsum(used[order][head]))).astype(np.int32)
+    take = pa.array(order)
+    own = pa.StructArray.from_arrays([c.take(take) for _, c in docs], names=[k for k, _ in docs])
+    columns = [x[order] for x in (nth_, nth_ * top, offset, n)]
+    piece = pa.StructArray.from_arrays([*(pa.array(x.astype(t.to_pandas_dtype()), t) for x, (_, t) in zip(columns, PIECE, strict=True)), own], names=[*(c for c, _ in PIECE), "doc"])
+    rows = [first + np.arange(look.bins), capacity[order][head], used[order][head]]
+    doc_ids = next(c for k, c in docs if k == "doc_id").take(take)
+    return pa.RecordBatch.from_arrays([
+        *(pa.array(x.astype(t.to_pandas_dtype()), t) for x, (_, t) in zip(rows, BIN, strict=True)),
+        pa.ListArray.from_arrays(spans, pa.array(flat)), pa.ListArray.from_arrays(ends, doc_ids), pa.ListArray.from_arrays(ends, piece),
+    ], names=[*(c for c, _ in BIN), "ids", "doc_ids", "pieces"])
+
+
+def _pack(path: str, end_id: int, sizes: tuple[int, ...], overhead: int, buffer_tokens: int, keep: list[str]):
+    end = np.array([end_id], "<u4").tobytes()
+
+    def run(batches):
+        words = bitpack.Words(path)
+        part, made = TaskContext.get().partitionId() << 33, 0
+        docs: list[list[pa.Array]] = []
+        nth: list[int] = []
+        ids: list[bytes] = []
+        size = 0
+
+        def send():
+            nonlocal docs, nth, ids, size, made
+            columns = [(c, pa.concat_arrays([d[i] for d in docs])) for i, c in enumerate(keep)]
+            out = bins(columns, nth, ids, part + made, sizes, overhead)
+            made += out.num_rows
+            docs, nth, ids, size = [], [], [], 0
+            return out
 
-
-def _place(held, keep: list[str]):
-    def place(batches):
-        look: Lookup = held.value
         for b in batches:
-            got = look.find(b.column("n_tokens").to_numpy(zero_copy_only=False), b.column("_rank").to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(x) for x in got)], names=[*keep, *OUT])
-
-    return place
-
-
-def pack(items: DataFrame, *, sizes: tuple[int, ...] = SIZES, overhead: int = OVERHEAD, rows_per_group: int = 256) -> DataFrame:
-    """``items(doc_id, tokens)`` as pieces with bin_id, capacity, bin_tokens and bin_offset.
-
-    The number of plan rows follows the permitted lengths; it is what the broadcast holds.
-    """
-    top = max(sizes)
-    spark = items.sparkSession
-    tokens = F.col("tokens").cast("long")
-    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.greatest(tokens, F.lit(1)) - 1) / top).cast("long")))
-    cut = items.select("doc_id", F.greatest(tokens, F.lit(1)).alias("tokens")).withColumn("piece", piece)
-    cut = cut.select("doc_id", "piece", (F.col("piece") * top).alias("start"), F.least(F.lit(top).cast("long"), F.col("tokens") - F.col("piece") * top).alias("n_tokens"))
-    cut = U.materialize(cut.withColumn("_uid", F.monotonically_increasing_id()), "pieces")
-    counts = {r[0]: r[1] for r in cut.groupBy("n_tokens").count().collect()}  # at most max(sizes) rows
-    groups = plan(counts, sizes, overhead)
-    many = spark.createDataFrame([(n, -(-c // rows_per_group)) for n, c in counts.items()], "n_tokens long, _many int")
-    salted = cut.join(F.broadcast(many), "n_tokens").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "_uid"), "_many"))
-    key = ["n_tokens", "_salt"]
-    before = Window.partitionBy("n_tokens").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = salted.groupBy(*key).agg(F.count("*").alias("_n")).select(*key, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    row = F.row_number().over(Window.partitionBy(*key).orderBy("doc_id", "piece", "_uid")) - 1
-    ranked = salted.withColumn("_row", row).join(offsets, key).withColumn("_rank", F.col("_before") + F.col("_row"))
-    keep = ["doc_id", "piece", "start", "n_tokens"]
-    held = spark.sparkContext.broadcast(Lookup(groups))
-    names = dict(cut.dtypes)
-    ddl = ", ".join([*(f"{c} {names[c]}" for c in keep), *(f"{c} long" for c in OUT)])
-    return ranked.select(*keep, "_rank").mapInArrow(_place(held, keep), ddl)
-
-
-def word_tokens(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the number of its words (parted by ASCII white space) and one end."""
-    trimmed = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
-    return docs.select("doc_id", (trimmed + 1).cast("long").alias("tokens"))
+            at = 0
+            for texts in U.text_slices(b.column("text")):
+                rows, number, cuts = cut([x + end for x in words.encode(texts)], max(sizes))
+                take = pa.array(np.array(rows, np.int64) + at)
+                docs.append([b.column(c).take(take) for c in keep])
+                at += len(texts)
+                nth += number
+                ids += cuts
+                size += sum(map(len, cuts)) // 4
+                if size >= buffer_tokens:
+                    yield send()
+        if ids:
+            yield send()
+
+    return run
+
+
+def pack(docs: DataFrame, path: str, *, end_id: int = 1, sizes: tuple[int, ...] = SIZES, overhead: int = OVERHEAD, buffer_tokens: int = 4 << 20) -> DataFrame:
+    """``docs(doc_id, text, ...)`` as bins of token ids by the tokenizer at ``path``; see the module."""
+    keep = [c for c in docs.columns if c != "text"]
+    own = T.StructType([docs.schema[c] for c in keep])
+    schema = T.StructType([
+        T.StructField("bin_id", T.LongType()), T.StructField("capacity", T.IntegerType()), T.StructField("n_tokens", T.IntegerType()),
+        T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("doc_ids", T.ArrayType(docs.schema["doc_id"].dataType)),
+        T.StructField("pieces", T.ArrayType(T.StructType([
+            T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("offset", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("doc", own),
+        ]))),
+    ])
+    return docs.select(*(f"`{c}`" for c in [*keep, "text"])).mapInArrow(_pack(path, end_id, tuple(sorted(sizes)), overhead, buffer_tokens, keep), schema)
 
 
 def op10_bestfit_pack(spark, sf_dir: str) -> DataFrame:
-    return pack(word_tokens(U.read(spark, sf_dir, "documents")))
+    import public_tokenizers
+
+    docs = U.read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
