@@ -28,8 +28,10 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents as pieces in sequences of the permitted lengths."""
-    return bestfit.pack(bestfit.word_tokens(docs))
+    """All documents as token ids in sequences of the permitted lengths; ``pieces`` keeps their columns."""
+    import public_tokenizers
+
+    return bestfit.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [("quality", good_quality), ("near_duplicates", near_duplicates), ("decontaminate", benchmark_free), ("pack", packed)]
