@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -155,6 +156,11 @@ def by_batches(f):
     return g
 
 
+def attempt() -> int:
+    """The number of the running task attempt, which no other has."""
+    return TaskContext.get().taskAttemptId()
+
+
 def pieces(total: int, each: int, least: int) -> int:
     return max(least, math.ceil(total / each))
 

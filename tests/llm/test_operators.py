@@ -176,6 +176,41 @@ def test_fixity(spark):
     assert merkle.audit(empty, empty).count() == 0
 
 
+def test_warc_files(spark, tmp_path):
+    rows = [(i, f"http://x/{i}", "<p>" + "é" * (i % 7) + str(i)) for i in range(200)] + [(None, None, None), (7, "http://x/7", "<p>7"), (7, "http://x/7", "<p>7"), (900, "u", "x" * 300_000)]
+    stored = merkle.archive(spark.createDataFrame(rows, "page_id long, url string, html string"), segment=64)
+    folders = [f"file://{tmp_path}/{k}" for k in "ab"]
+    for folder in folders:
+        merkle.write_files(stored, folder)
+    names = sorted(p.name for p in (tmp_path / "a").iterdir())
+    assert names == [f"segment-{k:08d}.warc" for k in range(4)]
+    # a plain reader by headers alone finds every record, with an id of its own and a date
+    seen = []
+    for name in names:
+        data, at = (tmp_path / "a" / name).read_bytes(), 0
+        while at < len(data):
+            head, _, rest = data[at:].partition(b"\r\n\r\n")
+            fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+            n = int(fields["Content-Length"])
+            block = rest[:n]
+            assert head.startswith(b"WARC/1.1\r\n") and fields["WARC-Date"] and rest[n : n + 4] == b"\r\n\r\n"
+            assert fields["WARC-Block-Digest"] == "sha256:" + hashlib.sha256(block).hexdigest()
+            seen.append((fields["WARC-Record-ID"], block.partition(b"\r\n\r\n")[2].decode()))
+            at += len(head) + 4 + n + 4
+    assert sorted(b for _, b in seen) == sorted(h or "" for _, _, h in rows) and len({i for i, _ in seen}) == len(rows)
+    a, b = (merkle.read_files(stored, f) for f in folders)
+    assert merkle.audit(stored, a, fanout=4).count() == 0
+    third = tmp_path / "b" / names[2]
+    third.write_bytes(third.read_bytes()[:-3])
+    first = bytearray((tmp_path / "b" / names[0]).read_bytes())
+    first[500] ^= 1
+    (tmp_path / "b" / names[0]).write_bytes(first)
+    (tmp_path / "b" / names[3]).unlink()
+    hurt = {r.position for r in stored.where("segment = 0 and start <= 500 and start + length > 500").collect()}
+    got = {(r.position, r.fault) for r in merkle.audit(stored, b, fanout=4).collect()}
+    assert got == {(p, "altered") for p in hurt} | {(191, "truncated")} | {(p, "missing") for p in range(192, len(rows))}
+
+
 def test_stages_keep_columns_of_any_name(docs, none, spark):
     extra = ["_score", "_turn", "_hits", "_items", "_n_words", "n", "sid", "component_id", "_s"]
     wide = docs.select("*", *(F.lit(i).alias(c) for i, c in enumerate(extra)))
