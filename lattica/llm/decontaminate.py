@@ -7,10 +7,13 @@ of known words are looked up by a 64-bit hash, and each hit is verified word by
 
 The set is broadcast in blocks of at most ``block_bytes`` of benchmark text (its size is
 measured first), one pass over the documents for each block; results of all passes are united
-by word position. Nothing is shuffled.
+by word position. Nothing is shuffled. A block is held as arrays, about 25 bytes a word, and a
+dictionary of its distinct words, some 150 bytes each.
 
 Defined cases: null and empty texts have no words and no hits; an item without words has no
-window; repeated items and rows count each for itself; with an empty benchmark nothing is hit.
+window; repeated items and rows count each for itself; item_ids are of any type that sorts, null
+last; columns of any name are kept; a text of any length is scanned whole; with an empty benchmark
+nothing is hit, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import _util as U
 
@@ -34,58 +38,71 @@ WORD = re.compile(rb"[^ ]+")
 
 
 class WindowSet:
-    """Windows of benchmark items, by length."""
+    """Windows of benchmark items, by length: where each begins in the words of all items, in order of hashes."""
 
-    def __init__(self, items: list[tuple[int | None, bytes]], width: int = 13):
+    def __init__(self, items: list[tuple], width: int = 13):
         self.items = [i for i, _ in items]
         self.vocabulary: dict[bytes, int] = {MARK: -1}
-        self.groups: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         self.factor = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, width, dtype=np.uint64) | np.uint64(1)
-        found: dict[tuple[int, ...], set[int]] = {}
-        for k, (_, text) in enumerate(items):
-            words = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in text.translate(TABLE).split()]
-            n = min(width, len(words))
-            for i in range(len(words) - n + 1) if n else ():
-                found.setdefault(tuple(words[i : i + n]), set()).add(k)
-        for n in sorted({len(w) for w in found}):
-            keys = [w for w in found if len(w) == n]
-            grams = np.array(keys, np.int64)
-            code = self.hashes(grams)
+        number = self.vocabulary.setdefault
+        words = [np.fromiter((number(w, len(self.vocabulary)) for w in text.translate(TABLE).split()), np.int32) for _, text in items]
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        self.words = np.concatenate([*words, np.zeros(0, np.int32)])
+        first = np.cumsum(n) - n
+        self.groups: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        size = np.minimum(n, width)
+        for k in np.unique(size[size > 0]).tolist():
+            own = np.flatnonzero(size == k)
+            many = n[own] - k + 1
+            owner = np.repeat(own, many)
+            at = np.repeat(first[own] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            code = self.hashes(self.words, at, k)
             order = np.argsort(code, kind="stable")
-            owners = [sorted(found[keys[i]]) for i in order]
-            self.groups.append((n, code[order], grams[order], np.concatenate(([0], np.cumsum([len(o) for o in owners]))), np.array([x for o in owners for x in o], np.int64)))
+            self.groups.append((k, code[order], at[order].astype(np.int32), owner[order].astype(np.int32)))
 
-    def hashes(self, grams: np.ndarray) -> np.ndarray:
-        return (grams.astype(np.uint64) * self.factor[: grams.shape[1]]).sum(axis=1, dtype=np.uint64)
+    def hashes(self, words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        total = np.zeros(len(at), np.uint64)
+        for j in range(n):
+            total += words[at + j].astype(np.uint64) * self.factor[j]
+        return total
 
     def search(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hit words as a mask; positions of found windows and their items."""
         hit = np.zeros(len(ids) + 1, np.int64)
-        where, which = [], []
+        where, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         known = np.concatenate(([0], np.cumsum(ids > 0)))
-        for n, code, grams, owner_at, owners in self.groups:
+        for n, code, begin, owner in self.groups:
             if len(ids) < n:
                 continue
             at = np.flatnonzero(known[n:] - known[:-n] == n)
-            if not len(at):
-                continue
-            seen = ids[at[:, None] + np.arange(n)]
-            h = self.hashes(seen)
-            left, right = np.searchsorted(code, h, "left"), np.searchsorted(code, h, "right")
-            for step in range(int((right - left).max(initial=0))):  # more than one only where hashes collide
-                k = left + step
-                ok = k < right
-                k = np.minimum(k, len(code) - 1)
-                ok &= (grams[k] == seen).all(axis=1)
-                a, k = at[ok], k[ok]
+            h = self.hashes(ids, at, n)
+            left = np.searchsorted(code, h, "left")
+            seen = np.flatnonzero(code[np.minimum(left, len(code) - 1)] == h)
+            at, left = at[seen], left[seen]
+            many = np.searchsorted(code, h[seen], "right") - left
+            for i, j in _spans(many, 1 << 18):  # every window of equal hash, verified word by word
+                m = many[i:j]
+                k = np.repeat(left[i:j] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                a = np.repeat(at[i:j], m)
+                same = np.ones(len(k), bool)
+                for w in range(n):
+                    same &= self.words[begin[k] + w] == ids[a + w]
+                a, k = a[same], k[same]
                 np.add.at(hit, a, 1)
                 np.add.at(hit, a + n, -1)
-                counts = owner_at[k + 1] - owner_at[k]
-                where.append(np.repeat(a, counts))
-                if len(k):
-                    which.append(np.concatenate([owners[i:j] for i, j in zip(owner_at[k], owner_at[k + 1], strict=True)]))
-        none = np.zeros(0, np.int64)
-        return np.cumsum(hit)[:-1] > 0, np.concatenate(where or [none]), np.concatenate(which or [none])
+                where.append(a)
+                which.append(owner[k].astype(np.int64))
+        return np.cumsum(hit)[:-1] > 0, np.concatenate(where), np.concatenate(which)
+
+
+def _spans(many: np.ndarray, most: int):
+    """Ranges of ``many`` that sum to about ``most``, at least one each."""
+    ends = np.cumsum(many)
+    i = 0
+    while i < len(many):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+        yield i, j
+        i = j
 
 
 def cut(text: bytes, hits: set[int]) -> bytes:
@@ -107,7 +124,7 @@ def cut(text: bytes, hits: set[int]) -> bytes:
 HITS = pa.list_(pa.int64())
 
 
-def _scan(windows, keep: list[str]):
+def _scan(windows, keep: list[str], item_type: pa.DataType):
     def scan(batches):
         w: WindowSet = windows.value
         get = w.vocabulary.get
@@ -134,7 +151,7 @@ def _scan(windows, keep: list[str]):
             hits = [sorted({*o, *h}) if o else h for o, h in zip(old_hits, hits, strict=True)]
             items = [sorted({*o, *n}, key=lambda x: (x is None, x)) for o, n in zip(old_items, items, strict=True)]
             cols = [b.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_words, pa.int64()), pa.array(hits, HITS), pa.array(items, HITS)], names=[*keep, "_n_words", "_hits", "_items"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_words, pa.int64()), pa.array(hits, HITS), pa.array(items, pa.list_(item_type))], names=[*keep, "_n_words", "_hits", "_items"])
 
     return scan
 
@@ -159,16 +176,17 @@ def blocks_of(benchmark: DataFrame, block_bytes: int):
         yield [(r[0], (r[1] or "").encode()) for r in part.select("item_id", "text").collect()]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, block_bytes: int = 32 << 20) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, block_bytes: int = 8 << 20) -> DataFrame:
     """``docs`` with _n_words, _hits (positions of hit words) and _items (item_ids found)."""
     spark = docs.sparkSession
     keep = [c for c in docs.columns if c not in ("_n_words", "_hits", "_items")]
-    out = docs.select(*(f"`{c}`" for c in keep), F.array().cast("array<long>").alias("_hits"), F.array().cast("array<long>").alias("_items"))
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("_n_words", T.LongType()), T.StructField("_hits", T.ArrayType(T.LongType())), T.StructField("_items", T.ArrayType(T.LongType()))])
+    kind = benchmark.schema["item_id"].dataType
+    out = docs.select(*(f"`{c}`" for c in keep), F.array().cast("array<long>").alias("_hits"), F.array().cast(T.ArrayType(kind)).alias("_items"))
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("_n_words", T.LongType()), T.StructField("_hits", T.ArrayType(T.LongType())), T.StructField("_items", T.ArrayType(kind))])
     for k, items in enumerate(blocks_of(benchmark, block_bytes)):
         if k:
             out = U.materialize(out, "scan")
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(WindowSet(items, width)), keep), schema)
+        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(WindowSet(items, width)), keep, to_arrow_type(kind)), schema)
     return out
 
 

@@ -197,3 +197,29 @@ def test_classifier_learns_and_bounds():
     one, n = quality.features([b"a a b", b"", b"c"], 12)
     two = [quality.features([t], 12)[0] for t in (b"a a b", b"", b"c")]
     assert (one == np.concatenate(two)).all() and n.tolist() == [6, 0, 2]
+
+
+def brute_hits(words, items, width):
+    hit, found = set(), set()
+    for k, text in enumerate(items):
+        item = text.translate(decontaminate.TABLE).split()
+        n = min(width, len(item))
+        grams = {tuple(item[i : i + n]) for i in range(len(item) - n + 1)} if n else set()
+        for i in range(len(words) - n + 1):
+            if tuple(words[i : i + n]) in grams:
+                hit |= set(range(i, i + n))
+                found.add(k)
+    return hit, found
+
+
+@pytest.mark.parametrize("width", [1, 2, 5])
+def test_windows_against_brute_force(width):
+    for _ in range(60):
+        words = [b"a", b"b", b"c", "é".encode(), b"d"]
+        some = lambda most: b" ".join(words[i] for i in RNG.integers(0, 5, int(RNG.integers(0, most))))
+        items = [some(9) for _ in range(int(RNG.integers(0, 6)))] * int(RNG.integers(1, 3))
+        w = decontaminate.WindowSet(list(enumerate(items)), width)
+        doc = some(40).translate(decontaminate.TABLE).split()
+        mask, _, which = w.search(np.array([w.vocabulary.get(x, 0) for x in doc], np.int64))
+        hit, found = brute_hits(doc, items, width)
+        assert set(np.flatnonzero(mask).tolist()) == hit and set(which.tolist()) == found

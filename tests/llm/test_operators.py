@@ -119,6 +119,8 @@ def test_decontamination(docs, none, spark):
     assert got[1].items_sha256 == hashlib.sha256(b"5").hexdigest() and got[3].items_sha256 == hashlib.sha256(b"").hexdigest()
     parts = decontaminate.report(decontaminate.scan(docs, bench, block_bytes=20))
     assert sorted(map(str, parts.collect())) == sorted(map(str, decontaminate.report(decontaminate.scan(docs, bench)).collect()))
+    named = bench.withColumn("item_id", F.concat(F.lit("item "), "item_id"))
+    assert {r.items_sha256 for r in decontaminate.report(decontaminate.scan(docs, named)).collect() if r.doc_id == 1} == {hashlib.sha256(b"item 5").hexdigest()}
     kept = decontaminate.clean(docs.withColumn("n_chars", F.length("text")), bench)
     assert kept.count() == len(ROWS) - 3
     assert decontaminate.scan(docs, bench.limit(0)).where("size(_hits) > 0").count() == 0
