@@ -7,12 +7,15 @@ shard's residual capacity is highest.
 Groups that hold a noticeable part of a shard are placed singly; there are few of them by
 definition. All others are first gathered, by a hash of the text, into a fixed number of
 bundles that are placed as one, so the driver handles a bounded number of vectors whatever the
-input. A group too large for any shard's share is divided into the fewest equal parts that
-fit. Positions in a shard come from counts of sub-units of bounded size, without a sort of a
-whole shard.
+input. Only a group with more bytes than a shard's share, which the law ``bytes`` can't hold
+whole, is divided, into the fewest equal parts that fit. Tokens are counted as the pieces that
+tokenizers part texts into before they merge. Positions in a shard come from counts of sub-units of
+bounded size, without a sort of a whole shard.
 
 Defined cases: null text counts no bytes and no tokens and its rows form one group; repeated
-rows each get a slot; an empty table gives an empty result. A group is told by two 64-bit hashes.
+rows each get a slot; rows with equal doc_id are in any order among themselves; extra columns are
+not read; a text of any length is one row; an empty table gives an empty result. A group is told by
+96 bits of hashes.
 """
 
 from __future__ import annotations
@@ -23,13 +26,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import _util as U
+from .chat import pieces
 
 DIMENSIONS = ("size", "tokens", "rows")
 
 
 def place(vectors: np.ndarray, shards: int) -> np.ndarray:
-    """A shard for each vector (row), the largest first, by the highest dot product with the
-    residual capacity among shards with room, or among all where none has."""
+    """A shard for each vector (row), the largest first, by the highest dot product with what is left
+    of the capacity, among shards with room in the first dimension, which is the law's; where none has,
+    the shard with the most room there. Shares of other dimensions may be exceeded, and then count as used up."""
     if not len(vectors):
         return np.zeros(0, np.int64)
     share = vectors / np.maximum(vectors.sum(axis=0), 1e-9)
@@ -37,10 +42,8 @@ def place(vectors: np.ndarray, shards: int) -> np.ndarray:
     out = np.zeros(len(vectors), np.int64)
     for i in np.argsort(-share.sum(axis=1), kind="stable"):
         v = share[i]
-        fits = (residual >= v).all(axis=1)
-        gain = residual @ v
-        if fits.any():
-            gain = np.where(fits, gain, -np.inf)
+        fits = residual[:, 0] >= v[0]
+        gain = np.where(fits, np.maximum(residual, 0) @ v, -np.inf) if fits.any() else residual[:, 0]
         out[i] = k = int(np.argmax(gain))
         residual[k] -= v
     return out
@@ -52,7 +55,7 @@ def measure(docs: DataFrame) -> DataFrame:
     cols = docs.select(
         "doc_id",
         (F.octet_length(text) + 8).cast("long").alias("size"),
-        F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("tokens"),
+        pieces(text).cast("long").alias("tokens"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64("text").alias("_h"),
         F.hash("text").alias("_g"),
@@ -76,7 +79,7 @@ def shard(docs: DataFrame, shards: int = 24, *, bundles: int = 24_576, single: i
     for c, x in zip(DIMENSIONS, share, strict=True):
         large = large | (F.col(c) >= max(2.0, x / single))
     big = rows.groupBy("_h", "_g").agg(*sums).where(large & (F.col("rows") > 1)).collect()  # at most 3 * shards * single groups
-    parts = {(r["_h"], r["_g"]): max(1, *(int(np.ceil(r[c] / x - 1e-9)) for c, x in zip(DIMENSIONS, share, strict=True))) for r in big}
+    parts = {(r["_h"], r["_g"]): max(1, int(np.ceil(r["size"] / share[0] - 1e-9))) for r in big}
     # sub-units: bounded in rows; a part of a big group consists of whole sub-units
     each = max(1, total["rows"] // bundles)
     mean = max(each, 64)

@@ -68,6 +68,46 @@ def test_hot_group_is_divided(spark):
     assert len({(r.shard, r.slot) for r in rows}) == 900
 
 
+def test_shards_against_plain_placement(spark):
+    """Few groups, each a bundle of its own: the plan is that of a plain loop over groups."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["a", "bb", "c1", "."], k=rng.randrange(1, 60))) for _ in range(40)]
+    rows = [(i, rng.choice(texts)) for i in range(160)]
+    got = vectorbins.shard(spark.createDataFrame(rows, "doc_id long, text string"), 5, bundles=1 << 20, single=1 << 20).collect()
+    groups = {}
+    for r in got:
+        g = groups.setdefault(dict(rows)[r.doc_id], [0, 0, 0])
+        for k, v in enumerate((r["size"], r.tokens, 1)):
+            g[k] += v
+    total = [sum(g[k] for g in groups.values()) for k in range(3)]
+    share = {t: [g[k] / total[k] for k in range(3)] for t, g in groups.items()}
+    left = [[1 / 5] * 3 for _ in range(5)]
+    sums = []
+    for t in sorted(share, key=lambda t: -sum(share[t])):
+        v = share[t]
+        able = [k for k in range(5) if left[k][0] >= v[0]]
+        if able:
+            k = max(able, key=lambda k: (sum(max(a, 0) * b for a, b in zip(left[k], v, strict=True)), -k))
+        else:
+            k = max(range(5), key=lambda k: (left[k][0], -k))
+        left[k] = [a - b for a, b in zip(left[k], v, strict=True)]
+        sums.append((k, groups[t][0]))
+    shard = {}
+    for r in got:
+        assert shard.setdefault(dict(rows)[r.doc_id], r.shard) == r.shard  # groups stay whole
+    want = sorted(sum(n for k, n in sums if k == j) for j in range(5))
+    assert sorted(sum(r["size"] for r in got if r.shard == j) for j in range(5)) == want
+
+
+def test_many_small_copies_stay_together(spark):
+    """400 empty texts among 2,400 rows are a trifle in bytes: one shard holds them, and sizes stay equal."""
+    df = spark.range(2400).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 400, "").otherwise(F.concat(F.repeat(F.lit("word "), 20), F.col("id").cast("string"))).alias("text"))
+    rows = vectorbins.shard(df, 24).collect()
+    assert len({r.shard for r in rows if r.doc_id < 400}) == 1
+    sums = [sum(r["size"] for r in rows if r.shard == k) for k in range(24)]
+    assert max(sums) < 1.1 * min(sums)
+
+
 def test_fingerprints(docs, none, spark):
     rows = cws.compare(docs).collect()
     assert len(rows) == len(ROWS)
