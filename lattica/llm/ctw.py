@@ -8,13 +8,18 @@ one 0xFF, which UTF-8 never uses; the end is coded, so scores are probabilities
 
 Nothing is gathered by document or on one machine: documents are dealt into chunks, a chunk
 sends the distinct byte strings of ``depth + 1`` bytes it holds (with training counts) to
-buckets keyed by the last two context bytes, a bucket builds the part of the tree below its
-two-byte contexts and answers with log-probabilities (as 32-bit floats), and the chunk adds them up. Only the
-65,536 possible nodes of depths 0 and 1 go through the driver.
+buckets keyed by the last two context bytes, or by the last three where the two are so frequent
+that one task would get too many strings; a bucket builds the part of the tree below its contexts
+and answers with log-probabilities, and the chunk adds them up. Only the 65,536 possible nodes of
+depths 0 and 1, and the depth-2 nodes of at most ``HOT`` divided pairs, go through the driver.
+
+``bits_per_byte`` is a text's code length over its coded bytes (those of the text and its end).
 
 Defined cases: null text is empty and still codes its end; a node without training data
 predicts what its parent's own estimator predicts; with no training data at all every bit
-has probability 1/2. Repeated rows are scored each for itself and counted each.
+has probability 1/2. Repeated rows are scored each for itself and counted each, and are dealt
+into chunks like any others; null doc_ids are kept; extra columns are not read; a text of any
+length is in one chunk, whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +39,7 @@ from . import _util as U
 END = 0xFF
 END_WORD = b" "  # no word holds white space
 LN2 = math.log(2.0)
+HOT = 1024  # pairs of bytes that are divided by a third, at most
 
 
 # ---------------------------------------------------------------- numeric kernels
@@ -247,11 +253,25 @@ def unpack_words(data: bytes) -> list[bytes]:
     return raw.split(b"\n") if raw else []
 
 
-def gram_bucket(keys: np.ndarray, depth: int, buckets: int) -> np.ndarray:
-    suffix = (keys >> np.uint64(8 * (depth - 1))).astype(np.uint64)
+def hot_keys(keys: np.ndarray, depth: int, hot: np.ndarray) -> np.ndarray:
+    """Which keys' last two context bytes are in ``hot``, an ascending array."""
+    pair = keys >> np.uint64(8 * (depth - 1))
+    return hot[np.minimum(np.searchsorted(hot, pair), len(hot) - 1)] == pair if len(hot) else np.zeros(len(keys), bool)
+
+
+def gram_bucket(keys: np.ndarray, depth: int, buckets: int, hot: np.ndarray) -> np.ndarray:
+    suffix = keys >> np.uint64(8 * (depth - 1))
+    if len(hot):
+        suffix = np.where(hot_keys(keys, depth, hot), (keys >> np.uint64(8 * (depth - 2))) | np.uint64(1 << 24), suffix)
     return ((suffix * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
 
 
+def frequent(counts: np.ndarray, buckets: int) -> np.ndarray:
+    """Pairs (latest byte, the one before) with more than a quarter of a bucket's mean share, the most frequent first."""
+    order = np.argsort(-counts, kind="stable")[:HOT]
+    return np.sort(order[counts[order] * 4 * buckets > counts.sum()]).astype(np.uint64)
+
+
 def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()  # bytes.lower() changes A-Z only
 
@@ -279,23 +299,41 @@ PART = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int
 PART_DDL = "chunk int, bucket int, kind int, salt int, keys binary, counts binary"
 MODEL_DDL = "bucket int, kind int, keys binary, counts binary, n double, v double"
 ANSWER_DDL = "chunk int, bucket int, kind int, vals binary"
-SCORE_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCORE_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+
+
+def _pairs(batches_):
+    """Counts of pairs of bytes, the later one high, in 16 parts."""
+    total = np.zeros(1 << 16, np.int64)
+    for b in batches_:
+        for texts in U.text_slices(b.column("text")):
+            data = np.frombuffer(bytes([END]).join([b"", *texts, b""]), np.uint8).astype(np.uint16)
+            total += np.bincount((data[1:] << np.uint16(8)) | data[:-1], minlength=1 << 16)
+    yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([total[i << 12 : (i + 1) << 12].tolist() for i in range(16)], pa.list_(pa.int64()))], names=["part", "n"])
+
+
+def pair_counts(docs: DataFrame) -> np.ndarray:
+    rows = docs.select("text").mapInArrow(_pairs, "part int, n array<long>").select("part", F.posexplode("n").alias("pos", "n"))
+    out = np.zeros(1 << 16, np.int64)
+    for part, pos, n in rows.where("n > 0").groupBy("part", "pos").agg(F.sum("n")).collect():  # at most 65,536 rows
+        out[(part << 12) + pos] = n
+    return out
 
 
-def _split(keys, depth, buckets):
-    b = gram_bucket(keys, depth, buckets)
+def _split(keys, depth, buckets, hot):
+    b = gram_bucket(keys, depth, buckets, hot)
     order = np.argsort(b, kind="stable")
     edges = np.searchsorted(b[order], np.arange(buckets + 1, dtype=np.uint64))
     return [(i, order[edges[i] : edges[i + 1]]) for i in range(buckets) if edges[i] < edges[i + 1]]
 
 
-def _send(depth: int, buckets: int, per_salt: int):
+def _send(depth: int, buckets: int, per_salt: int, hot: np.ndarray):
     def send(key, table):
         chunk = key[0].as_py()
         texts, train = U.utf8(table["text"]), np.array(table["train"].to_pylist(), bool)
         rows = []
         keys, counts = gram_counts(texts, train, depth)
-        for b, at in _split(keys, depth, buckets):
+        for b, at in _split(keys, depth, buckets, hot):
             rows.append((chunk, b, 0, chunk // per_salt, squeeze(keys[at], True), squeeze(counts[at].astype(np.uint64))))
         known, others = word_counts(texts, train)
         for b, words in by_bucket(list(known.keys() | others), buckets).items():
@@ -330,18 +368,24 @@ def _stream_sum(kind: int, batches_) -> tuple[bytes, bytes, float, float]:
     return held or _sum_parts(kind, [], [])
 
 
-def _model(depth: int):
+def _trees(k: np.ndarray, c: np.ndarray, depth: int, hot: np.ndarray) -> list[tuple[np.ndarray, Tree]]:
+    """The trees of a bucket's keys: below two context bytes, and below three for hot pairs; with their keys as a mask."""
+    warm = hot_keys(k, depth, hot)
+    return [(at, Tree(k[at], c[at], depth, low)) for low, at in ((2, ~warm), (3, warm)) if at.any()]
+
+
+def _model(depth: int, hot: np.ndarray):
     def model(key, it):
         bucket, kind = key[0].as_py(), key[1].as_py()
         k, c, n, v = _stream_sum(kind, it)
         rows = [(bucket, kind, k, c, n, v)]
         if kind == 0:
-            tree = Tree(expand(k, np.uint64, True), expand(c, np.uint64), depth, 2)
-            node, w, m, m1 = tree.top()
-            for part in range(16):  # by the context's high half, to be summed over buckets
-                at = (node >> np.uint64(12)) == part
-                if at.any():
-                    rows.append((part, 2, U.blob(node[at]), U.blob(np.stack([w[at], m[at], m1[at]])), 0.0, 0.0))
+            for _, tree in _trees(expand(k, np.uint64, True), expand(c, np.uint64), depth, hot):
+                node, w, m, m1 = tree.top()
+                for part in range(16):  # by the low half of the bits, to be summed over buckets
+                    at = (node & np.uint64(15)) == part
+                    if at.any():
+                        rows.append((part, tree.low, U.blob(node[at]), U.blob(np.stack([w[at], m[at], m1[at]])), 0.0, 0.0))
         names = ["bucket", "kind", "keys", "counts", "n", "v"]
         types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
         yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
@@ -349,18 +393,37 @@ def _model(depth: int):
     return model
 
 
+def merge_stats(nodes: list[np.ndarray], stats: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct nodes in order, and the sums of their three rows of statistics."""
+    k, inv = np.unique(np.concatenate([np.zeros(0, np.uint64), *nodes]), return_inverse=True)
+    s = np.concatenate([np.zeros((3, 0)), *stats], axis=1)
+    return k, np.stack([np.bincount(inv, weights=x, minlength=len(k)) for x in s])
+
+
 def _sum_top(key, it):
-    total = np.zeros((4, 1 << 16))
+    node, total = merge_stats([], [])
     for b in it:
-        for k, c in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True):
-            node = np.frombuffer(k, np.uint64).astype(int)
-            total[0, node] = 1
-            total[1:, node] += np.frombuffer(c, np.float64).reshape(3, -1)
-    at = np.flatnonzero(total[0])
-    yield pa.RecordBatch.from_arrays([pa.array([U.blob(at.astype(np.uint64))], pa.binary()), pa.array([U.blob(total[1:, at])], pa.binary())], names=["keys", "counts"])
+        keys, counts = b.column("keys").to_pylist(), b.column("counts").to_pylist()
+        node, total = merge_stats([node, *(np.frombuffer(k, np.uint64) for k in keys)], [total, *(np.frombuffer(c, np.float64).reshape(3, -1) for c in counts)])
+    yield pa.RecordBatch.from_arrays([pa.array([key[1].as_py()], pa.int32()), pa.array([U.blob(node)], pa.binary()), pa.array([U.blob(total)], pa.binary())], names=["kind", "keys", "counts"])
+
+
+def middle(node: np.ndarray, stats: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
+    """Depth 2 of hot pairs: its level of a tree, and what depth 1 needs of it (nodes, statistics)."""
+    w, n, n1 = stats
+    own = kt_log_block(n - n1, n1)
+    gate = 1 / (1 + np.exp(np.clip(w - own, -700, 700)))
+    mixed = np.logaddexp(own, w) - LN2
+    bits = node & np.uint64(255)
+    level = []
+    for j in range(8):
+        at = (bits >> np.uint64(j)) == 1
+        level.append((node[at], ((n1 + 0.5) / (n + 1))[at], gate[at]))
+    up = ((node >> np.uint64(16)) << np.uint64(8)) | bits
+    return level, *merge_stats([up], [np.stack([mixed, n, n1])])
 
 
-def _answer(depth: int, top: np.ndarray):
+def _answer(depth: int, top: np.ndarray, hot: np.ndarray, mid: list):
     def answer(key, asked, model):
         kind = key[1].as_py()
         if not asked.num_rows:  # a bucket of the model that no chunk of this salt asks for
@@ -368,9 +431,16 @@ def _answer(depth: int, top: np.ndarray):
         keys = asked["keys"].to_pylist()
         mk, mc = (model["keys"][0].as_py(), model["counts"][0].as_py()) if model.num_rows else (squeeze(np.zeros(0, np.uint64)) if kind == 0 else pack_words([]), squeeze(np.zeros(0, np.uint64)))
         if kind == 0:
-            tree = Tree(expand(mk, np.uint64, True), expand(mc, np.uint64), depth, 2)
+            k, c = expand(mk, np.uint64, True), expand(mc, np.uint64)
             every = np.unique(np.concatenate([expand(x, np.uint64, True) for x in keys]))
-            logp = log10_probability(every, tree, top).astype(np.float32)
+            logp = np.zeros(len(every))
+            known, asked_hot = hot_keys(k, depth, hot), hot_keys(every, depth, hot)
+            for low, own, at in ((2, ~known, ~asked_hot), (3, known, asked_hot)):
+                if at.any():
+                    tree = Tree(k[own], c[own], depth, low)
+                    if low == 3:
+                        tree.levels[2], tree.low = mid, 2
+                    logp[at] = log10_probability(every[at], tree, top)
             vals = [U.blob(logp[np.searchsorted(every, expand(x, np.uint64, True))]) for x in keys]
         else:
             known = dict(zip(unpack_words(mk), expand(mc, np.uint64).tolist(), strict=True))
@@ -380,7 +450,7 @@ def _answer(depth: int, top: np.ndarray):
     return answer
 
 
-def _score(depth: int, buckets: int, n_train: float, vocabulary: float):
+def _score(depth: int, buckets: int, n_train: float, vocabulary: float, hot: np.ndarray):
     denominator = n_train + 0.1 * (vocabulary + 1)
 
     def score(key, docs, answers):
@@ -388,8 +458,8 @@ def _score(depth: int, buckets: int, n_train: float, vocabulary: float):
         got = {(k, b): v for k, b, v in zip(answers["kind"].to_pylist(), answers["bucket"].to_pylist(), answers["vals"].to_pylist(), strict=True)}
         keys, _ = gram_counts(texts, train, depth)
         logp = np.zeros(len(keys))
-        for b, at in _split(keys, depth, buckets):
-            logp[at] = np.frombuffer(got[0, b], np.float32)
+        for b, at in _split(keys, depth, buckets, hot):
+            logp[at] = np.frombuffer(got[0, b], np.float64)
         total = np.zeros(len(texts))
         for i, lengths, k in batches(texts, depth):
             both = (k << np.uint64(16)) | np.repeat(np.arange(len(lengths), dtype=np.uint64), lengths)
@@ -412,16 +482,18 @@ def _score(depth: int, buckets: int, n_train: float, vocabulary: float):
         return pa.table({
             "doc_id": docs["doc_id"], "held_out": pa.array(~train), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
             "train_tokens": pa.array([int(n_train)] * len(texts), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(total, pa.float64()),
+            "bits_per_byte": pa.array(-total * math.log2(10) / (np.fromiter(map(len, texts), np.int64, len(texts)) + 1)),
         })
 
     return score
 
 
-def score_documents(docs: DataFrame, *, depth: int = 5, chunk_bytes: int = 16 << 20, least_chunks: int = 40, buckets: int = 96, chunks_per_salt: int = 64) -> DataFrame:
+def score_documents(docs: DataFrame, *, depth: int = 5, chunk_bytes: int = 16 << 20, least_chunks: int = 40, buckets: int = 96, chunks_per_salt: int = 64, hot_share: int | None = None) -> DataFrame:
     """Scores ``docs(doc_id, text, train)``: base (word counts) and context-tree log10 probabilities.
 
     ``depth`` is at most 5 (a key must fit beside a document number in 64 bits). ``chunks_per_salt``
-    bounds how many chunks' strings one task sums or answers.
+    bounds how many chunks' strings one task sums or answers. A pair of bytes with more than a
+    quarter of one part in ``hot_share`` (the number of buckets) of all pairs is divided by a third byte.
     """
     if not 2 <= depth <= 5:
         raise ValueError("depth must be 2 to 5")
@@ -429,9 +501,11 @@ def score_documents(docs: DataFrame, *, depth: int = 5, chunk_bytes: int = 16 <<
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = U.pieces(size, chunk_bytes, least_chunks)
     buckets = max(buckets, chunks)
-    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")
-    dealt = docs.select("doc_id", "text", "train", chunk.alias("chunk")).repartition("chunk")
-    parts = U.materialize(dealt.groupBy("chunk").applyInArrow(_send(depth, buckets, chunks_per_salt), PART_DDL), "ctw-parts", "zstd")
+    # rows are dealt by their place, so that repeated ones part; written once, as they are read twice
+    chunk = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("int")
+    dealt = U.materialize(docs.select("doc_id", "text", "train", chunk.alias("chunk")), "ctw-texts", "zstd")
+    hot = frequent(pair_counts(docs), buckets if hot_share is None else hot_share) if depth > 2 else np.zeros(0, np.uint64)
+    parts = U.materialize(dealt.groupBy("chunk").applyInArrow(_send(depth, buckets, chunks_per_salt, hot), PART_DDL), "ctw-parts", "zstd")
     summed = parts.select("bucket", "kind", "salt", "keys", "counts")
     if chunks > chunks_per_salt:
         def pre(key, it):
@@ -439,17 +513,18 @@ def score_documents(docs: DataFrame, *, depth: int = 5, chunk_bytes: int = 16 <<
             yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([k], pa.binary()), pa.array([c], pa.binary())], names=["bucket", "kind", "salt", "keys", "counts"])
 
         summed = summed.groupBy("bucket", "kind", "salt").applyInArrow(U.by_batches(pre), "bucket int, kind int, salt int, keys binary, counts binary")
-    model = U.materialize(summed.select("bucket", "kind", "keys", "counts").groupBy("bucket", "kind").applyInArrow(U.by_batches(_model(depth)), MODEL_DDL), "ctw-model", "zstd")
+    model = U.materialize(summed.select("bucket", "kind", "keys", "counts").groupBy("bucket", "kind").applyInArrow(U.by_batches(_model(depth, hot)), MODEL_DDL), "ctw-model", "zstd")
     n, v = model.where("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum("v"), F.lit(0.0))).first()
-    tops = model.where("kind = 2").select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(U.by_batches(_sum_top), "keys binary, counts binary").collect()
-    node = np.concatenate([np.frombuffer(r[0], np.uint64) for r in tops] or [np.zeros(0, np.uint64)])
-    stats = np.concatenate([np.frombuffer(r[1], np.float64).reshape(3, -1) for r in tops] or [np.zeros((3, 0))], axis=1)
+    tops = model.where("kind > 1").select("bucket", "kind", "keys", "counts").groupBy("bucket", "kind").applyInArrow(U.by_batches(_sum_top), "kind int, keys binary, counts binary").collect()
+    held = {kind: merge_stats([np.frombuffer(r[1], np.uint64) for r in tops if r[0] == kind], [np.frombuffer(r[2], np.float64).reshape(3, -1) for r in tops if r[0] == kind]) for kind in (2, 3)}
+    mid, node, stats = middle(*held[3])
+    node, stats = merge_stats([held[2][0], node], [held[2][1], stats])
     top = upper(node, *stats)
     salts = -(-chunks // chunks_per_salt)
     spread = model.where("kind < 2").select("bucket", "kind", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "keys", "counts")
     on = ("bucket", "kind", "salt")
-    answers = parts.select("chunk", *on, "keys").groupBy(*on).cogroup(spread.groupBy(*on)).applyInArrow(_answer(depth, top), ANSWER_DDL)
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(depth, buckets, n, v), SCORE_DDL)
+    answers = parts.select("chunk", *on, "keys").groupBy(*on).cogroup(spread.groupBy(*on)).applyInArrow(_answer(depth, top, hot, mid), ANSWER_DDL)
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(depth, buckets, n, v, hot), SCORE_DDL)
 
 
 def op1_ctw_score(spark, sf_dir: str) -> DataFrame:

@@ -223,3 +223,21 @@ def test_windows_against_brute_force(width):
         mask, _, which = w.search(np.array([w.vocabulary.get(x, 0) for x in doc], np.int64))
         hit, found = brute_hits(doc, items, width)
         assert set(np.flatnonzero(mask).tolist()) == hit and set(which.tolist()) == found
+
+
+@pytest.mark.parametrize("hot_share", [1, 10_000])
+def test_scores_against_definition(spark, hot_share):
+    """The whole query: base and tree scores by their definitions, with and without divided pairs."""
+    rows = [(1, "abab A"), (2, "ab c"), (3, ""), (4, None), (5, "bca é a"), (2, "ab c"), (None, "zz b"), (6, "unseen b"), (7, "ab c")]
+    train = [d is not None and d < 6 for d, _ in rows]
+    df = spark.createDataFrame([(d, t, f) for (d, t), f in zip(rows, train, strict=True)], "doc_id long, text string, train boolean").repartition(3)
+    got = ctw.score_documents(df, depth=3, least_chunks=3, buckets=5, chunks_per_salt=2, hot_share=hot_share).collect()
+    texts = [(t or "").encode() for _, t in rows]
+    score = brute_ctw([t for t, f in zip(texts, train, strict=True) if f], 3)
+    tokens = lambda t: [*t.lower().split(), b" "]
+    c = Counter(w for t, f in zip(texts, train, strict=True) if f for w in tokens(t))
+    n, v = sum(c.values()), len(c)
+    want = [(d, not f, len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens(t)), score(t), -score(t) * math.log2(10) / (len(t) + 1)) for (d, _), t, f in zip(rows, texts, train, strict=True)]
+    order = lambda r: (r[0] is None, r[0] or 0, r[6])
+    for a, b in zip(sorted(map(tuple, got), key=order), sorted(want, key=order), strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=1e-9)
