@@ -25,7 +25,9 @@ memory is bounded by a file's ids or the longest document.
 
 from __future__ import annotations
 
+import functools
 import json
+import unicodedata
 import zlib
 
 import numpy as np
@@ -125,9 +127,8 @@ def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
 
 # ---------------------------------------------------------------- tokens
 
-_CACHE: dict[tuple[str, bool], tuple[dict[bytes, bytes], list]] = {}
 _TOKENIZERS: dict[str, object] = {}
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 1_500_000  # about 60 bytes each
 
 
 def tokenizer(path: str):
@@ -153,15 +154,86 @@ def parts_at_blanks(t) -> bool:
     return bool(plain and lower and splits and later and d["model"].get("type") == "BPE" and d["model"].get("end_of_word_suffix"))
 
 
+class Known:
+    """Ids of words by two 64-bit hashes: a sorted table, and a smaller one of what came last."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        none = lambda t: np.zeros(0, t)
+        self.tables = [(none(np.uint64), none(np.uint64), none(np.int64), none(np.int32))] * 2
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def __len__(self) -> int:
+        return sum(len(t[0]) for t in self.tables)
+
+    def find(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word: whether it is known, where its ids begin, how many they are."""
+        seen, at, n = np.zeros(len(h1), bool), np.zeros(len(h1), np.int64), np.zeros(len(h1), np.int32)
+        for k1, k2, begin, many in self.tables:
+            if len(k1):
+                k = np.minimum(np.searchsorted(k1, h1), len(k1) - 1)
+                hit = np.flatnonzero((k1[k] == h1) & (k2[k] == h2))
+                seen[hit], at[hit], n[hit] = True, begin[k[hit]], many[k[hit]]
+        return seen, at, n
+
+    def add(self, h1: np.ndarray, h2: np.ndarray, ids: list[np.ndarray], begin: np.ndarray, many: np.ndarray) -> None:
+        """Words whose ids begin at ``begin`` in the arrays ``ids`` put together."""
+        size = sum(map(len, ids))
+        if self.used + size > len(self.ids):
+            self.ids = np.concatenate((self.ids[: self.used], np.zeros(max(self.used, size), np.uint32)))
+        at = self.used
+        for x in ids:
+            self.ids[at : at + len(x)] = x
+            at += len(x)
+        new = (h1, h2, begin + self.used, many.astype(np.int32))
+        self.used = at
+        self.tables[1] = self._merged(self.tables[1], new)
+        if len(self.tables[1][0]) > 1 << 16:
+            self.tables = [self._merged(*self.tables), tuple(x[:0] for x in new)]
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        both = [np.concatenate(x) for x in zip(a, b, strict=True)]
+        order = np.argsort(both[0], kind="stable")
+        return tuple(x[order] for x in both)
+
+
+_KNOWN: dict[str, Known] = {}
+BLANKS = (b" ", b"\t", b"\n", b"\v", b"\f", b"\r")
+SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+STOPS = np.isin(np.arange(256), list(b".,"))
+LETTERS = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
+PIECE = 1 << 20
+OLD = "\u0530"  # letters before it (Latin, Greek, Cyrillic) are the same in all versions of Unicode
+
+
+@functools.cache
+def _powers() -> tuple[np.ndarray, ...]:
+    """For each of two hashes: a random number a byte, and the powers of an odd number and of its inverse."""
+    rng = np.random.Generator(np.random.PCG64(20))
+    out = []
+    for _ in range(2):
+        odd = int(rng.integers(1 << 62, 1 << 63, dtype=np.uint64)) | 1
+        values = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+        run = lambda x: np.cumprod(np.append(np.uint64(1), np.full(2 * PIECE, x, np.uint64)), dtype=np.uint64)
+        out.append((values, run(odd), run(pow(odd, -1, 1 << 64))))
+    return tuple(out)
+
+
 class Words:
     """Token ids of texts. ``by_words`` needs a tokenizer that lower-cases, drops white space and never
     joins across it, which is read from its parts; None takes that form where it holds.
 
-    Then the ids of a text are those of its ASCII-space separated words in turn, and each
-    word is encoded once and kept. New words that are letters, but for closing stops or commas
-    (which such a tokenizer parts from letters), are encoded many at a time; their ids are
-    told apart by the tokens that end a word, and encoded singly where that doesn't come out
-    even. The cache only saves work and is cleared when full.
+    Then the ids of a text are those of its ASCII-space separated words in turn, where stops and
+    commas that end a word after an ASCII letter count as a word (such a tokenizer parts letters
+    from other signs). Words are found and looked up by hashes, many at a time, and each is
+    encoded once and kept; a full table is emptied, which only costs work. New words are encoded
+    many at a time: lower-case ASCII letters, and composed texts of letters, by the same model
+    without the parts that change nothing in them, their ids told apart by the tokens that end a
+    word; others parted by a sign that is one token of its own. What doesn't come out even, or
+    holds that sign, is encoded singly.
     """
 
     def __init__(self, path: str, by_words: bool | None = None):
@@ -170,60 +242,146 @@ class Words:
         if by_words and not apt:
             raise ValueError("this tokenizer's ids are not those of its words in turn")
         self.by_words = apt if by_words is None else by_words
-        self.cache, self.ends = _CACHE.setdefault((path, self.by_words), ({}, []))
-        if self.by_words and not self.ends:
-            suffix = json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
-            ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-            ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
-            self.ends.append(ends)
-
-    def single(self, words: list[bytes]) -> None:
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
-
-    def letters(self, words: list[bytes], each: int = 512) -> None:
+        if self.by_words:
+            self.ends, self.ascii, self.composed, self.sign = _parts(path)
+            self.known = _KNOWN.setdefault(path, Known())
+
+    # ---- new words
+
+    def single(self, words: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def grouped(self, words: list[bytes], coder, sign: bytes = b"", each: int = 512) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Ids of all words in arrays, and where each word's begin in them and how many they are."""
         groups = [words[i : i + each] for i in range(0, len(words), each)]
-        for i in range(0, len(groups), 64):
-            part = groups[i : i + 64]
-            for ws, e in zip(part, self.tokenizer.encode_batch_fast([b" ".join(ws).decode() for ws in part], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, "<u4")
-                at = (4 * (np.flatnonzero(self.ends[0][ids]) + 1)).tolist()
-                if len(at) != len(ws) or at[-1] != 4 * len(ids):
-                    self.single(ws)
-                    continue
-                raw = ids.tobytes()
-                self.cache.update(zip(ws, [raw[a:b] for a, b in zip([0, *at], at)]))
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        cache = self.cache
-        new = {w for words in texts for w in words if w not in cache}
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = {w for words in texts for w in words}
-        parts, single, cores = [], set(), set()
-        for w in new:
-            core = w.rstrip(b".,")
-            if core.isalpha() or core.decode().isalpha():
-                low = core.lower()
-                parts.append((w, low, w[len(core) :]))
-                cores.add(low)
+        between = b" %s " % sign if sign else b" "
+        ids, begins, many, base = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for i in range(0, len(groups), 16):
+            part = groups[i : i + 16]
+            for ws, e in zip(part, coder.encode_batch_fast([between.join(ws).decode() for ws in part], add_special_tokens=False), strict=True):
+                got = np.array(e.ids, np.uint32)
+                if sign:
+                    end = np.append(np.flatnonzero(got == self.sign[1]), len(got))
+                    begin = np.append(0, end[:-1] + 1)
+                else:
+                    end = np.flatnonzero(self.ends[got]) + 1
+                    begin = np.append(0, end[:-1])
+                if len(end) != len(ws) or end[-1] != len(got):
+                    one = self.single(ws)
+                    got = np.concatenate(one)
+                    end = np.cumsum([len(x) for x in one])
+                    begin = np.append(0, end[:-1])
+                ids.append(got)
+                begins.append(begin + base)
+                many.append(end - begin)
+                base += len(got)
+        return ids, np.concatenate(begins), np.concatenate(many)
+
+    def learn(self, words: list[bytes], h1: np.ndarray, h2: np.ndarray) -> None:
+        plain, other, rest, alone = [], [], [], []
+        for i, w in enumerate(words):
+            if w.isalpha():
+                plain.append(i)
+            elif not w.isascii() and (u := w.decode()).isalpha() and max(u) < OLD and u.lower().isalpha():
+                other.append(i)
             else:
-                single.add(w)
-        single.update({tail for _, _, tail in parts if tail})
-        self.single([w for w in single if w not in cache])
-        self.letters([w for w in cores if w not in cache])
-        for w, core, tail in parts:
-            cache[w] = cache[core] + cache[tail] if tail else cache[core]
+                (alone if self.sign[0] in w else rest).append(i)
+        texts = lambda at: [words[i] for i in at]
+        composed = unicodedata.is_normalized("NFC", b" ".join(texts(other)).decode())
+        for at, coder, sign in ((plain, self.ascii, b""), (other, self.composed if composed else self.tokenizer, b""), (rest, self.tokenizer, self.sign[0])):
+            if at:
+                self.known.add(h1[at], h2[at], *self.grouped([w.lower() for w in texts(at)] if at is plain else texts(at), coder, sign))
+        if alone:
+            ids = self.single(texts(alone))
+            many = np.array([len(x) for x in ids])
+            self.known.add(h1[alone], h2[alone], ids, np.cumsum(many) - many, many)
+
+    # ---- texts
+
+    def piece(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all words in ``data``, which begins and ends outside of words: ids, where each word begins
+        and how many ids it has."""
+        b = np.frombuffer(data, np.uint8)
+        space = np.concatenate(([True], SPACES[b], [True]))
+        start, end = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+        if not len(start):
+            return np.zeros(0, np.uint32), start, start
+        body = np.maximum.accumulate(np.where(STOPS[b], -1, np.arange(len(b))))[end - 1]  # the last that is no stop
+        stops = (body >= start) & (body < end - 1) & LETTERS[b[np.maximum(body, 0)]]
+        cut = body[stops] + 1
+        start, end = np.sort(np.concatenate((start, cut))), np.sort(np.concatenate((end, cut)))
+        hashes = []
+        for values, power, back in _powers():
+            run = np.append(np.uint64(0), np.cumsum(values[b] * power[: len(b)], dtype=np.uint64))
+            hashes.append((run[end] - run[start]) * back[start])
+        h1, first, of = np.unique(hashes[0], return_index=True, return_inverse=True)
+        h2 = hashes[1][first]
+        seen, at, n = self.known.find(h1, h2)
+        if not seen.all():
+            if len(self.known) + np.count_nonzero(~seen) > CACHE_WORDS:
+                self.known.clear()
+                seen[:] = False
+            new = np.flatnonzero(~seen)
+            own = first[new]
+            self.learn([data[i:j] for i, j in zip(start[own].tolist(), end[own].tolist())], h1[new], h2[new])
+            seen, at, n = self.known.find(h1, h2)
+        if not seen.all() or (h2[of] != hashes[1]).any():  # two words of one hash
+            each = self.single([data[i:j] for i, j in zip(start.tolist(), end.tolist())])
+            return np.concatenate(each), start, np.array([len(x) for x in each])
+        at, n = at[of], n[of].astype(np.int64)
+        ends = np.cumsum(n)
+        ids = self.known.ids[np.repeat(at - ends + n, n) + np.arange(ends[-1])]
+        return ids, start, n
+
+    def pieces(self, texts: list[bytes]):
+        """Texts put together, parted at blanks into strings of about ``PIECE`` bytes; longer words alone."""
+        data = b" ".join(texts)
+        i = 0
+        while i < len(data):
+            j = min(len(data), i + PIECE)
+            if j < len(data):
+                last = max(data.rfind(x, i + 1, j) for x in BLANKS)
+                j = last if last > 0 else min((k for x in BLANKS if (k := data.find(x, j)) >= 0), default=len(data))
+            yield i, data[i:j]
+            i = j
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian uint32 bytes."""
         if not self.by_words:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
-        split = [t.split() for t in texts]
-        self.learn(split)
-        return [b"".join(map(self.cache.__getitem__, words)) for words in split]
+        ids, starts, many = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, data in self.pieces(texts):
+            if len(data) > 2 * PIECE:  # one word, as no piece else is as long
+                got = self.single([data])[0]
+                start, n = np.array([len(data) - len(data.lstrip())]), np.array([len(got)])
+            else:
+                got, start, n = self.piece(data)
+            ids.append(got)
+            starts.append(start + i)
+            many.append(n)
+        begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        at = np.concatenate(([0], np.cumsum(np.concatenate(many))))[np.searchsorted(np.concatenate(starts), begin)]
+        raw = memoryview(b"".join(x.astype("<u4").tobytes() for x in ids))
+        return [bytes(raw[4 * i : 4 * j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
+@functools.cache
+def _parts(path: str):
+    """Of a tokenizer that parts words at blanks: which tokens end a word, the model alone for
+    lower-case ASCII words and for composed words of letters, and a sign that is one token with its id."""
+    from tokenizers import Tokenizer
+
+    t = tokenizer(path)
+    d = json.loads(t.to_str())
+    vocabulary = t.get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for w, i in vocabulary.items() if w.endswith(d["model"]["end_of_word_suffix"])]] = True
+    blanks, level = {"type": "WhitespaceSplit"}, [x for x in d["pre_tokenizer"].get("pretokenizers", []) if x["type"] == "ByteLevel"]
+    ascii_ = Tokenizer.from_str(json.dumps(d | {"normalizer": None, "pre_tokenizer": blanks, "added_tokens": []}))
+    composed = Tokenizer.from_str(json.dumps(d | {"normalizer": {"type": "Lowercase"}, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [blanks, *level]}, "added_tokens": []}))
+    one = ((c.encode(), t.encode(c, add_special_tokens=False).ids) for c in "^~|`\\")
+    sign = next((c, ids[0]) for c, ids in one if len(ids) == 1)
+    return ends, ascii_, composed, sign
 
 
 FILE_DDL = "part int, seq int, n_docs long, n_ids long, n_bytes long, path string"

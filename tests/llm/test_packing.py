@@ -68,6 +68,45 @@ def test_other_tokenizers_are_not_taken_for_word_tokenizers():
         assert np.frombuffer(raw, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+HARD = [
+    "It's 12ab, foo.bar %%% x's y'll", "ÀÉ ΟΔΟΣ é İstanbul ﬁ", "a<|endoftext|>b <|startoftext|>", "क़ ab.c, ..", "x" * 300, "", "   ", "^ a^b ^^ ~", "e\u0301. e\u0301 Å",
+    "end. end, end., end.,. end... e. .e .,. '. a'. 's. it's. … x…. 7. 7,", "\u00a0a\u2003b\u0085c", "tab\tnew\nline\vv\fform\rcr", "ß.ẞ, ǅ ŉ", "\x00a \x7f.",
+]
+
+
+def check_words(texts):
+    t = bitpack.tokenizer(PATH)
+    for text, got in zip(texts, bitpack.Words(PATH).encode([x.encode() for x in texts]), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
+def test_words_match_whole_texts(monkeypatch):
+    check_words(HARD)
+    check_words(HARD * 3)
+    monkeypatch.setattr(bitpack, "PIECE", 7)  # texts parted at every blank, long words alone
+    check_words(HARD)
+    monkeypatch.setattr(bitpack, "CACHE_WORDS", 3)  # a table that is emptied all the time
+    check_words(HARD)
+
+
+def test_words_with_one_hash_are_told_apart(monkeypatch):
+    bitpack.Words(PATH).known.clear()
+    monkeypatch.setattr(bitpack, "_powers", lambda: ((np.zeros(256, np.uint64), np.ones(1 << 12, np.uint64), np.ones(1 << 12, np.uint64)),) + bitpack_powers()[1:])
+    check_words(["one two three", "four one", "two"])
+    bitpack.Words(PATH).known.clear()
+
+
+def bitpack_powers(kept=bitpack._powers):
+    return kept()
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_random_texts(seed):
+    rng = np.random.default_rng(seed)
+    signs = list("abcXYZ.,'^~ 09 \t\n-éÉßİσΣ…ñ中")
+    check_words(["".join(rng.choice(signs, int(rng.integers(0, 80)))) for _ in range(60)])
+
+
 # ---------------------------------------------------------------- best fit
 
 def plain_best_fit(lengths, sizes, overhead):
