@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,26 +24,52 @@ SPACE_RE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only in a session without executors of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found and (held := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         found = held.get()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
         found = "file://" + tempfile.mkdtemp(prefix="lattica-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lattica/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's part of the shared folder, which is removed when the driver ends."""
+    folder = f"{shared_dir(spark)}/lattica/{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(remove, spark, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+_FOLDERS: set[str] = set()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a path through Hadoop, if it can still be reached."""
+    with contextlib.suppress(Exception):
+        jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
 
 
 def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and the
-    result survives the loss of any executor."""
+    result survives the loss of any executor. ``discard`` removes it."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.lattica_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of ``materialize`` that nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t.lattica_path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -128,7 +156,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = with_total(both, "a", "b", *low).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
         large = materialize(large.where("a <> b").distinct(), "edges")
         small = with_total(large, "a", "b", *low).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        e = materialize(small.where("a <> b").distinct(), "edges")
+        before, e = e, materialize(small.where("a <> b").distinct(), "edges")
+        discard(before, large)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break

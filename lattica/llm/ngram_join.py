@@ -12,15 +12,19 @@ one order of shingles, two sets of sufficient similarity share one of the first
 fixed size over all documents. The sets that share a prefix shingle meet in a block; a tree
 over their points leaves the candidate graph, whose connected components are small and
 contain every link. The sets of a shingle that more than ``most`` have meet in pairs of blocks,
-so that every two are in one tree. Each component's sets then meet once, in blocks of at most ``block`` sets
-or pairs of such blocks, where trees over finer points and exact overlaps decide.
+so that every two are in one tree. Each component's sets then meet once, or, where they are more
+than ``block`` or take more than ``block_bytes``, in pairs of such blocks, where trees over finer
+points and exact overlaps decide. A component of B bytes of sets so sends each text
+2 B / ``block_bytes`` times.
 
 Equal sets are one class throughout, so copies never multiply. Results are classes of linked
 documents; pairs are not listed, and pairs within a class are only examined until it hangs together.
 
 Defined cases: null texts and texts without words have the empty set, no links and their own
 doc_id as component; texts of fewer words than ``width`` have one shingle, the whole; a row
-without doc_id has no component and no links; repeated rows are equal sets.
+without doc_id has no component and no links; repeated rows are equal sets; rows of one doc_id
+with different texts are sets of their own; extra columns are not read; a text of any length is one
+set; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from . import _util as U
 
@@ -221,7 +225,7 @@ class Forest:
 
 # ---------------------------------------------------------------- passes over documents
 
-FACTS = "doc_id long, n_shingles long, sid long, point binary, slice int, sketch binary"
+FACTS = "doc_id long, h long, n_shingles long, sid long, point binary, slice int, sketch binary"
 
 
 def _facts(width: int):
@@ -237,19 +241,19 @@ def _facts(width: int):
                 points += [pack_point(point(s, 16, 32, 512)) if len(s) else None for s in held]
                 sketch += np.bincount((np.concatenate(held) >> np.uint64(20) & mask).astype(np.int64), minlength=len(sketch))
             none = [None] * len(n)
-            yield _facts_batch(b.column("doc_id"), n, sid, points, none, none)
+            yield _facts_batch(b.column("doc_id"), b.column("h"), n, sid, points, none, none)
         step = len(sketch) // SLICES
         parts = [sketch[i * step : (i + 1) * step].astype("<u4").tobytes() for i in range(SLICES)]
         none = [None] * SLICES
-        yield _facts_batch(pa.array(none, pa.int64()), none, none, none, list(range(SLICES)), parts)
+        yield _facts_batch(pa.array(none, pa.int64()), pa.array(none, pa.int64()), none, none, none, list(range(SLICES)), parts)
         codes = sketch = parts = None
         U.release()
 
     return facts
 
 
-def _facts_batch(doc_id, n, sid, points, slices, sketches):
-    return pa.RecordBatch.from_arrays([doc_id, pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(points, pa.binary()), pa.array(slices, pa.int32()), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "sid", "point", "slice", "sketch"])
+def _facts_batch(doc_id, h, n, sid, points, slices, sketches):
+    return pa.RecordBatch.from_arrays([doc_id, h, pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(points, pa.binary()), pa.array(slices, pa.int32()), pa.array(sketches, pa.binary())], names=["doc_id", "h", "n_shingles", "sid", "point", "slice", "sketch"])
 
 
 def _sum_sketch(key, batches):
@@ -398,8 +402,7 @@ def _verified(width: int, num: int, den: int):
             held = sets.setdefault(comp, {})
             if sid not in held:
                 s = shingles(text, width, codes)
-                if len(s) and set_id(s) == sid:  # another text with a repeated doc_id is no member
-                    held[sid] = s
+                held[sid] = s
         out = []
         for held in sets.values():
             if len(held) < 2:
@@ -426,19 +429,21 @@ def _verified(width: int, num: int, den: int):
 
 # ---------------------------------------------------------------- the join
 
-def classes(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, least_buckets: int = 96, block: int = 512, most: int = 8192) -> DataFrame:
-    """``docs(doc_id, text)``: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
+def rows_of_classes(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, least_buckets: int = 96, block: int = 8192, block_bytes: int = 32 << 20, most: int = 8192) -> DataFrame:
+    """``docs(doc_id, text)``: doc_id, h (hash of the text), sid (its set, null where empty), class (the least
+    set that links reach), n_shingles, component_id (the smallest doc_id that links reach)."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     facts = U.materialize(docs.mapInArrow(_facts(width), FACTS), "shingle-facts")
     sums = facts.where("slice is not null").select("slice", "sketch").groupBy("slice").applyInArrow(U.by_batches(_sum_sketch), "slice int, sketch binary").collect()
     step = (1 << SKETCH_BITS) // SLICES
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     for k, x in sums:
         sketch[k * step : (k + 1) * step] = np.frombuffer(x, np.int64)
-    rows = facts.where("slice is null").select("doc_id", "n_shingles", "sid", "point")
+    rows = facts.where("slice is null").select("doc_id", "h", "n_shingles", "sid", "point")
     linked = rows.where("sid is not null and doc_id is not null")
-    sets = U.materialize(linked.groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("point").alias("point")), "sets")
+    sets = U.materialize(linked.groupBy("sid").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.first("n_shingles").alias("n"), F.first("point").alias("point")), "sets")
+    sets = sets.select("sid", F.col("first.doc_id").alias("first_id"), F.col("first.h").alias("first_h"), "n", "point")
     n_tokens = (sketch.sum() * (den - num)) // den
     buckets = U.pieces(int(n_tokens), 250_000, least_buckets)
     held = spark.sparkContext.broadcast(sketch)
@@ -454,39 +459,55 @@ def classes(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, l
     links = met.select("token", "sid", "n", "point", "p.*").groupBy("g", "i", "j").applyInArrow(_candidates(num, den), "a long, b long")
     comps = U.materialize(U.components(links), "candidates")
     # sets of small components share blocks by hash, large components are split into pairs of blocks
-    total = comps.count()
-    bins = U.pieces(total, block, 1)
-    sized = U.with_total(comps, "root", "node", F.count("*"), F.sum("_p"), "size")
-    member = sized.join(sets.select(F.col("sid").alias("node"), "first_id"), "node")
-    parts = F.ceil(F.col("size") / block).cast("int")
+    held_bytes = (8 * F.col("n") + 4096).alias("bytes")
+    member = comps.join(sets.select(F.col("sid").alias("node"), "first_id", "first_h", held_bytes), "node")
+    total, size = member.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    bins = max(U.pieces(total, block, 1), U.pieces(size, block_bytes, 1))
+    bins = max(bins, min(least_buckets, total))
+    member = U.with_total(U.with_total(member, "root", "node", F.count("*"), F.sum("_p"), "size"), "root", "node", F.sum("bytes"), F.sum("_p"), "all_bytes")
+    parts = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("all_bytes") / block_bytes)).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(7)), parts).cast("int")
-    pairs = F.when(F.col("size") > block, F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(F.col("root").alias("g"), F.least(k, own).alias("i"), F.greatest(k, own).alias("j"))))
+    pairs = F.when(parts > 1, F.transform(F.array_remove(F.sequence(F.lit(0), parts - 1), own), lambda k: F.struct(F.col("root").alias("g"), F.least(k, own).alias("i"), F.greatest(k, own).alias("j"))))
     pairs = F.coalesce(pairs, F.array(F.struct(F.pmod(F.xxhash64("root"), F.lit(bins)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))))
-    texts = docs.join(member.select(F.col("first_id").alias("doc_id"), F.col("node").alias("sid"), F.col("root").alias("comp"), pairs.alias("pairs")), "doc_id")
+    texts = docs.join(member.select(F.col("first_id").alias("doc_id"), F.col("first_h").alias("h"), F.col("node").alias("sid"), F.col("root").alias("comp"), pairs.alias("pairs")), ["doc_id", "h"])
     blocks = texts.select("sid", "comp", "text", F.explode("pairs").alias("p")).select("sid", "comp", "text", "p.*")
     true_links = blocks.groupBy("g", "i", "j").applyInArrow(_verified(width, num, den), "a long, b long")
     roots = U.components(true_links)
     firsts = roots.join(sets.select(F.col("sid").alias("node"), "first_id"), "node")
     named = U.with_total(firsts, "root", "node", F.min("first_id"), F.min("_p"), "component")
-    of_set = sets.select("sid", "first_id").join(named.select(F.col("node").alias("sid"), "component"), "sid", "left")
-    of_set = U.materialize(of_set.select("sid", F.coalesce("component", "first_id").alias("component")), "classes")
+    of_set = sets.select("sid", "first_id").join(named.select(F.col("node").alias("sid"), "component", "root"), "sid", "left")
+    of_set = U.materialize(of_set.select("sid", F.coalesce("component", "first_id").alias("component"), F.coalesce("root", "sid").alias("class")), "classes")
     out = rows.join(of_set, "sid", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"))
+    return out.select("doc_id", "h", "sid", "class", "n_shingles", component.alias("component_id"))
+
+
+def classes(docs: DataFrame, **options) -> DataFrame:
+    """``docs(doc_id, text)``: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
+    return rows_of_classes(docs, **options).select("doc_id", "n_shingles", "component_id")
 
 
 def dedupe(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with the document of the smallest doc_id of each class; rows without doc_id stay.
+    """``docs`` with one document of each class: of its smallest doc_id, the text of the least set.
 
-    Of rows that repeat a doc_id one stays. Further columns are kept, whatever their names."""
+    A row goes only when a row with a text of its class stays: rows of one doc_id with texts of
+    different classes all stay, and so do rows without doc_id, and one of each repeated row without
+    words. Further columns are kept, whatever their names; of rows with equal doc_id and text one stays.
+    """
 
     def first(docs):
-        found = classes(docs, **options)
-        drop = found.where("doc_id <> component_id").select("doc_id").distinct()
-        kept = docs.join(drop, "doc_id", "left_anti")
-        alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-        turn = F.row_number().over(Window.partitionBy("doc_id", alone).orderBy(F.xxhash64("text")))
-        return kept.withColumn("_turn", turn).where("_turn = 1").select(*(f"`{c}`" for c in docs.columns))
+        found = rows_of_classes(docs, **options).where("doc_id is not null")
+        per = found.groupBy("doc_id", "h").agg(F.first("sid").alias("sid"), F.first("class").alias("c"), F.count("*").alias("n"))
+        best = per.where("sid is not null").groupBy("c").agg(F.min(F.struct("doc_id", "sid", "h", "n")).alias("b"))
+        keep = best.select("b.doc_id", "b.h", "b.n").union(per.where("sid is null").select("doc_id", "h", "n"))
+        keep = U.materialize(keep.select("doc_id", F.col("h").alias("_h"), F.col("n").alias("_n")), "kept")
+        held = docs.withColumn("_h", F.xxhash64("text")).join(keep, ["doc_id", "_h"], "left").where("_n is not null or doc_id is null")
+        names = [F.col(f"`{c}`") for c in docs.columns]
+        if keep.where("_n > 1").isEmpty():
+            return held.select(*names)
+        order = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, T.MapType)))
+        one = held.where("_n > 1").groupBy("doc_id", "_h").agg(F.max_by(F.struct(*names), order).alias("_r"))
+        return held.where("_n = 1 or doc_id is null").select(*names).union(one.select(*(F.col("_r")[c].alias(c) for c in docs.columns)))
 
     return U.sheltered(docs, first)
 

@@ -39,17 +39,6 @@ def test_scores(docs, none):
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in untaught.collect())
 
 
-def test_words_match_whole_texts():
-    import public_tokenizers
-
-    path = public_tokenizers.path("word_bpe_49k.json")
-    texts = ["It's 12ab, foo.bar %%% x's y'll", "ÀÉ ΟΔΟΣ é İstanbul ﬁ", "a<|endoftext|>b <|startoftext|>", "क़ ab.c, ..", "x" * 300]
-    words = bitpack.Words(path)
-    t = bitpack.tokenizer(path)
-    for text, got in zip(texts, words.encode([x.encode() for x in texts]), strict=True):
-        assert got == b"".join(i.to_bytes(4, "little") for i in t.encode(text, add_special_tokens=False).ids)
-
-
 def test_shards(docs, none):
     rows = vectorbins.shard(docs, 3).collect()
     assert len(rows) == len(ROWS)
@@ -264,10 +253,23 @@ def test_stages_keep_columns_of_any_name(docs, none, spark):
         assert all(tuple(r)[2:] == tuple(range(len(extra))) for r in got.collect())
 
 
-def test_rows_without_id_all_stay(spark):
+def test_only_texts_with_a_kept_copy_go(spark):
+    """Rows without id stay; of one id, a text without a copy stays when another text has one."""
     rows = [(None, "one and the same text"), (None, "one and the same text"), (None, None), (4, "one and the same text"), (4, "another text with this id")]
     got = ngram_join.dedupe(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(r.doc_id is None for r in got) == [False, True, True, True]
+    assert sorted((r.doc_id is None, r.text or "") for r in got) == sorted((d is None, t or "") for d, t in rows)
+    rows = [(1, "a copied text of some words"), (2, "a copied text of some words"), (2, "a wholly other text"), (2, "a wholly other text"), (1, "A copied text of some words"), (5, ""), (5, ""), (5, None), (6, " ")]
+    wide = spark.createDataFrame(rows, "doc_id long, text string").withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
+    got = ngram_join.dedupe(wide).collect()
+    assert sorted((r.doc_id, (r.text or "").lower(), r.text is None) for r in got) == [(1, rows[0][1], False), (2, rows[2][1], False), (5, "", False), (5, "", True), (6, " ", False)]
+
+
+def test_component_in_blocks_by_bytes(spark):
+    base = [f"t{i}" for i in range(80)]
+    rows = [(k, " ".join(base[: 79 - k % 3] + [f"e{k}"])) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.component_id for r in ngram_join.classes(df, least_buckets=3, block_bytes=30_000).collect()}
+    assert got == {0}
 
 
 def test_totals_in_parts(spark):
