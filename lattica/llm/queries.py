@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bestfit, bitpack, chat, ctw, cws, decontaminate, merkle, ngram_join, quality, vectorbins
+from . import bestfit, bitpack, chat, ctw, cws, decontaminate, merkle, ngram_join, oracle, quality, vectorbins
 
 
 def queries() -> dict:
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
