@@ -241,3 +241,39 @@ def test_scores_against_definition(spark, hot_share):
     order = lambda r: (r[0] is None, r[0] or 0, r[6])
     for a, b in zip(sorted(map(tuple, got), key=order), sorted(want, key=order), strict=True):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=1e-9)
+
+
+def plain_ftrl(rows, bits, epochs, alpha=0.3, beta=1.0, l1=0.02, l2=0.5):
+    """Follow the regularised leader, one coordinate at a time, as published."""
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(epochs):
+        for slots, y in rows:
+            x = {i: c / math.sqrt(len(slots)) for i, c in Counter(slots).items()} | {1 << bits: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                s = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - s * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
+def test_classifier_is_ftrl():
+    words = [b"alpha", b"beta", b"gamma", b"$$", b"1", b"delta"]
+    texts = [(b" ".join(words[i] for i in RNG.integers(0, 6, int(RNG.integers(1, 20)))), int(RNG.integers(0, 2))) for _ in range(60)]
+    rows = [(quality.features([t], 10)[0].tolist(), y) for t, y in texts]
+    want = plain_ftrl(rows, 10, 3)
+    got = quality.fit(((np.array(s), y) for s, y in rows), 10, 3)
+    assert {i: pytest.approx(w, abs=1e-4) for i, w in want.items()} == {i: float(got[i]) for i in want}
+    assert set(np.flatnonzero(got).tolist()) <= set(want)
+    for t, _ in texts[:10]:
+        s = quality.features([t], 10)[0]
+        score = sum(want.get(i, 0.0) for i in s.tolist()) / math.sqrt(len(s)) + want[1 << 10]
+        assert quality.logits([t], got, 10)[0] == pytest.approx(score, abs=1e-3)
