@@ -13,9 +13,9 @@ fixed size over all documents. The sets that share a prefix shingle meet in a bl
 over their points leaves the candidate graph, whose connected components are small and
 contain every link. The sets of a shingle that more than ``most`` have meet in pairs of blocks,
 so that every two are in one tree. Each component's sets then meet once, or, where they are more
-than ``block`` or take more than ``block_bytes``, in pairs of such blocks, where trees over finer
-points and exact overlaps decide. A component of B bytes of sets so sends each text
-2 B / ``block_bytes`` times.
+than ``block`` or take more than ``block_bytes``, in pairs of up to 16 blocks, or of more where
+16 would hold more than 16 * ``block`` sets or ``block_bytes`` each; there trees over finer points
+and exact overlaps decide. A text is sent once for each of its component's other blocks.
 
 Equal sets are one class throughout, so copies never multiply. Results are classes of linked
 documents; pairs are not listed, and pairs within a class are only examined until it hangs together.
@@ -429,7 +429,7 @@ def _verified(width: int, num: int, den: int):
 
 # ---------------------------------------------------------------- the join
 
-def rows_of_classes(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, least_buckets: int = 96, block: int = 8192, block_bytes: int = 32 << 20, most: int = 8192) -> DataFrame:
+def rows_of_classes(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, least_buckets: int = 96, block: int = 512, block_bytes: int = 32 << 20, most: int = 8192) -> DataFrame:
     """``docs(doc_id, text)``: doc_id, h (hash of the text), sid (its set, null where empty), class (the least
     set that links reach), n_shingles, component_id (the smallest doc_id that links reach)."""
     spark = docs.sparkSession
@@ -465,7 +465,7 @@ def rows_of_classes(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
     bins = max(U.pieces(total, block, 1), U.pieces(size, block_bytes, 1))
     bins = max(bins, min(least_buckets, total))
     member = U.with_total(U.with_total(member, "root", "node", F.count("*"), F.sum("_p"), "size"), "root", "node", F.sum("bytes"), F.sum("_p"), "all_bytes")
-    parts = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("all_bytes") / block_bytes)).cast("int")
+    parts = F.greatest(F.least(F.ceil(F.col("size") / block), F.lit(16)), F.ceil(F.col("size") / (16 * block)), F.ceil(F.col("all_bytes") / block_bytes)).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(7)), parts).cast("int")
     pairs = F.when(parts > 1, F.transform(F.array_remove(F.sequence(F.lit(0), parts - 1), own), lambda k: F.struct(F.col("root").alias("g"), F.least(k, own).alias("i"), F.greatest(k, own).alias("j"))))
     pairs = F.coalesce(pairs, F.array(F.struct(F.pmod(F.xxhash64("root"), F.lit(bins)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))))
