@@ -29,7 +29,11 @@ def summary(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 class Scaler:
-    """A chain of transforms for each column; statistics are taken before each step, in one pass a step."""
+    """A chain of transforms for each column; statistics are taken before each step, in one pass a step.
+
+    A column without spread becomes 0 by zscore and scale01 and comes back as its value; a column
+    without values, as in an empty table, has no statistics and stays null. Nulls stay null.
+    """
 
     def __init__(self, columns: list[str], chain: list[str]):
         if unknown := [t for t in chain if t not in TRANSFORMS]:
@@ -44,7 +48,9 @@ class Scaler:
                 a, b = (F.avg, F.stddev_samp) if kind == "zscore" else (F.min, F.max)
                 row = df.agg(*(f(c).cast("double").alias(f"{k}{i}") for i, c in enumerate(self.columns) for k, f in (("a", a), ("b", b)))).first()
                 for i, c in enumerate(self.columns):
-                    stats[c] = (row[f"a{i}"], row[f"b{i}"] if kind == "zscore" else row[f"b{i}"] - row[f"a{i}"])
+                    a_, b_ = row[f"a{i}"], row[f"b{i}"]
+                    spread = None if a_ is None else b_ - a_ if kind == "scale01" else b_ or 0.0  # one value has no deviation
+                    stats[c] = (a_, spread)
             self.fitted.append((kind, stats))
             df = self._apply(df, kind, stats, False)
         return self
@@ -53,8 +59,8 @@ class Scaler:
         def one(c):
             x = F.col(c).cast("double")
             if kind in ("zscore", "scale01"):
-                at, by = stats[c]
-                return x * by + at if back else (x - at) / by
+                at, by = (F.lit(None).cast("double") if v is None else F.lit(float(v)) for v in stats[c])
+                return x * by + at if back else F.when(by == 0, x - at).otherwise((x - at) / F.nullif(by, F.lit(0.0)))
             forth = {"none": lambda v: v, "sqrt": F.sqrt, "log": F.ln, "log1": F.log1p}
             undo = {"none": lambda v: v, "sqrt": lambda v: v * v, "log": F.exp, "log1": F.expm1}
             return (undo if back else forth)[kind](x)
@@ -69,13 +75,15 @@ class Scaler:
 
 
 def geo_scale01(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Shifts each axis to 0 and divides all by the largest range, which keeps the aspect."""
+    """Shifts each axis to 0 and divides all by the largest range, which keeps the aspect; where no axis
+    has a range all is 0, and a column without values stays null."""
     s = df.agg(*(f(c).cast("double").alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("lo", F.min), ("hi", F.max)))).first()
-    span = max(s[f"hi{i}"] - s[f"lo{i}"] for i in range(len(columns)))
-    return df.withColumns({c: (F.col(c).cast("double") - s[f"lo{i}"]) / span for i, c in enumerate(columns)})
+    span = max((s[f"hi{i}"] - s[f"lo{i}"] for i in range(len(columns)) if s[f"lo{i}"] is not None), default=0.0) or 1.0
+    return df.withColumns({c: (F.col(c).cast("double") - F.lit(s[f"lo{i}"]).cast("double")) / F.lit(span) for i, c in enumerate(columns)})
 
 
 def geo_zscore(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Centres each axis and divides all by one shared deviation, sqrt(sum of squared distances / (n - 1))."""
-    s = df.agg(F.sqrt(reduce(lambda a, b: a + b, (F.var_samp(c) for c in columns))).alias("sd"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate(columns))).first()
-    return df.withColumns({c: (F.col(c).cast("double") - s[f"m{i}"]) / s["sd"] for i, c in enumerate(columns)})
+    """Centres each axis and divides all by one shared deviation, sqrt(sum of squared distances / (n - 1));
+    where there is none all is 0, and a column without values stays null."""
+    s = df.agg(F.sqrt(reduce(lambda a, b: a + b, (F.coalesce(F.var_samp(c), F.lit(0.0)) for c in columns))).alias("sd"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate(columns))).first()
+    return df.withColumns({c: (F.col(c).cast("double") - F.lit(s[f"m{i}"]).cast("double")) / F.lit(s["sd"] or 1.0) for i, c in enumerate(columns)})

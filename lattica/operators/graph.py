@@ -5,6 +5,7 @@ Loops cut their lineage by ``checkpoint`` to the folder that the session names.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +13,12 @@ from pyspark.sql import functions as F
 
 
 def shared(spark: SparkSession) -> None:
-    """Names a checkpoint folder where the session has none, as in tests."""
+    """Names a checkpoint folder of its own in a session without executors of its own, as in tests; a
+    cluster's session must name one that its machines share."""
     sc = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lattica-"))
 
 
@@ -42,19 +46,36 @@ def is_undirected(edges: DataFrame) -> DataFrame:
     return e.join(back, ["src", "dst"], "left_anti").agg((F.count("*") == 0).alias("undirected"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id reachable, by minimum labels with shortcuts."""
-    e = cut(symmetrize(edges))
-    label = cut(nodes(edges).withColumn("component", F.col("id")))
-    while True:
-        low = e.join(label.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("m"))
-        new = label.join(low, "id", "left").select("id", F.least("component", F.coalesce("m", "component")).alias("component"))
-        jump = new.select(F.col("id").alias("component"), F.col("component").alias("j"))
-        new = cut(new.join(jump, "component").select("id", F.col("j").alias("component")))
-        same = new.join(label, ["id", "component"], "left_anti").isEmpty()
-        label = new
-        if same:
-            return label
+def _least(links: DataFrame, parts: int = 64) -> DataFrame:
+    """``links(a, b)`` with m, the least b of each a. The links of a frequent a are dealt into parts by a
+    hash of b, so that no task gets all of them."""
+    dealt = links.withColumn("_s", F.pmod(F.xxhash64("b"), F.lit(parts)))
+    low = dealt.groupBy("a", "_s").agg(F.min("b").alias("_m"))
+    both = low.select("a", "_s").join(low.groupBy("a").agg(F.min("_m").alias("m")), "a")
+    return dealt.join(both, ["a", "_s"]).drop("_s")
+
+
+def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+    """(id, component): the smallest id reachable.
+
+    Large-star and small-star steps by turns, until links no longer change: larger neighbours of a node
+    are linked to its least one, then a node and its smaller neighbours are. The rounds grow with the
+    logarithm of the longest path, and a hub's links are dealt into parts."""
+    every = nodes(edges)
+    links = cut(symmetrize(edges).where("src > dst").select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    seen = None
+    for _ in range(most_rounds):
+        both = links.union(links.select("b", "a"))
+        large = _least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct()
+        near = _least(cut(large))
+        small = near.select("a", F.col("m").alias("b")).union(near.select(F.col("b").alias("a"), F.col("m").alias("b")))
+        links = cut(small.where("a <> b").distinct())
+        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == seen:
+            low = links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
+            return every.join(low, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+        seen = now
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
 def shortest(edges: DataFrame, start: int) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import vector as V
 from .assign import small
+from .graph import cut
+from .reshape import numbered
 
 
 def mean_error(assigned: DataFrame) -> DataFrame:
@@ -46,11 +47,12 @@ def topographic_correlation(pairs: DataFrame, method: str = "pearson") -> DataFr
     if method == "pearson":
         return pairs.agg(F.corr("hops", "dist").alias("corr"))
 
-    def mean_rank(c):
-        w = Window.orderBy(c)
-        return F.rank().over(w) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2
-
-    return pairs.select(mean_rank("hops").alias("a"), mean_rank("dist").alias("b")).agg(F.corr("a", "b").alias("corr"))
+    # the mean rank of equal values: rows are numbered over ranges, so that no task sorts all of them
+    for c in ("hops", "dist"):
+        placed = cut(numbered(pairs, [c], "_k"))
+        ranks = placed.groupBy(c).agg((F.min("_k") + 1 + (F.count("*") - 1) / 2).alias("_r"))
+        pairs = placed.join(ranks, c).withColumnRenamed("_r", "_" + c).drop("_k")
+    return pairs.agg(F.corr("_hops", "_dist").alias("corr"))
 
 
 def hit_entropy(assigned: DataFrame) -> DataFrame:

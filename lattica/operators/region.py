@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .assign import small
 from .graph import components, cut, nodes, symmetrize
 
 
@@ -179,7 +180,7 @@ def edge_weights(edges: DataFrame, style: str) -> DataFrame:
 def class_spread(best: DataFrame, codebook: DataFrame) -> DataFrame:
     """``best(sample_id, neuron_id, label)``: for each class, the mean squared hops (rectangular) of
     its samples' units to the rounded mean position: (label, spread). Two partial aggregates."""
-    at = best.join(F.broadcast(codebook.select("neuron_id", "gx", "gy")), "neuron_id")
+    at = best.join(small(codebook.select("neuron_id", "gx", "gy")), "neuron_id")
     mid = at.groupBy("label").agg(*(F.floor(F.avg(c) + 0.5).alias("m" + c) for c in ("gx", "gy")))
     hop = reduce(lambda a, b: a + b, (F.abs(F.col(c) - F.col("m" + c)) for c in ("gx", "gy")))
-    return at.join(F.broadcast(mid), "label").groupBy("label").agg(F.avg((hop * hop).cast("double")).alias("spread"))
+    return at.join(small(mid), "label").groupBy("label").agg(F.avg((hop * hop).cast("double")).alias("spread"))

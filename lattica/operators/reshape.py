@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .assign import small
 from .graph import cut
 
 #: Column names that mean coordinates (fixed values).
@@ -72,7 +73,7 @@ def cluster_index(df: DataFrame, cluster: str) -> DataFrame:
 def to_samples(best: DataFrame, clusters: DataFrame) -> DataFrame:
     """``best(sample_id, neuron_id)`` and ``clusters(neuron_id, cluster_id)`` to samples with the
     cluster of their neuron; neurons without a cluster and clusters without samples vanish."""
-    return best.join(F.broadcast(clusters), "neuron_id").select("sample_id", "cluster_id")
+    return best.join(small(clusters), "neuron_id").select("sample_id", "cluster_id")
 
 
 def insert_units(codebook: DataFrame, column: str, at: int) -> DataFrame:

@@ -4,24 +4,69 @@ is sequential by nature and runs as a numpy kernel, one task for each run."""
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
+
 from ..functions import vector as V
-from .assign import bmu, cng, small
+from . import assign
+from .assign import cng, matrix, small
+from .reshape import numbered
 
 
 def weighted_means(moved: DataFrame) -> DataFrame:
     """``moved(neuron_id, h, x)`` to (neuron_id, w): means weighted by h, by position."""
     part = moved.select("neuron_id", "h", F.posexplode("x").alias("pos", "v")).groupBy("neuron_id", "pos").agg((F.sum(F.col("h") * F.col("v")) / F.sum("h")).alias("v"))
-    return part.groupBy("neuron_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("w"))
+    return gathered(part, "neuron_id")
+
+
+def gathered(part: DataFrame, key: str) -> DataFrame:
+    """``part(key, pos, v)`` to (key, w)."""
+    return part.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("w"))
+
+
+def moments(samples: DataFrame, codebook: DataFrame, dist: assign.Distance, pull, x: str = "x") -> DataFrame:
+    """(neuron_id, n, s): sums over samples of a weight, and of the weight times the vector, for each
+    neuron. ``pull(distances)`` gives the weights as a matrix of samples by neurons.
+
+    Sums are made where the samples lie, one row a neuron and task, so samples are never exchanged."""
+    held = samples.sparkSession.sparkContext.broadcast(assign.neurons(codebook))
+    arrays = [f.name for f in samples.schema if isinstance(f.dataType, T.ArrayType)]
+
+    def run(batches):
+        book = held.value
+        n = s = None
+        for b in batches:
+            for i in range(0, b.num_rows, 4096):
+                part = b.slice(i, 4096)
+                got = {c: matrix(part.column(c)) for c in arrays}
+                at = np.flatnonzero(np.logical_and.reduce([ok for _, ok in got.values()]))
+                if not len(at):
+                    continue
+                v = {c: m[at] for c, (m, _) in got.items()}
+                h = pull(dist(v, book))
+                sums = h.T @ v[x]
+                n, s = (h.sum(axis=0), sums) if n is None else (n + h.sum(axis=0), s + sums)
+        if n is not None:
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(book["neuron_id"][some]), pa.array(n[some]), pa.array(s[some].tolist(), pa.list_(pa.float64()))], names=["neuron_id", "n", "s"])
+
+    parts = samples.mapInArrow(run, "neuron_id long, n double, s array<double>")
+    return parts.select("neuron_id", "n", F.posexplode("s").alias("pos", "s")).groupBy("neuron_id", "pos").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+
+
+def _first(d: np.ndarray) -> np.ndarray:
+    h = np.zeros_like(d)
+    h[np.arange(len(d)), d.argmin(axis=1)] = 1
+    return h
 
 
 def cell_sums(samples: DataFrame, codebook: DataFrame) -> DataFrame:
     """(bmu, pos, n, s): counts and sums of the samples of each best neuron; one pass over the samples."""
-    best = bmu(samples, codebook.select("neuron_id", "w"), V.euclid("x", "w")).withColumnRenamed("neuron_id", "bmu")
-    return samples.join(best, "sample_id").select("bmu", F.posexplode("x").alias("pos", "v")).groupBy("bmu", "pos").agg(F.count("*").alias("n"), F.sum("v").alias("s"))
+    return moments(samples.select("x"), codebook.select("neuron_id", "w"), assign.euclid(), _first).withColumnRenamed("neuron_id", "bmu")
 
 
 def som_epoch(samples: DataFrame, codebook: DataFrame, hop: Column, width: float) -> DataFrame:
@@ -29,24 +74,60 @@ def som_epoch(samples: DataFrame, codebook: DataFrame, hop: Column, width: float
     hops to their best neuron. ``hop`` over x0, y0 (best) and x1, y1."""
     at0 = codebook.select(F.col("neuron_id").alias("bmu"), F.col("gx").alias("x0"), F.col("gy").alias("y0"))
     at1 = codebook.select("neuron_id", F.col("gx").alias("x1"), F.col("gy").alias("y1"))
-    near = at0.join(small(at1)).select("bmu", "neuron_id", V.gauss(hop, F.lit(width)).alias("h"))
-    moved = cell_sums(samples, codebook).join(F.broadcast(near), "bmu")
+    moved = cell_sums(samples, codebook).join(small(at0), "bmu").join(small(at1)).withColumn("h", V.gauss(hop, F.lit(width)))
     part = moved.groupBy("neuron_id", "pos").agg((F.sum(F.col("h") * F.col("s")) / F.sum(F.col("h") * F.col("n"))).alias("v"))
-    return part.groupBy("neuron_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("w"))
+    return gathered(part, "neuron_id")
 
 
 def ng_epoch(samples: DataFrame, codebook: DataFrame, width: float) -> DataFrame:
     """One batch neural gas epoch: weights exp(-k / width) by each neuron's rank k from 0."""
-    from .assign import ranked
 
-    r = ranked(samples, codebook.select("neuron_id", "w"), V.euclid("x", "w"))
-    return weighted_means(r.select("neuron_id", F.exp(-(F.col("rank") - 1) / F.lit(width)).alias("h"), "x"))
+    def pull(d):
+        return np.exp(-assign._ranks(np.argsort(d, axis=1, kind="stable")) / width)
+
+    part = moments(samples.select("x"), codebook.select("neuron_id", "w"), assign.euclid(), pull)
+    return gathered(part.select("neuron_id", "pos", (F.col("s") / F.col("n")).alias("v")), "neuron_id")
 
 
 def kmeans_step(samples: DataFrame, centres: DataFrame) -> DataFrame:
     """New centres; a centre without samples stays."""
-    part = cell_sums(samples, centres).groupBy(F.col("bmu").alias("neuron_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", (F.col("s") / F.col("n")).alias("v")))), lambda s: s["v"]).alias("m"))
-    return centres.select("neuron_id", "w").join(part, "neuron_id", "left").select("neuron_id", F.coalesce("m", "w").alias("w"))
+    mean = gathered(cell_sums(samples, centres).select(F.col("bmu").alias("neuron_id"), "pos", (F.col("s") / F.col("n")).alias("v")), "neuron_id")
+    return centres.select("neuron_id", "w").join(mean.withColumnRenamed("w", "m"), "neuron_id", "left").select("neuron_id", F.coalesce("m", "w").alias("w"))
+
+
+def wmc_epoch(samples: DataFrame, weights: DataFrame, codebook: DataFrame, history: DataFrame | None, alpha: float, beta: float, pull) -> tuple[DataFrame, DataFrame]:
+    """One batch epoch of a network with contexts over spatial weights: ``codebook(neuron_id, w, c)``
+    with weights and contexts moved to the pulled means, and the samples' best neurons.
+
+    The context of a sample merges weight and context of its neighbours' last best neurons
+    (``history``; none at first, where contexts count nothing). Neurons that nothing pulls stay."""
+    if history is None:
+        best = assign.nearest(samples.select("sample_id", "x"), codebook.select("neuron_id", "w"), assign.euclid())
+        history = best.select("sample_id", "neuron_id").where("neuron_id is not null")
+    context = assign.merge_context(weights, history, codebook, beta).withColumnRenamed("src", "sample_id")
+    seen = samples.select("sample_id", "x").join(context, "sample_id")
+    dist = assign.mixed(("x", "w", 1 - alpha), ("context", "c", alpha))
+    mean = lambda x: gathered(moments(seen.select("x", "context"), codebook.select("neuron_id", "w", "c"), dist, pull, x).select("neuron_id", "pos", (F.col("s") / F.col("n")).alias("v")), "neuron_id")
+    new = codebook.join(mean("x").withColumnRenamed("w", "nw"), "neuron_id", "left").join(mean("context").withColumnRenamed("w", "nc"), "neuron_id", "left")
+    new = new.select("neuron_id", F.coalesce("nw", "w").alias("w"), F.coalesce("nc", "c").alias("c"))
+    best = assign.nearest(seen, new, dist).select("sample_id", "neuron_id")
+    return new, best
+
+
+def wmc_fit(samples: DataFrame, weights: DataFrame, codebook: DataFrame, widths: list[float], alpha: float = 0.4, beta: float = 0.25, hops: np.ndarray | None = None) -> DataFrame:
+    """Trains weights and contexts over spatial weights, an epoch for each of ``widths``: by ranks as a
+    neural gas, or by Gaussians of ``hops`` between neurons (in the order of neuron_id) as a map."""
+    from .graph import cut
+
+    book = cut(codebook.select("neuron_id", "w", F.transform("w", lambda v: F.lit(0.0)).alias("c")))
+    history = None
+    for width in widths:
+        if hops is None:
+            pull = lambda d, width=width: np.exp(-assign._ranks(np.argsort(d, axis=1, kind="stable")) / width)
+        else:
+            pull = lambda d, width=width: np.exp(-0.5 * (hops[d.argmin(axis=1)] / width) ** 2)
+        book, history = (cut(t) for t in wmc_epoch(samples, weights, book, history, alpha, beta, pull))
+    return book
 
 
 def kmeans(samples: DataFrame, centres: DataFrame, rounds: int = 1000, delta: float = 1e-5) -> DataFrame:
@@ -84,11 +165,16 @@ def hops(kind: str, nx: int, ny: int) -> np.ndarray:
     return np.minimum.reduce([hexd(a, b, u) for a in (dx, nx - dx) for b, u in ((dy, up), (ny - dy, ~up))])
 
 
-def run_som(x: np.ndarray, seed: int, steps: int, grid: tuple[str, int, int], width=(10.0, 1.0), rate=(1.0, 0.0)) -> np.ndarray:
+def drawn(rng, x: np.ndarray, steps: int, order: np.ndarray | None) -> np.ndarray:
+    """Which row of ``x`` each step learns: ``order`` if it is given, else random ones."""
+    return rng.integers(0, len(x), steps) if order is None else order
+
+
+def run_som(x: np.ndarray, seed: int, steps: int, grid: tuple[str, int, int], width=(10.0, 1.0), rate=(1.0, 0.0), order: np.ndarray | None = None) -> np.ndarray:
     rng = np.random.default_rng(seed)
     h = hops(*grid).astype(float)
     w = x[rng.integers(0, len(x), len(h))].copy()
-    for i, k in enumerate(rng.integers(0, len(x), steps)):
+    for i, k in enumerate(drawn(rng, x, steps, order)):
         t = i / steps
         d = w - x[k]
         b = int(np.einsum("ij,ij->i", d, d).argmin())
@@ -97,67 +183,66 @@ def run_som(x: np.ndarray, seed: int, steps: int, grid: tuple[str, int, int], wi
     return w
 
 
-def run_ng(x: np.ndarray, seed: int, steps: int, neurons: int, range_=(25.0, 0.01), rate=(0.5, 0.005), geo: np.ndarray | None = None, l: int = 0) -> np.ndarray:  # noqa: E741
+def run_ng(x: np.ndarray, seed: int, steps: int, neurons: int, range_=(25.0, 0.01), rate=(0.5, 0.005), geo: np.ndarray | None = None, l: int = 0, order: np.ndarray | None = None) -> np.ndarray:  # noqa: E741
     """Neural gas; with ``geo`` (mask of coordinate columns) and ``l`` in the order of contextual neural gas."""
     rng = np.random.default_rng(seed)
     w = x[rng.integers(0, len(x), neurons)].copy()
-    for i, k in enumerate(rng.integers(0, len(x), steps)):
+    for i, k in enumerate(drawn(rng, x, steps, order)):
         t = i / steps
         d = x[k] - w
         if geo is None:
-            order = np.argsort((d * d).sum(axis=1), kind="stable")
+            near = np.argsort((d * d).sum(axis=1), kind="stable")
         else:
-            order = np.argsort((d[:, geo] ** 2).sum(axis=1), kind="stable")
-            f = (d[order[:l]][:, ~geo] ** 2).sum(axis=1)
-            order = np.concatenate((order[:l][np.argsort(f, kind="stable")], order[l:]))
+            near = np.argsort((d[:, geo] ** 2).sum(axis=1), kind="stable")
+            f = (d[near[:l]][:, ~geo] ** 2).sum(axis=1)
+            near = np.concatenate((near[:l][np.argsort(f, kind="stable")], near[l:]))
         lam, eps = range_[0] * (range_[1] / range_[0]) ** t, rate[0] * (rate[1] / rate[0]) ** t
-        w[order] += (eps * np.exp(-np.arange(neurons) / lam))[:, None] * d[order]
+        w[near] += (eps * np.exp(-np.arange(neurons) / lam))[:, None] * d[near]
     return w
 
 
-def run_gng(x: np.ndarray, seed: int, steps: int, most: int = 64, lr_b=0.05, lr_n=0.0005, age_max=90, every=300, alpha=0.5, beta=0.0005) -> np.ndarray:
-    """Growing neural gas; at most ``most`` neurons."""
+def run_gng(x: np.ndarray, seed: int, steps: int, most: int | None = None, lr_b=0.05, lr_n=0.0005, age_max=90, every=300, alpha=0.5, beta=0.0005, order: np.ndarray | None = None, edges: bool = False):
+    """Growing neural gas: weights, and with ``edges`` also the pairs of neurons that are joined.
+
+    A neuron is put in after every ``every`` steps, the first step included, without limit or up to ``most``."""
     rng = np.random.default_rng(seed)
-    w = {i: x[k].copy() for i, k in enumerate(rng.integers(0, len(x), 2))}
-    err, age, nxt = dict.fromkeys(w, 0.0), {}, 2
-    for t, k in enumerate(rng.integers(0, len(x), steps)):
-        ids = sorted(w)
-        d = np.sqrt(((np.array([w[i] for i in ids]) - x[k]) ** 2).sum(axis=1))
-        first, second = (ids[j] for j in np.argsort(d, kind="stable")[:2])
-        age[min(first, second), max(first, second)] = 0
-        err[first] += float(d.min())
-        age = {e: a + 1 for e, a in age.items()}
-        near = lambda n: [a + b - n for a, b in age if n in (a, b)]  # noqa: B023, E731
+    w = x[rng.integers(0, len(x), 2)].astype(float)
+    err, age = np.zeros(2), np.full((2, 2), -1)  # -1: not joined
+    for t, k in enumerate(drawn(rng, x, steps, order)):
+        d = np.sqrt(((w - x[k]) ** 2).sum(axis=1))
+        first, second = np.argsort(d, kind="stable")[:2]
+        age[first, second] = age[second, first] = 0
+        err[first] += d[first]
+        age[age >= 0] += 1
+        near = np.flatnonzero(age[first] >= 0)
         w[first] += lr_b * (x[k] - w[first])
-        for n in near(first):
-            w[n] += lr_n * (x[k] - w[n])
-        age = {e: a for e, a in age.items() if a <= age_max}
-        held = {n for e in age for n in e}
-        for n in [n for n in w if n not in held]:
-            del w[n], err[n]
-        if t % every == 0 and len(w) < most:
-            q = min(w, key=lambda n: (-err[n], n))
-            if others := near(q):
-                f = min(others, key=lambda n: (-err[n], n))
-                w[nxt] = (w[q] + w[f]) / 2
-                age.pop((min(q, f), max(q, f)), None)
-                age[q, nxt] = age[f, nxt] = 0
+        w[near] += lr_n * (x[k] - w[near])
+        age[age > age_max] = -1
+        held = (age >= 0).any(axis=1)
+        if not held.all():
+            w, err, age = w[held], err[held], age[np.ix_(held, held)]
+        if t % every == 0 and (most is None or len(w) < most):
+            q = int(err.argmax())
+            near = np.flatnonzero(age[q] >= 0)
+            if len(near):
+                f = int(near[err[near].argmax()])
+                w = np.vstack([w, (w[q] + w[f]) / 2])
+                age = np.pad(age, (0, 1), constant_values=-1)
+                age[q, f] = age[f, q] = -1
+                age[q, -1] = age[-1, q] = age[f, -1] = age[-1, f] = 0
                 err[q] *= 1 - alpha
-                err[f] *= 1 - alpha
-                err[nxt] = (err[q] + err[f]) / 2
-                nxt += 1
-        for n in err:
-            err[n] *= 1 - beta
-    return np.array([w[n] for n in sorted(w)])
+                err = np.append(err, (err[q] + err[f]) / 2)
+        err *= 1 - beta
+    return (w, np.argwhere(np.triu(age) >= 0)) if edges else w
 
 
-def run_growing_som(x: np.ndarray, seed: int, steps: int, start=(2, 2), every: int = 100, most: int = 500, rate=(0.5, 0.02), width: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+def run_growing_som(x: np.ndarray, seed: int, steps: int, start=(2, 2), every: int = 100, most: int = 500, rate=(0.5, 0.02), width: float = 1.0, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A rectangular map that grows: after ``every`` steps for each unit, a row or column is put between
     the unit hit most and its most distant neighbour. Returns (positions, w); stops growing at ``most``."""
     rng = np.random.default_rng(seed)
     grid = x[rng.integers(0, len(x), start[0] * start[1])].reshape(*start, -1).copy()
     hits, since = np.zeros(start, int), 0
-    for i, k in enumerate(rng.integers(0, len(x), steps)):
+    for i, k in enumerate(drawn(rng, x, steps, order)):
         d = x[k] - grid
         a, b = np.unravel_index((d * d).sum(axis=2).argmin(), hits.shape)
         hits[a, b] += 1
@@ -231,21 +316,56 @@ def run_merge(series: np.ndarray, seed: int, epochs: int, neurons: int, alpha: f
     return w, c
 
 
-def fit(samples: DataFrame, kernel, seeds: list[int], most_rows: int = 1_000_000) -> DataFrame:
-    """Runs ``kernel(matrix, seed)`` once for each seed, in parallel tasks: (run, neuron_id, w).
+MODEL = "run int, neuron_id long, w array<double>, position array<long>, joined array<long>"
 
-    Training is sequential, so a run reads at most ``most_rows`` samples, the first by a hash of
-    sample_id; use the batch epochs above to train on more.
-    """
-    chosen = samples.select("sample_id", "x", F.xxhash64("sample_id").alias("_o")).orderBy("_o").limit(most_rows)
-    runs = chosen.withColumn("run", F.explode(F.array(*(F.lit(s) for s in seeds))))
 
-    def one(key, table):
-        rows = sorted(zip(table["sample_id"].to_pylist(), table["x"].to_pylist(), strict=True))
-        w = kernel(np.array([r[1] for r in rows], float), key[0].as_py())
-        return pa.table({"run": pa.array([key[0].as_py()] * len(w), pa.int32()), "neuron_id": pa.array(range(len(w)), pa.int64()), "w": pa.array(w.tolist(), pa.list_(pa.float64()))})
+def model(w: np.ndarray, position: np.ndarray | None = None, edges: np.ndarray | None = None) -> dict:
+    """A trained network: weights, grid positions where it has them, and the neurons joined to each."""
+    joined = None
+    if edges is not None:
+        joined = [[] for _ in w]
+        for a, b in edges.tolist():
+            joined[a].append(b)
+            joined[b].append(a)
+    return {"w": w, "position": None if position is None else position.tolist(), "joined": joined}
 
-    return runs.select("run", "sample_id", "x").groupBy("run").applyInArrow(one, "run int, neuron_id long, w array<double>")
 
+def fit(samples: DataFrame, kernel, seeds: list[int], steps: int) -> DataFrame:
+    """Runs ``kernel(matrix, seed, order)`` once for each seed, in parallel tasks: (run, neuron_id, w,
+    position, joined), the last two where the kernel gives a ``model`` with them.
 
-__all__ = ["cng", "fit", "kmeans", "kmeans_step", "ng_epoch", "run_gng", "run_growing_som", "run_merge", "run_ng", "run_som", "run_temporal", "som_epoch"]
+    Online training is sequential, so a run is one task; but it reads only what its steps draw.
+    Each of its ``steps`` draws is a row of the whole table, found by its number: ``order`` says
+    which row of the matrix a step learns. So any number of samples may be trained on, and a run
+    holds at most ``steps`` of them. Rows without a whole vector are never drawn; no rows, no model.
+    """
+    spark = samples.sparkSession
+    whole = samples.where(F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v))).select("sample_id", "x")
+    numbers = numbered(whole, [F.xxhash64("sample_id"), F.col("sample_id")], "at")
+    n = numbers.count()
+    if not n:
+        return spark.createDataFrame([], MODEL)
+    draws = [(s, t, k) for s in seeds for t, k in enumerate(np.random.default_rng([s, 1]).integers(0, n, steps).tolist())]
+    asked = spark.createDataFrame(pd.DataFrame(draws, columns=["run", "t", "at"]), "run int, t long, at long")
+    asked = asked.groupBy("run", "at").agg(F.collect_list("t").alias("ts"))
+    rows = numbers.join(small(asked, most_rows=len(draws) + 1), "at").select("run", "at", "x", "ts")
+
+    def one(key, table):
+        at, xs, ts = table["at"].to_numpy(), matrix(table["x"])[0], table["ts"].to_pylist()
+        by = np.argsort(at, kind="stable")
+        order = np.empty(steps, np.int64)
+        for i, k in enumerate(by.tolist()):
+            order[ts[k]] = i
+        got = kernel(xs[by], key[0].as_py(), order)
+        got = got if isinstance(got, dict) else model(got)
+        m = len(got["w"])
+        none = [None] * m
+        return pa.table({
+            "run": pa.array([key[0].as_py()] * m, pa.int32()), "neuron_id": pa.array(range(m), pa.int64()), "w": pa.array(got["w"].tolist(), pa.list_(pa.float64())),
+            "position": pa.array(got["position"] or none, pa.list_(pa.int64())), "joined": pa.array(got["joined"] or none, pa.list_(pa.int64())),
+        })
+
+    return rows.groupBy("run").applyInArrow(one, MODEL)
+
+
+__all__ = ["cng", "fit", "kmeans", "kmeans_step", "model", "ng_epoch", "run_gng", "run_growing_som", "run_merge", "run_ng", "run_som", "run_temporal", "som_epoch", "wmc_epoch", "wmc_fit"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vector as V
 from . import blocks
+from .assign import small
 
 
 def means(df: DataFrame, *keys: str) -> DataFrame:
@@ -18,7 +19,7 @@ def means(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def to_means(df: DataFrame) -> DataFrame:
-    return df.join(F.broadcast(means(df, "cluster")), "cluster").withColumn("d", V.euclid("x", "m"))
+    return df.join(small(means(df, "cluster")), "cluster").withColumn("d", V.euclid("x", "m"))
 
 
 def wcss(df: DataFrame) -> DataFrame:
@@ -36,7 +37,7 @@ def davies_bouldin(df: DataFrame) -> DataFrame:
     s = to_means(df).groupBy("cluster").agg(F.avg("d").alias("s")).join(means(df, "cluster"), "cluster")
     a = s.select(F.col("cluster").alias("a"), F.col("s").alias("sa"), F.col("m").alias("ma"))
     b = s.select(F.col("cluster").alias("b"), F.col("s").alias("sb"), F.col("m").alias("mb"))
-    worst = a.join(F.broadcast(b), F.col("a") != F.col("b")).groupBy("a").agg(F.max((F.col("sa") + F.col("sb")) / V.euclid("ma", "mb")).alias("r"))
+    worst = a.join(small(b), F.col("a") != F.col("b")).groupBy("a").agg(F.max((F.col("sa") + F.col("sb")) / V.euclid("ma", "mb")).alias("r"))
     return worst.agg(F.avg("r").alias("davies_bouldin"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .graph import cut
 from .reshape import numbered
 
 
@@ -93,15 +94,17 @@ def local_morans_i(w: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def morans_i_monte_carlo(w: DataFrame, values: DataFrame, reps: int, seed: int) -> DataFrame:
-    """Moran's I against ``reps`` seeded permutations of the values: i, mean, var, z, one-sided p."""
+    """Moran's I against ``reps`` seeded permutations of the values: i, mean, var, z, one-sided p.
+
+    A permutation is the order of a hash. All are numbered together, over ranges of (rep, hash), so a
+    permutation is no single task."""
     spark = values.sparkSession
-    order = Window.partitionBy("rep").orderBy(F.xxhash64("id", "rep", F.lit(seed)), "id")
-    place = Window.partitionBy("rep").orderBy("id")
-    grid = values.join(F.broadcast(spark.range(reps).withColumnRenamed("id", "rep")))
-    grid = grid.withColumn("k", F.row_number().over(order)).withColumn("at", F.row_number().over(place))
-    perm = grid.select("rep", "id", F.col("at").alias("_k")).join(grid.select("rep", F.col("k").alias("_k"), "v"), ["rep", "_k"])
     m = values.agg(F.avg("v"), F.var_pop("v"), F.count("*")).first()
-    perm = perm.select("rep", "id", (F.col("v") - m[0]).alias("z"))
+    placed = cut(numbered(values, [F.col("id")], "at"))
+    grid = placed.join(F.broadcast(spark.range(reps).withColumnRenamed("id", "rep"))).withColumn("_h", F.xxhash64("id", "rep", F.lit(seed)))
+    dealt = numbered(grid.select("rep", "_h", "id", "v"), [F.col("rep"), F.col("_h"), F.col("id")], "_k")
+    dealt = dealt.select("rep", (F.col("_k") - F.col("rep") * m[2]).alias("at"), (F.col("v") - m[0]).alias("z"))
+    perm = dealt.join(placed.select("at", "id"), "at")
     a, b = (perm.select("rep", F.col("id").alias(k), F.col("z").alias("z" + k)) for k in ("src", "dst"))
     each = w.join(a, "src").join(b, ["rep", "dst"]).groupBy("rep").agg((F.sum(F.col("w") * F.col("zsrc") * F.col("zdst")) / F.sum("w") / m[1]).alias("p"))
     i = morans_i(w, values).first()[0]

@@ -6,11 +6,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..functions import vector as V
 from ..operators import assign, cluster, graph, synth, train, weights
 from ..streaming import temporal
 from . import tables as T
-from .oracle import contexts, fifth, hop, r6, rounded
+from .oracle import fifth, hop, r6, rounded
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -30,21 +29,24 @@ def samples(spark, d):
     return T.vec(spark, d).select("sample_id", "x")
 
 
+STEPS = 100_000
+
+
 def flagship(spark, d):
-    book = train.fit(samples(spark, d), lambda x, seed: train.run_som(x, seed, 20_000, ("hex", 12, 8)), [1]).select("neuron_id", "w")
+    book = train.fit(samples(spark, d), lambda x, seed, order: train.run_som(x, seed, STEPS, ("hex", 12, 8), order=order), [1], STEPS).select("neuron_id", "w")
     book = graph.cut(book)
     out = assign.bmu_euclid(samples(spark, d), book)
     return out.groupBy("neuron_id").agg(F.count("*").alias("hits"), F.avg("dist").alias("mean_qe"))
 
 
-def _fit(name, kernel):
-    query(name)(lambda spark, d: train.fit(samples(spark, d), kernel, [1, 2, 3, 4]))
+def _fit(name, kernel, steps=STEPS):
+    query(name)(lambda spark, d: train.fit(samples(spark, d), lambda x, seed, order: kernel(x, seed, steps, order), [1, 2, 3, 4], steps).select("run", "neuron_id", "w", *(["joined"] if name == "gng_fit" else [])))
 
 
-_fit("som_fit", lambda x, seed: train.run_som(x, seed, 10_000, ("hex", 12, 8)))
-_fit("ng_fit", lambda x, seed: train.run_ng(x, seed, 10_000, 25))
-_fit("cng_fit", lambda x, seed: train.run_ng(x, seed, 10_000, 25, geo=np.arange(x.shape[1]) < 2, l=5))
-_fit("gng_fit", lambda x, seed: train.run_gng(x, seed, 5_000))
+_fit("som_fit", lambda x, seed, steps, order: train.run_som(x, seed, steps, ("hex", 12, 8), order=order))
+_fit("ng_fit", lambda x, seed, steps, order: train.run_ng(x, seed, steps, 25, order=order))
+_fit("cng_fit", lambda x, seed, steps, order: train.run_ng(x, seed, steps, 25, geo=np.arange(x.shape[1]) < 2, l=5, order=order))
+_fit("gng_fit", lambda x, seed, steps, order: train.model(*(lambda w, e: (w, None, e))(*train.run_gng(x, seed, steps, order=order, edges=True))))
 
 
 @query("kmeans")
@@ -64,12 +66,14 @@ def som_batch_fit(spark, d):
 
 @query("wmc_fit")
 def wmc_fit(spark, d):
-    """One assignment pass under merge contexts, then the means of each neuron's samples."""
-    s = samples(spark, d).join(contexts(spark, d).withColumnRenamed("src", "sample_id"), "sample_id")
-    cb = T.codebook(spark, d).select("neuron_id", "w", F.transform("w", lambda v: F.lit(0.0)).alias("c"))
-    best = assign.bmu(s, cb, 0.6 * V.euclid("x", "w") + 0.4 * V.euclid("context", "c"))
-    moved = samples(spark, d).join(best, "sample_id").select("neuron_id", F.lit(1.0).alias("h"), "x")
-    return train.weighted_means(moved)
+    """A neural gas with contexts over five nearest neighbours, trained in six batch epochs."""
+    return train.wmc_fit(samples(spark, d), fifth(spark, d), T.codebook(spark, d), [8.0, 4.0, 2.0, 1.0, 0.5, 0.25])
+
+
+@query("wmc_som_fit")
+def wmc_som_fit(spark, d):
+    """A map with contexts over five nearest neighbours."""
+    return train.wmc_fit(samples(spark, d), fifth(spark, d), T.codebook(spark, d), [2.0, 1.0, 0.5], hops=train.hops("rect", 5, 5))
 
 
 @query("msom_assign")

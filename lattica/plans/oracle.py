@@ -116,8 +116,8 @@ def _named(spark, d):
 
 @query("bmu_weighted", f"WITH {T.CB} " + BEST.format(e="(0.7 * list_distance(vec.f, cb.f) + 0.3 * list_distance(vec.g, cb.g))"))
 def bmu_weighted(spark, d):
-    dist = V.weighted(V.euclid("f", "wf"), V.euclid("g", "wg"), 0.3)
-    return rounded(assign.bmu(T.vec(spark, d).select("sample_id", "f", "g"), _named(spark, d), dist), "dist")
+    dist = assign.mixed(("f", "wf", 0.7), ("g", "wg", 0.3))
+    return rounded(assign.nearest(T.vec(spark, d).select("sample_id", "f", "g"), _named(spark, d), dist).select("sample_id", "neuron_id", "dist"), "dist")
 
 
 @query("bmu_augmented", f"WITH {T.CB} " + BEST.format(e="list_distance(list_concat(vec.f, [2 * vec.g[1], 2 * vec.g[2]]), list_concat(cb.f, [2 * cb.g[1], 2 * cb.g[2]]))"))
@@ -137,7 +137,7 @@ def bmu_cng(spark, d):
 
 
 def ranks(spark, d):
-    return assign.ranked(T.vec(spark, d).select("sample_id", "x"), T.codebook(spark, d).select("neuron_id", "w"), V.euclid("x", "w"))
+    return assign.ranked(T.vec(spark, d).select("sample_id", "x"), T.codebook(spark, d).select("neuron_id", "w"), assign.euclid())
 
 
 @query("rank_neurons", f"WITH {T.ASSIGN} SELECT sample_id, neuron_id, rank FROM r")
@@ -462,4 +462,4 @@ def wmc_context(spark, d):
 def wmc_assign(spark, d):
     s = T.vec(spark, d).select("sample_id", "x").join(contexts(spark, d).withColumnRenamed("src", "sample_id"), "sample_id")
     cb = T.codebook(spark, d).select("neuron_id", "w", F.transform("w", lambda v: F.lit(0.0)).alias("c"))
-    return rounded(assign.bmu(s, cb, 0.6 * V.euclid("x", "w") + 0.4 * V.euclid("context", "c")), "dist")
+    return rounded(assign.nearest(s, cb, assign.mixed(("x", "w", 0.6), ("context", "c", 0.4))).select("sample_id", "neuron_id", "dist"), "dist")

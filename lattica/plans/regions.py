@@ -211,7 +211,7 @@ TWO = f"{T.ASSIGN}, two AS (SELECT sample_id, min(neuron_id) FILTER (rank = 1) A
 
 
 def hebbian(spark, d):
-    r = assign.ranked(samples(spark, d), T.codebook(spark, d).select("neuron_id", "w"), V.euclid("x", "w")).where("rank <= 2")
+    r = assign.ranked(samples(spark, d), T.codebook(spark, d).select("neuron_id", "w"), assign.euclid(), most=2)
     two = r.groupBy("sample_id").agg(*(F.min(F.when(F.col("rank") == k, F.col("neuron_id"))).alias(n) for k, n in ((1, "first"), (2, "second"))))
     at = T.codebook(spark, d)
     a, b = (at.select(F.col("neuron_id").alias(k), F.col("w").alias("w" + k), F.col("g").alias("g" + k)) for k in ("a", "b"))
@@ -321,7 +321,12 @@ def multilevel(spark, d):
     return t.groupBy("one").applyInArrow(run, "id long, module long")
 
 
-query("growing_som_fit")(lambda spark, d: train.fit(samples(spark, d), lambda x, seed: train.run_growing_som(x, seed, 4_000)[1], [1, 2]))
+def _grown(x, seed, order):
+    position, w = train.run_growing_som(x, seed, len(order), order=order)
+    return train.model(w, position)
+
+
+query("growing_som_fit")(lambda spark, d: train.fit(samples(spark, d), _grown, [1, 2], 20_000).select("run", "neuron_id", "w", "position"))
 
 
 def _over_series(name, kernel):

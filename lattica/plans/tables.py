@@ -34,7 +34,7 @@ def trade(spark, d) -> DataFrame:
     c = read(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("long").alias("a"))
     s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("b"))
     o = read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    n = read(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(o, "l_orderkey").join(c, "o_custkey").join(F.broadcast(s), "l_suppkey").groupBy("a", "b").agg(F.count("*").alias("n"))
+    n = read(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(o, "l_orderkey").join(c, "o_custkey").join(s, "l_suppkey").groupBy("a", "b").agg(F.count("*").alias("n"))
     both = n.select(F.col("a").alias("src"), F.col("b").alias("dst"), "n").union(n.select("b", "a", "n"))
     return both.groupBy("src", "dst").agg(F.sum("n").cast("double").alias("w"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def read_numeric_csv(spark: SparkSession, path: str, sep: str = ",", ignore: tuple[int, ...] = ()) -> DataFrame:
@@ -27,15 +28,27 @@ def read_points_csv(spark: SparkSession, path: str, x: str, y: str, z: str | Non
     return df.withColumn("geom", F.struct(F.col(x).alias("x"), F.col(y).alias("y"), *([F.col(z).alias("z")] if z else [])))
 
 
+def lines(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(name, value): the lines of text files, numbered densely in the order of the files. Splits are counted
+    first, and a line's number is its split's offset plus its place in the split."""
+    raw = spark.read.text(path).withColumn("_id", F.monotonically_increasing_id())
+    part = F.shiftright("_id", 33)
+    counts = raw.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
+    place = F.col("_id").bitwiseAND((1 << 33) - 1)
+    return raw.join(F.broadcast(starts), part == F.col("_p")).select((F.col("_s") + place).alias(name), "value")
+
+
 def read_matrix(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """A headerless numeric matrix as (i, j, v); rows are numbered in file order."""
-    rows = spark.read.text(path).withColumn("i", F.monotonically_increasing_id())
+    """A headerless numeric matrix as (i, j, v); rows are numbered 0.. in file order."""
+    rows = lines(spark, path, "i")
     return rows.select("i", F.posexplode(F.split("value", sep)).alias("j", "v")).select("i", F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v"))
 
 
 def read_square_distances(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """(src, dst, w); an empty cell is no entry."""
-    rows = spark.read.text(path).withColumn("src", F.monotonically_increasing_id())
+    rows = lines(spark, path, "src")
     cells = rows.select("src", F.posexplode(F.split("value", sep)).alias("dst", "w"))
     return cells.where(F.trim("w") != "").select("src", F.col("dst").cast("long").alias("dst"), F.col("w").cast("double").alias("w"))
 

@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from lattica.operators import cluster, synth, train
+from lattica.functions import vector as V
+from lattica.operators import assign, cluster, frame, graph, synth, train
 from lattica.plans import models
 from lattica.sources import files
 from lattica.streaming import temporal
@@ -119,3 +120,109 @@ def test_files(spark, tmp_path):
     assert len(files.read_square_distances(spark, str(tmp_path / "m.csv")).collect()) == 3
     lines = [r.value for r in files.graphml_lines(spark.createDataFrame([(1, 0.5)], "id long, a double"), edges).collect()]
     assert lines[0].startswith("<?xml") and lines[-1] == "</graphml>" and sum("<edge" in x for x in lines) == 2
+
+
+def test_searches_take_nulls_and_ignored_neurons(spark):
+    rows = [(1, [1.0, 2.0]), (2, None), (3, [None, 1.0]), (4, [0.0, 0.0]), (5, [float("nan"), 0.0])]
+    df = spark.createDataFrame(rows, "sample_id long, x array<double>").coalesce(1)
+    book = spark.createDataFrame([(0, [0.0, 0.0]), (7, [9.0, 9.0])], "neuron_id long, w array<double>")
+    got = {r.sample_id: (r.neuron_id, r.dist) for r in assign.bmu_euclid(df, book).collect()}
+    assert got == {1: (0, 5**0.5), 2: (None, None), 3: (None, None), 4: (0, 0.0), 5: (None, None)}
+    assert {r.neuron_id for r in assign.bmu_euclid(df, book, ignore={0}).collect()} == {7, None}
+    assert {r.neuron_id for r in assign.bmu_euclid(df, book, ignore={0, 7}).collect()} == {None}
+    column = assign.bmu(df, book, V.euclid("x", "w"), ignore={0})
+    assert {r.neuron_id for r in column.where("sample_id in (1, 4)").collect()} == {7}
+    ranks = {(r.sample_id, r.neuron_id): r["rank"] for r in assign.ranked(df, book, assign.euclid()).collect()}
+    assert ranks == {(1, 0): 1, (1, 7): 2, (4, 0): 1, (4, 7): 2}
+    assert assign.bmu_euclid(df.limit(0), book).count() == 0 and assign.bmu_euclid(df, book.limit(0)).where("neuron_id is null").count() == 5
+    with pytest.raises(Exception, match="components"):
+        assign.bmu_euclid(spark.createDataFrame([(1, [1.0])], "sample_id long, x array<double>"), book).collect()
+    with pytest.raises(ValueError, match="broadcast"):
+        assign.small(spark.range(11), most_rows=10)
+    with pytest.raises(ValueError, match="broadcast"):
+        assign.small(spark.range(11), most_bytes=20)
+
+
+def test_searches_exchange_no_samples(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0])], "sample_id long, x array<double>")
+    book = spark.createDataFrame([(0, [0.0, 0.0], 0, 0), (1, [9.0, 9.0], 0, 1)], "neuron_id long, w array<double>, gx int, gy int")
+    for out in (assign.bmu_euclid(df, book.select("neuron_id", "w")), assign.ranked(df, book.select("neuron_id", "w"), assign.euclid())):
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_epochs_against_numpy(spark):
+    x, w = RNG.normal(size=(200, 3)), RNG.normal(size=(6, 3))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())] + [(999, None)], "sample_id long, x array<double>").repartition(3)
+    book = spark.createDataFrame([(i, v, i // 3, i % 3) for i, v in enumerate(w.tolist())], "neuron_id long, w array<double>, gx int, gy int")
+    d = ((x[:, None] - w) ** 2).sum(axis=2)
+    h = np.exp(-d.argsort(axis=1).argsort(axis=1) / 2.0)
+    by = lambda t: np.array([r.w for r in sorted(t.collect(), key=lambda r: r.neuron_id)])
+    assert by(train.ng_epoch(df, book, 2.0)) == pytest.approx((h.T @ x) / h.sum(axis=0)[:, None])
+    hop = abs(np.arange(6)[:, None] // 3 - np.arange(6) // 3) + abs(np.arange(6)[:, None] % 3 - np.arange(6) % 3)
+    g = np.exp(-0.5 * (hop[d.argmin(axis=1)] / 1.2) ** 2)
+    assert by(train.som_epoch(df, book, V.rect_dist("x0", "y0", "x1", "y1"), 1.2)) == pytest.approx((g.T @ x) / g.sum(axis=0)[:, None])
+    means = [x[d.argmin(axis=1) == k].mean(axis=0) if (d.argmin(axis=1) == k).any() else w[k] for k in range(6)]
+    assert by(train.kmeans_step(df, book)) == pytest.approx(np.array(means))
+
+
+def test_training_over_neighbours_learns_contexts(spark):
+    """Samples of two kinds whose own values are equal, but whose neighbours' are not."""
+    rows = [(i, [0.0]) for i in range(10)] + [(10 + i, [10.0 if i % 2 else -10.0]) for i in range(10)]
+    df = spark.createDataFrame(rows, "sample_id long, x array<double>")
+    near = [(i, 10 + i, 1.0) for i in range(10)] + [(10 + i, 10 + (i + 2) % 10, 1.0) for i in range(10)]
+    weights = spark.createDataFrame(near, "src long, dst long, w double")
+    book = spark.createDataFrame([(0, [-9.0]), (1, [-0.1]), (2, [0.1]), (3, [9.0])], "neuron_id long, w array<double>")
+    for hops in (None, abs(np.arange(4)[:, None] - np.arange(4)).astype(float)):
+        got = {r.neuron_id: (r.w[0], r.c[0]) for r in train.wmc_fit(df, weights, book, [1.0, 0.5, 0.1, 0.1, 0.1, 0.1], alpha=0.5, beta=0.0, hops=hops).collect()}
+        zeros = sorted(c for w, c in got.values() if abs(w) < 1)
+        assert len(got) == 4 and zeros[0] == pytest.approx(-10, abs=0.5) and zeros[-1] == pytest.approx(10, abs=0.5)
+
+
+def test_fit_draws_from_the_whole_table(spark):
+    rows = [(i, [float(i)]) for i in range(500)] + [(900, None), (901, [float("nan")])]
+    df = spark.createDataFrame(rows, "sample_id long, x array<double>").repartition(3)
+    seen = train.fit(df, lambda x, seed, order: np.array([[x[order].min(), x[order].max(), len(order), len(x)]]), [1, 2], 4000).collect()
+    assert len(seen) == 2 and all(r.w[:3] == [0.0, 499.0, 4000.0] and 490 <= r.w[3] <= 500 for r in seen)
+    few = train.fit(df, lambda x, seed, order: train.model(x[order], np.zeros((len(order), 2), int), np.array([[0, 2]])), [5], 3).collect()
+    assert len(few) == 3 and sorted(map(tuple, (r.joined for r in few))) == [(), (0,), (2,)] and few[0].position == [0, 0]
+    assert train.fit(df.limit(0), lambda x, seed, order: x, [1], 10).count() == 0
+
+
+def test_growing_gas_has_no_limit(spark):
+    x = RNG.normal(size=(300, 2))
+    w, edges = train.run_gng(x, 1, 3_000, every=20, age_max=10**9, edges=True)
+    assert len(w) > 64 and set(edges.ravel().tolist()) == set(range(len(w)))
+    assert (train.run_gng(x, 1, 900) == train.run_gng(x, 1, 900)).all()
+
+
+def test_scaling_without_spread_or_rows(spark):
+    df = spark.createDataFrame([(2.0, 1, None), (2.0, 3, None), (None, 5, None)], "a double, b int, c double")
+    for chain, want in ((["zscore"], [0.0, 0.0, None]), (["scale01"], [0.0, 0.0, None])):
+        s = frame.Scaler(["a", "b", "c"], chain).fit(df)
+        out = s.transform(df)
+        assert sorted((r.a for r in out.collect()), key=str) == want and all(r.c is None for r in out.collect())
+        assert sorted((r.a for r in s.inverse(out).collect()), key=str) == [2.0, 2.0, None]
+        empty = frame.Scaler(["a", "b"], chain).fit(df.limit(0))
+        assert empty.transform(df.limit(0)).count() == 0 and {r.b for r in empty.transform(df).collect()} == {None}
+    one = spark.createDataFrame([(4.0,)], "a double")
+    assert frame.Scaler(["a"], ["zscore"]).fit(one).transform(one).first().a == 0.0
+    for f in (frame.geo_scale01, frame.geo_zscore):
+        assert f(one, ["a"]).first().a == 0.0 and f(one.limit(0), ["a"]).count() == 0 and f(df, ["a", "c"]).select("c").distinct().collect() == [(None,)]
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("\n".join(f"{i},{-i}" for i in range(5000)) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = files.read_matrix(spark, str(tmp_path / "m.csv"))
+        assert got.rdd.getNumPartitions() > 3
+        assert sorted((r.i, r.j, r.v) for r in got.collect()) == sorted((i, j, float(v)) for i in range(5000) for j, v in ((0, i), (1, -i)))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_components_of_paths_and_hubs(spark):
+    edges = [(i, i + 1) for i in range(0, 300)] + [(1000, k) for k in range(1001, 1400)] + [(5000, 5000)] + [(2001, 2000)]
+    got = {r.id: r.component for r in graph.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert all(got[i] == 0 for i in range(301)) and all(got[k] == 1000 for k in range(1000, 1400)) and got[5000] == 5000 and got[2001] == 2000
+    assert graph.components(spark.createDataFrame([], "src long, dst long")).count() == 0
