@@ -24,6 +24,7 @@ length is in one chunk, whole; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -84,6 +85,18 @@ def keys_of(data: np.ndarray, lengths: np.ndarray, depth: int) -> np.ndarray:
     return key
 
 
+def slices(texts: list[bytes], most: int = 1 << 21):
+    """Ranges of texts of about ``most`` bytes, at least one text each."""
+    i = 0
+    while i < len(texts):
+        j, n = i, 0
+        while j < len(texts) and (j == i or n + len(texts[j]) <= most):
+            n += len(texts[j]) + 1
+            j += 1
+        yield i, j
+        i = j
+
+
 def batches(texts: list[bytes], depth: int, most: int = 1 << 21):
     """(first document, document number of each key, keys), over at most 65,536 documents each."""
     i = 0
@@ -468,17 +481,27 @@ def _score(depth: int, buckets: int, n_train: float, vocabulary: float, hot: np.
             at = runs(gram)
             p = np.repeat(logp[np.searchsorted(keys, gram[at])], np.diff(np.append(at, len(gram))))
             total[i : i + len(lengths)] = np.bincount((both & np.uint64(65535)).astype(np.int64), weights=p, minlength=len(lengths))
-        known, others = word_counts(texts, train)
-        count: dict[bytes, int] = {}
-        for b, words in by_bucket(list(known.keys() | others), buckets).items():
-            count.update(zip(words, expand(got[1, b], np.uint64).tolist(), strict=True))
-        part = {w: math.log10((c + 0.1) / denominator) for w, c in count.items()}
-        n_tokens, n_known, base = [], [], []
+        words = {END_WORD}
         for text in texts:
-            words = [*words_of(text), END_WORD]
-            n_tokens.append(len(words))
-            n_known.append(sum(1 for w in words if count[w]))
-            base.append(math.fsum(map(part.__getitem__, words)))
+            words.update(words_of(text))
+        at, counts = {}, []
+        for b, ws in by_bucket(list(words), buckets).items():
+            at.update(zip(ws, range(len(counts), len(counts) + len(ws))))
+            counts += expand(got[1, b], np.uint64).tolist()
+        counts = np.array(counts, np.float64)
+        part, seen = np.log10((counts + 0.1) / denominator), (counts > 0).astype(np.int64)
+        end = at[END_WORD]
+        n_tokens, n_known, base = np.ones(len(texts), np.int64), np.full(len(texts), seen[end]), np.full(len(texts), part[end])
+        for i, j in slices(texts):
+            split = [words_of(t) for t in texts[i:j]]
+            n = np.fromiter(map(len, split), np.int64, j - i)
+            place = np.fromiter(map(at.__getitem__, itertools.chain.from_iterable(split)), np.int64, n.sum())
+            some = np.flatnonzero(n)
+            first = (np.cumsum(n) - n)[some]
+            n_tokens[i:j] += n
+            if len(some):
+                n_known[i + some] += np.add.reduceat(seen[place], first)
+                base[i + some] += np.add.reduceat(part[place], first)
         return pa.table({
             "doc_id": docs["doc_id"], "held_out": pa.array(~train), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
             "train_tokens": pa.array([int(n_train)] * len(texts), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(total, pa.float64()),
