@@ -351,15 +351,6 @@ _over_series("msom_fit", lambda s: np.concatenate(train.run_merge(s, 1, 3, 25, g
 
 # ---------------------------------------------------------------- generators
 
-query("circles")(lambda spark, d: synth.circles(spark, 1_000, 4, 1))
-query("strips")(lambda spark, d: synth.strips(spark, 1_000, 4, 0.1, 1))
-query("diamond")(lambda spark, d: synth.diamond(spark, 1_000, 1))
-query("space_time_cube")(lambda spark, d: synth.space_time_cube(spark, 1_000, 1))
-query("l_shape")(lambda spark, d: synth.bent(spark, 1_000, "L", 0.1, 1))
-query("t_shape")(lambda spark, d: synth.bent(spark, 1_000, "T", 0.1, 1))
-query("outliers")(lambda spark, d: synth.outliers(spark, 1))
-query("squares")(lambda spark, d: synth.squares(spark, 1_000, 4, 1))
-query("voronoi_regions")(lambda spark, d: synth.voronoi_regions(spark, 70, 100, 0.1, 1))
 
 
 # ---------------------------------------------------------------- formats and streams
