@@ -51,7 +51,7 @@ def pick_rows(df: DataFrame, key: str, wanted: list[int]) -> DataFrame:
 
 def random_rows(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """``n`` rows without replacement, the first by a seeded hash of the key; a top-k, so no full sort."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", key, F.lit(seed))), key).limit(n)
 
 
 def numbered(df: DataFrame, order: list, name: str) -> DataFrame:

@@ -101,7 +101,7 @@ def morans_i_monte_carlo(w: DataFrame, values: DataFrame, reps: int, seed: int)
     spark = values.sparkSession
     m = values.agg(F.avg("v"), F.var_pop("v"), F.count("*")).first()
     placed = cut(numbered(values, [F.col("id")], "at"))
-    grid = placed.join(F.broadcast(spark.range(reps).withColumnRenamed("id", "rep"))).withColumn("_h", F.xxhash64("id", "rep", F.lit(seed)))
+    grid = placed.join(F.broadcast(spark.range(reps).withColumnRenamed("id", "rep"))).withColumn("_h", F.md5(F.concat_ws(":", "id", "rep", F.lit(seed))))
     dealt = numbered(grid.select("rep", "_h", "id", "v"), [F.col("rep"), F.col("_h"), F.col("id")], "_k")
     dealt = dealt.select("rep", (F.col("_k") - F.col("rep") * m[2]).alias("at"), (F.col("v") - m[0]).alias("z"))
     perm = dealt.join(placed.select("at", "id"), "at")
@@ -133,9 +133,10 @@ def local_morans_i_monte_carlo(w: DataFrame, values: DataFrame, reps: int, seed:
     """
     z = _centred(values)
     m = z.agg(F.avg(F.col("z") * F.col("z")), F.count("*")).first()
-    placed = numbered(z, [F.xxhash64("id", F.lit(seed)), F.col("id")], "at")
+    placed = numbered(z, [F.col("id")], "at")
     draws = w.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    draws = draws.withColumn("at", F.pmod(F.xxhash64("src", "dst", "rep", F.lit(seed)), F.lit(m[1])))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", "src", "dst", "rep", F.lit(seed))), 1, 13), 16, 10).cast("long")
+    draws = draws.withColumn("at", drawn % m[1])
     got = draws.select("src", "rep", "w", "at").join(placed.select("at", "z"), "at").groupBy("src", "rep").agg(F.sum(F.col("w") * F.col("z")).alias("s"))
     each = got.join(z.select(F.col("id").alias("src"), F.col("z").alias("zi")), "src").select(F.col("src").alias("id"), (F.col("zi") / m[0] * F.col("s")).alias("p"))
     both = each.join(local_morans_i(w, values), "id")

@@ -49,39 +49,94 @@ _fit("cng_fit", lambda x, seed, steps, order: train.run_ng(x, seed, steps, 25, g
 _fit("gng_fit", lambda x, seed, steps, order: train.model(*(lambda w, e: (w, None, e))(*train.run_gng(x, seed, steps, order=order, edges=True))))
 
 
-@query("kmeans")
+def rows_of(spark, d, book, *vectors):
+    """(neuron_id, pos, a column of each vector), rounded."""
+    named = F.arrays_zip(*vectors)
+    out = book.select(F.col("neuron_id").cast("long").alias("neuron_id"), F.posexplode(named).alias("pos", "v"))
+    return out.select("neuron_id", (F.col("pos") + 1).cast("long").alias("pos"), *(r6(F.col("v")[c]).alias(c) for c in vectors))
+
+
+@query("kmeans", f"""WITH RECURSIVE {T.CB}, k AS (SELECT 0 AS it, neuron_id, w, true AS moved FROM cb UNION ALL
+SELECT it + 1, neuron_id, coalesce(m, w) AS w, bool_or(coalesce(list_distance(m, w), 0) > 1e-5) OVER () FROM (SELECT any_value(it) OVER () AS it, k.neuron_id, k.w, n.m FROM k LEFT JOIN
+(SELECT neuron_id, list(v ORDER BY pos) AS m FROM (SELECT neuron_id, pos, avg(v) AS v FROM (SELECT neuron_id, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM
+(SELECT sample_id, any_value(x) AS x, min({{'d': list_distance(x, w), 'n': neuron_id}}).n AS neuron_id FROM vec, k GROUP BY sample_id)) GROUP BY ALL) GROUP BY neuron_id) n ON n.neuron_id = k.neuron_id WHERE k.moved))
+SELECT neuron_id, generate_subscripts(w, 1) AS pos, round(unnest(w), 6) AS w FROM k WHERE it = (SELECT max(it) FROM k)""")
 def kmeans(spark, d):
-    return train.kmeans(samples(spark, d), T.codebook(spark, d))
+    return rows_of(spark, d, train.kmeans(samples(spark, d), T.codebook(spark, d)), "w")
 
 
-@query("som_batch_fit")
+def _epochs(widths) -> str:
+    """SQL of batch epochs of a 5 x 5 map."""
+    parts = [f"WITH {T.CB}, e AS (SELECT sample_id, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM vec), c0 AS (SELECT neuron_id, w FROM cb)"]
+    for k, width in enumerate(widths, 1):
+        parts.append(f"b{k} AS (SELECT sample_id, min({{'d': list_distance(x, w), 'n': neuron_id}}).n AS bmu FROM vec, c{k - 1} GROUP BY sample_id)")
+        parts.append(f"s{k} AS (SELECT bmu, pos, count(*) AS n, sum(v) AS s FROM e JOIN b{k} USING (sample_id) GROUP BY ALL)")
+        parts.append(f"m{k} AS (SELECT o.neuron_id, pos, sum(exp(-0.5 * ((abs(o.gx - i.gx) + abs(o.gy - i.gy)) / {width}) ** 2) * s) / sum(exp(-0.5 * ((abs(o.gx - i.gx) + abs(o.gy - i.gy)) / {width}) ** 2) * n) AS v FROM s{k} JOIN cb i ON i.neuron_id = bmu, cb o GROUP BY ALL)")
+        parts.append(f"c{k} AS (SELECT neuron_id, list(v ORDER BY pos) AS w FROM m{k} GROUP BY neuron_id)")
+    return ",\n".join(parts) + f"\nSELECT neuron_id, pos, round(v, 6) AS w FROM m{len(widths)}"
+
+
+@query("som_batch_fit", _epochs((3.0, 1.5, 0.75)))
 def som_batch_fit(spark, d):
     """Batch epochs with a narrowing kernel: training that scales with the samples."""
     book = T.codebook(spark, d).select("neuron_id", "gx", "gy", "w")
     for width in (3.0, 1.5, 0.75):
         new = train.som_epoch(samples(spark, d), book, hop(), width)
         book = graph.cut(book.drop("w").join(new, "neuron_id"))
-    return book
+    return rows_of(spark, d, book, "w")
+
+
+def _contexts(widths, by_rank: bool) -> str:
+    """SQL of batch epochs with contexts over the five nearest neighbours."""
+    parts = [f"WITH {T.KNN.replace(T.VEC, T.CB)}, c0 AS (SELECT neuron_id, w, list_transform(w, lambda v: 0.0::DOUBLE) AS c FROM cb)", "h0 AS (SELECT sample_id, min({'d': list_distance(x, w), 'n': neuron_id}).n AS neuron_id FROM vec, c0 GROUP BY sample_id)"]
+    for k, width in enumerate(widths, 1):
+        p = k - 1
+        parts.append(f"t{k} AS (SELECT src, list(v ORDER BY pos) AS t FROM (SELECT src, pos, avg(v) AS v FROM (SELECT src, unnest(w) * 0.75 + unnest(c) * 0.25 AS v, generate_subscripts(w, 1) AS pos FROM knn JOIN h{p} ON sample_id = dst JOIN c{p} USING (neuron_id)) GROUP BY ALL) GROUP BY src)")
+        parts.append(f"d{k} AS (SELECT sample_id, x, t, neuron_id, 0.6 * list_distance(x, w) + 0.4 * list_distance(t, c) AS d FROM vec JOIN t{k} ON src = sample_id, c{p})")
+        if by_rank:
+            parts.append(f"p{k} AS (SELECT x, t, neuron_id, exp(-(row_number() OVER (PARTITION BY sample_id ORDER BY d, neuron_id) - 1) / {width}::DOUBLE) AS h FROM d{k})")
+        else:
+            parts.append(f"p{k} AS (SELECT any_value(x) AS x, any_value(t) AS t, o.neuron_id, exp(-0.5 * ((abs(o.gx - i.gx) + abs(o.gy - i.gy)) / {width}::DOUBLE) ** 2) AS h FROM (SELECT sample_id, any_value(x) AS x, any_value(t) AS t, min({{'d': d, 'n': neuron_id}}).n AS bmu FROM d{k} GROUP BY sample_id) b JOIN cb i ON i.neuron_id = bmu, cb o GROUP BY sample_id, o.neuron_id, o.gx, o.gy, i.gx, i.gy)")
+        parts.append(f"m{k} AS (SELECT neuron_id, pos, sum(h * v) / sum(h) AS w, sum(h * u) / sum(h) AS c FROM (SELECT neuron_id, h, unnest(x) AS v, unnest(t) AS u, generate_subscripts(x, 1) AS pos FROM p{k}) GROUP BY ALL)")
+        parts.append(f"c{k} AS (SELECT neuron_id, list(w ORDER BY pos) AS w, list(c ORDER BY pos) AS c FROM m{k} GROUP BY neuron_id)")
+        parts.append(f"h{k} AS (SELECT sample_id, min({{'d': 0.6 * list_distance(x, w) + 0.4 * list_distance(t, c), 'n': neuron_id}}).n AS neuron_id FROM vec JOIN t{k} ON src = sample_id, c{k} GROUP BY sample_id)")
+    return ",\n".join(parts) + f"\nSELECT neuron_id, pos, round(w, 6) AS w, round(c, 6) AS c FROM m{len(widths)}"
+
+
+GAS, MAP = (8.0, 4.0, 2.0, 1.0, 0.5, 0.25), (2.0, 1.0, 0.5)
 
 
-@query("wmc_fit")
+@query("wmc_fit", _contexts(GAS, True))
 def wmc_fit(spark, d):
     """A neural gas with contexts over five nearest neighbours, trained in six batch epochs."""
-    return train.wmc_fit(samples(spark, d), fifth(spark, d), T.codebook(spark, d), [8.0, 4.0, 2.0, 1.0, 0.5, 0.25])
+    return rows_of(spark, d, train.wmc_fit(samples(spark, d), fifth(spark, d), T.codebook(spark, d), list(GAS)), "w", "c")
 
 
-@query("wmc_som_fit")
+@query("wmc_som_fit", _contexts(MAP, False))
 def wmc_som_fit(spark, d):
     """A map with contexts over five nearest neighbours."""
-    return train.wmc_fit(samples(spark, d), fifth(spark, d), T.codebook(spark, d), [2.0, 1.0, 0.5], hops=train.hops("rect", 5, 5))
+    return rows_of(spark, d, train.wmc_fit(samples(spark, d), fifth(spark, d), T.codebook(spark, d), list(MAP), hops=train.hops("rect", 5, 5)), "w", "c")
 
 
-@query("msom_assign")
+MERGED = """WITH RECURSIVE e AS (SELECT event_id, user_id AS series, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE value IS NOT NULL),
+n AS (SELECT list(round(a * i / 5, 6) ORDER BY i) AS w FROM (SELECT avg(value) AS a FROM events), range(1, 10) r(i)), b AS (SELECT w, list_reverse(w) AS c FROM n),
+s AS (SELECT event_id, series, k, list_transform(w, lambda x: abs(x - v)) AS d FROM e, b WHERE k = 1 UNION ALL
+SELECT e.event_id, e.series, e.k, list_transform(range(1, 10), lambda i: 0.5 * abs(w[i] - e.v) + 0.5 * abs(c[i] - (0.5 * w[p] + 0.5 * c[p]))) FROM (SELECT series, k, list_position(d, list_min(d)) AS p FROM s) l JOIN e ON e.series = l.series AND e.k = l.k + 1, b)
+SELECT event_id, series, list_position(d, list_min(d))::BIGINT - 1 AS neuron_id FROM s"""
+
+
+def merged_neurons(events):
+    """Nine weights in steps of a fifth of the mean, and the same in reverse as contexts."""
+    mean = events.where("value is not null").agg(F.avg("value")).first()[0] or 0.0
+    w = np.array([round(mean * i / 5, 6) for i in range(1, 10)])[:, None]
+    return w, w[::-1].copy()
+
+
+@query("msom_assign", MERGED)
 def msom_assign(spark, d):
-    e = T.read(spark, d, "events").select(F.col("user_id").alias("series"), "ts", "event_id", F.col("value").alias("v")).where("v is not null")
-    q = e.agg(F.percentile_approx("v", [i / 10 for i in range(1, 10)], 10_000)).first()[0]
-    w = np.array(q)[:, None]
-    return temporal.assign_series(e, w, np.repeat(w.mean(), len(w))[:, None])
+    events = T.read(spark, d, "events")
+    e = events.select(F.col("user_id").alias("series"), "ts", "event_id", F.col("value").alias("v")).where("v is not null")
+    return temporal.assign_series(e, *merged_neurons(events))
 
 
 # ---------------------------------------------------------------- clustering of a codebook, one task each
@@ -98,12 +153,29 @@ def problem(spark, d, work, schema):
     return book.groupBy("one").applyInArrow(run, schema)
 
 
+def _merges(linkage: str, connected: bool) -> str:
+    """SQL of agglomeration: a table of the distances between what is left, merged by recursion."""
+    first = "list_distance(a.w, b.w)" if linkage != "ward" else "list_distance(a.w, b.w) ** 2 / 2"
+    ok = "abs(a.gx - b.gx) + abs(a.gy - b.gy) = 1" if connected else "true"
+    new = {"single": "least(da, db)", "complete": "greatest(da, db)", "average": "(sa * da + sb * db) / (sa + sb)", "ward": "((sa + sr) * da + (sb + sr) * db - sr * c) / (sa + sb + sr)"}[linkage]
+    return f"""WITH RECURSIVE {T.CB}, t AS (SELECT 0 AS it, a.neuron_id AS a, b.neuron_id AS b, {first} AS d, {ok} AS ok, 1 AS na, 1 AS nb, NULL::BIGINT AS l, NULL::BIGINT AS r, NULL::DOUBLE AS c FROM cb a JOIN cb b ON a.neuron_id < b.neuron_id
+UNION ALL SELECT it + 1, a, b, d, ok, na, nb, l, r, c FROM (
+WITH m AS (SELECT a AS l, b AS r, d AS c, na AS sa, nb AS sb, it FROM t WHERE ok ORDER BY d, a, b LIMIT 1),
+o AS (SELECT a AS x, b AS y, d, ok, na AS nx, nb AS ny FROM t WHERE a IS NOT NULL),
+s AS (SELECT x, y, d, ok, nx, ny FROM o UNION ALL SELECT y, x, d, ok, ny, nx FROM o),
+n AS (SELECT f.y AS a, 25 + m.it AS b, f.d AS da, g.d AS db, f.ok OR g.ok AS ok, f.ny AS sr, m.* FROM m JOIN s f ON f.x = m.l JOIN s g ON g.x = m.r AND g.y = f.y)
+SELECT m.it, o.x AS a, o.y AS b, o.d, o.ok, o.nx AS na, o.ny AS nb, m.l, m.r, m.c FROM m JOIN o ON o.x NOT IN (m.l, m.r) AND o.y NOT IN (m.l, m.r)
+UNION ALL SELECT it, a, b, {new}, ok, sr, sa + sb, l, r, c FROM n
+UNION ALL SELECT it, NULL, NULL, NULL, false, NULL, NULL, l, r, c FROM m WHERE NOT EXISTS (SELECT 1 FROM n)))
+SELECT DISTINCT it - 1 AS age, l AS left_id, r AS right_id, round(c, 6) AS cost FROM t WHERE it > 0"""
+
+
 def _hac(name, linkage, connected=False):
     def work(ids, x, pos):
         m = cluster.tree(x, linkage, cluster.grid_edges(pos) if connected else None)
         return {"age": pa.array(range(len(m)), pa.int32()), "left_id": pa.array([a for a, _, _ in m], pa.int64()), "right_id": pa.array([b for _, b, _ in m], pa.int64()), "cost": pa.array([round(c, 6) for _, _, c in m], pa.float64())}
 
-    query(name)(lambda spark, d: problem(spark, d, work, "age int, left_id long, right_id long, cost double"))
+    query(name, _merges(linkage, connected))(lambda spark, d: problem(spark, d, work, "age int, left_id long, right_id long, cost double"))
 
 
 for _l in cluster.LINKAGES:
@@ -137,9 +209,14 @@ def greedy_modularity(spark, d):
     return t.groupBy("one").applyInArrow(run, "id long, module long")
 
 
-@query("morans_i_monte_carlo")
+@query("morans_i_monte_carlo", f"""WITH {T.KNN}, pl AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM val), m AS (SELECT var_pop(v) AS var, avg(v) AS mean FROM val),
+p AS (SELECT rep, v - mean AS z, row_number() OVER (PARTITION BY rep ORDER BY md5(id || ':' || rep || ':7'), id) AS k FROM val, range(99) r(rep), m), q AS (SELECT rep, id, z FROM p JOIN pl USING (k)),
+e AS (SELECT a.rep, sum(0.2 * a.z * b.z) / sum(0.2) / any_value(var) AS p FROM knn JOIN q a ON a.id = src JOIN q b ON b.id = dst AND b.rep = a.rep, m GROUP BY a.rep),
+o AS (SELECT sum(0.2 * a.z * b.z) / sum(0.2) / any_value(var) AS i FROM knn JOIN z a ON a.id = src JOIN z b ON b.id = dst, m),
+s AS (SELECT any_value(i) AS i, avg(p) AS mean, var_samp(p) AS var, avg((p >= i)::INT) AS ge, avg((p <= i)::INT) AS le FROM e, o)
+SELECT round(i, 6) AS i, round(mean, 6) AS mean, round(var, 6) AS var, round((i - mean) / sqrt(var), 6) AS z, round(CASE WHEN i > mean THEN ge WHEN i < mean THEN le ELSE 0 END, 6) AS p FROM s""")
 def monte_carlo(spark, d):
-    return weights.morans_i_monte_carlo(fifth(spark, d), T.values(spark, d), 99, 7)
+    return rounded(weights.morans_i_monte_carlo(fifth(spark, d), T.values(spark, d), 99, 7), "i", "mean", "var", "z", "p")
 
 
 # ---------------------------------------------------------------- lattices and series

@@ -13,7 +13,7 @@ from ..operators import assign, cluster, graph, palette, project, region, reshap
 from ..sources import shape
 from ..streaming import stateful
 from . import tables as T
-from .models import problem, samples
+from .models import MERGED, merged_neurons, problem, samples
 from .oracle import assigned, fifth, hop, r6, rounded, vector_rows
 
 QUERIES: dict = {}
@@ -68,7 +68,7 @@ def pick_rows(spark, d):
     return reshape.pick_rows(samples(spark, d), "sample_id", [7, 3, 7, 0]).select("at", "sample_id", r6(F.col("x")[0]).alias("v"))
 
 
-@query("random_rows")
+@query("random_rows", f"WITH {T.VEC} SELECT sample_id FROM vec ORDER BY md5(sample_id || ':11'), sample_id LIMIT 50")
 def random_rows(spark, d):
     return reshape.random_rows(samples(spark, d), "sample_id", 50, 11).select("sample_id")
 
@@ -128,9 +128,12 @@ def k_largest(spark, d):
     return rounded(weights.k_per_row(near(spark, d), 2, True), "w")
 
 
-@query("local_morans_monte_carlo")
+@query("local_morans_monte_carlo", f"""WITH {T.KNN}, pl AS (SELECT id, z, row_number() OVER (ORDER BY id) - 1 AS k FROM z), m AS (SELECT avg(z * z) AS m2, count(*) AS n FROM z),
+e AS (SELECT src, rep, sum(0.2 * pl.z) AS s FROM knn, range(49) r(rep), m, pl WHERE pl.k = ('0x' || substring(md5(src || ':' || dst || ':' || rep || ':5'), 1, 13))::BIGINT % n GROUP BY ALL),
+p AS (SELECT src AS id, z / m2 * s AS p FROM e JOIN z ON id = src, m), o AS (SELECT src AS id, any_value(a.z) / any_value(m2) * sum(0.2 * b.z) AS i FROM knn JOIN z a ON a.id = src JOIN z b ON b.id = dst, m GROUP BY src)
+SELECT id, round(i, 6) AS i, round(avg(p), 6) AS mean, round(stddev_samp(p), 6) AS sd, round((i - avg(p)) / nullif(stddev_samp(p), 0), 6) AS z, round((least(count(*) FILTER (p >= i), count(*) FILTER (p <= i)) + 1) / 50.0::DOUBLE, 6) AS p FROM p JOIN o USING (id) GROUP BY id, i""")
 def local_monte_carlo(spark, d):
-    return weights.local_morans_i_monte_carlo(fifth(spark, d), T.values(spark, d), 49, 5)
+    return rounded(weights.local_morans_i_monte_carlo(fifth(spark, d), T.values(spark, d), 49, 5), "i", "mean", "sd", "z", "p")
 
 
 # ---------------------------------------------------------------- regions and graphs
@@ -264,7 +267,7 @@ def color_kmeans(spark, d):
     return palette.kmeans_classes(T.parts(spark, d).select("id", F.col("py").alias("v")), 5)
 
 
-@query("color_palette")
+@query("color_palette", f"WITH s AS (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part) SELECT p_partkey AS id, {palette.palette('blues', 7)}[least(floor((p_retailprice - lo) / ((hi - lo) / 7)), 6)::INT + 1] AS rgb FROM part, s")
 def color_palette(spark, d):
     """Equal classes of prices in the colours of a sequential ramp."""
     from ..operators import color
@@ -377,22 +380,20 @@ def somlib_roundtrip(spark, d):
     return shape.read_somlib_weights(spark, at).select(F.col("gx").cast("long").alias("gx"), F.col("gy").cast("long").alias("gy"), r6(F.col("w")[0]).alias("v"))
 
 
-@query("gml_lines")
+@query("gml_lines", f"WITH {TWO} SELECT unnest(['graph [', 'directed 0', ']']) AS value UNION ALL SELECT 'node [ id ' || neuron_id || ' ]' FROM cb UNION ALL SELECT 'edge [ source ' || a || ' target ' || b || ' ]' FROM hb")
 def gml_lines(spark, d):
     e = hebbian(spark, d)
     return shape.gml_lines(T.codebook(spark, d).select(F.col("neuron_id").alias("id")), e).select("value")
 
 
-@query("msom_stream")
+@query("msom_stream", MERGED)
 def msom_stream(spark, d):
     """Events read as a stream, all that is there, into a table in the shared folder."""
     at = shared(spark, "stream")
     events = T.read(spark, d, "events")
-    q = events.where("value is not null").agg(F.percentile_approx("value", [i / 10 for i in range(1, 10)], 10_000)).first()[0]
-    w = np.array(q)[:, None]
     source = spark.readStream.schema(events.schema).parquet(f"{d}/event[s].parquet").where("value is not null")
     rows = source.select(F.col("user_id").alias("series"), "ts", "event_id", F.col("value").alias("v"))
-    out = stateful.merge_stream(rows, w, np.repeat(w.mean(), len(w))[:, None])
+    out = stateful.merge_stream(rows, *merged_neurons(events))
     run = out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{at}/out")
