@@ -463,7 +463,6 @@ def rows_of_classes(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
     member = comps.join(sets.select(F.col("sid").alias("node"), "first_id", "first_h", held_bytes), "node")
     total, size = member.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     bins = max(U.pieces(total, block, 1), U.pieces(size, block_bytes, 1))
-    bins = max(bins, min(least_buckets, total))
     member = U.with_total(U.with_total(member, "root", "node", F.count("*"), F.sum("_p"), "size"), "root", "node", F.sum("bytes"), F.sum("_p"), "all_bytes")
     parts = F.greatest(F.least(F.ceil(F.col("size") / block), F.lit(16)), F.ceil(F.col("size") / (16 * block)), F.ceil(F.col("all_bytes") / block_bytes)).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(7)), parts).cast("int")
