@@ -214,3 +214,10 @@ def merge_context(weights: DataFrame, history: DataFrame, codebook: DataFrame, b
     part = n.select("src", F.col("w").alias("weight"), F.posexplode("m").alias("pos", "v"))
     mean = part.groupBy("src", "pos").agg((F.sum(F.col("weight") * F.col("v")) / F.nullif(F.sum("weight"), F.lit(0.0))).alias("v"))
     return mean.groupBy("src").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("context"))
+
+
+def same_model(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(same): whether two codebooks have the same rows, repeated rows counted."""
+    b = b.select(*a.columns)
+    differ = a.exceptAll(b).select(F.lit(1).alias("d")).union(b.exceptAll(a).select(F.lit(1).alias("d")))
+    return differ.agg((F.count("*") == 0).alias("same"))

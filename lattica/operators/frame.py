@@ -74,6 +74,48 @@ class Scaler:
         return reduce(lambda d, s: self._apply(d, *s, True), reversed(self.fitted), df)
 
 
+class ColumnScaler:
+    """A chain of its own for each column, as ``{column: [transforms]}``; columns not named stay as they are.
+    Columns in ``together`` are coordinates: they share one mode (``zscore``, ``scale01`` or None) that
+    keeps their aspect."""
+
+    def __init__(self, chains: dict[str, list[str]], together: tuple[str, ...] = (), mode: str | None = None):
+        if set(together) & set(chains):
+            raise ValueError("a column is scaled either alone or together with others")
+        if mode not in (None, "zscore", "scale01"):
+            raise ValueError(f"unsupported mode: {mode}")
+        self.scalers = [Scaler([c], chain) for c, chain in chains.items()]
+        self.together, self.mode = list(together), mode
+
+    def fit(self, df: DataFrame) -> ColumnScaler:
+        for s in self.scalers:
+            s.fit(df)
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        df = reduce(lambda d, s: s.transform(d), self.scalers, df)
+        if self.mode and self.together:
+            df = (geo_zscore if self.mode == "zscore" else geo_scale01)(df, self.together)
+        return df
+
+
+def except_intercept(columns: list[str]) -> list[str]:
+    """The columns to scale of a matrix whose last one is the intercept."""
+    return columns[:-1]
+
+
+def drop_positions(df: DataFrame, positions: set[int]) -> DataFrame:
+    """The columns but those at ``positions`` (from 0); no such column is an error."""
+    if wrong := [p for p in positions if not 0 <= p < len(df.columns)]:
+        raise ValueError(f"no columns at {wrong}")
+    return df.select(*(F.col(f"`{c}`") for i, c in enumerate(df.columns) if i not in positions))
+
+
+def keep_positions(df: DataFrame, positions: list[int]) -> DataFrame:
+    """The columns at ``positions`` (from 0), in their own order."""
+    return drop_positions(df, set(range(len(df.columns))) - set(positions)) if all(0 <= p < len(df.columns) for p in positions) else drop_positions(df, set(positions))
+
+
 def geo_scale01(df: DataFrame, columns: list[str]) -> DataFrame:
     """Shifts each axis to 0 and divides all by the largest range, which keeps the aspect; where no axis
     has a range all is 0, and a column without values stays null."""

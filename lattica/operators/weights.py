@@ -35,9 +35,10 @@ def row_normalize(w: DataFrame) -> DataFrame:
     return w.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("src")))
 
 
-def lattice(points: DataFrame, rook: bool) -> DataFrame:
-    """Contiguity of unit cells ``points(id, i, j)``: shared sides (rook) or also corners (queen)."""
-    steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (not rook or not (a and b))]
+def lattice(points: DataFrame, rook: bool, identity: bool = False) -> DataFrame:
+    """Contiguity of unit cells ``points(id, i, j)``: shared sides (rook) or also corners (queen), and
+    with ``identity`` each cell beside itself."""
+    steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b or identity) and (not rook or not (a and b))]
     s = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in steps)))
     out = points.select(F.col("id").alias("src"), "i", "j", s.alias("s")).select("src", (F.col("i") + F.col("s.a")).alias("i"), (F.col("j") + F.col("s.b")).alias("j"))
     return out.join(points.select(F.col("id").alias("dst"), "i", "j"), ["i", "j"]).select("src", "dst")
@@ -52,6 +53,16 @@ def lag(w: DataFrame, values: DataFrame, order: int = 1) -> DataFrame:
     return values
 
 
+def lag_vectors(w: DataFrame, samples: DataFrame) -> DataFrame:
+    """``samples(sample_id, x)`` with the weighted sum of their neighbours' vectors appended to each; zeros
+    without neighbours."""
+    part = w.join(samples.select(F.col("sample_id").alias("dst"), F.posexplode("x").alias("pos", "v")), "dst")
+    sums = part.groupBy("src", "pos").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+    lags = sums.groupBy(F.col("src").alias("sample_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("_lag"))
+    zeros = F.transform("x", lambda v: F.lit(0.0))
+    return samples.join(lags, "sample_id", "left").select("sample_id", F.concat("x", F.coalesce("_lag", zeros)).alias("x"))
+
+
 def _centred(values: DataFrame) -> DataFrame:
     return values.join(F.broadcast(values.agg(F.avg("v").alias("_m")))).select("id", (F.col("v") - F.col("_m")).alias("z"))
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import text
+
 
 def read_numeric_csv(spark: SparkSession, path: str, sep: str = ",", ignore: tuple[int, ...] = ()) -> DataFrame:
     """Columns of numbers; empty cells are null, ``#`` starts comments, and a column with any other
@@ -79,14 +81,12 @@ def read_gas(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_gas(codebook: DataFrame, path: str) -> None:
-    out = codebook.orderBy("neuron_id").select(F.struct(F.col("w").alias("value")).alias("vector"))
-    out.coalesce(1).write.format("xml").option("rootTag", "units").option("rowTag", "unit").save(path)
+    text.write_lines(text.gas_lines(codebook).coalesce(1), path)
 
 
-def write_grid(codebook: DataFrame, path: str) -> None:
+def write_grid(codebook: DataFrame, path: str, hexagonal: bool = False, toroid: bool = False) -> None:
     """Units with their positions as attributes."""
-    out = codebook.orderBy("neuron_id").select(F.col("gx").alias("_x"), F.col("gy").alias("_y"), F.struct(F.col("w").alias("value")).alias("vector"))
-    out.coalesce(1).write.format("xml").option("attributePrefix", "_").option("rootTag", "units").option("rowTag", "unit").save(path)
+    text.write_lines(text.grid_lines(codebook, hexagonal, toroid).coalesce(1), path)
 
 
 def read_fcps(spark: SparkSession, lrn: str, cls: str) -> DataFrame:
@@ -99,15 +99,8 @@ def read_fcps(spark: SparkSession, lrn: str, cls: str) -> DataFrame:
 
 
 def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """GraphML as ordered lines: ``nodes(id, ...attributes)``, ``edges(src, dst, w)``."""
-    spark = nodes.sparkSession
-    attrs = [c for c in nodes.columns if c != "id"]
-    head = ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', *(f'<key id="{a}" for="node" attr.name="{a}" attr.type="double"/>' for a in attrs), '<key id="value" for="edge" attr.name="value" attr.type="double"/>', '<graph edgedefault="directed">']
-    data = [F.format_string(f'<data key="{a}">%s</data>', F.col(a).cast("string")) for a in attrs]
-    n = nodes.select(F.lit(1).alias("o"), F.col("id").alias("k"), F.concat(F.format_string('<node id="%d">', "id"), *data, F.lit("</node>")).alias("value"))
-    e = edges.select(F.lit(2).alias("o"), F.col("src").alias("k"), F.format_string('<edge source="%d" target="%d"><data key="value">%s</data></edge>', "src", "dst", F.col("w").cast("string")).alias("value"))
-    lines = lambda o, rows: spark.createDataFrame([(o, i, r) for i, r in enumerate(rows)], "o int, k long, value string")
-    return lines(0, head).union(n).union(e).union(lines(3, ["</graph>", "</graphml>"])).orderBy("o", "k", "value")
+    """GraphML as ordered lines: ``nodes(id, ...attributes)``, ``edges(src, dst, w)``, directed."""
+    return text.graphml_lines(nodes, edges.withColumnRenamed("w", "value"), directed=True).orderBy("o", "k", "value")
 
 
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:

@@ -1,10 +1,13 @@
+from xml.etree import ElementTree
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.functions import vector as V
-from lattica.operators import assign, cluster, frame, graph, synth, train
+from lattica.operators import assign, cluster, frame, graph, synth, train, weights
 from lattica.plans import models
-from lattica.sources import files
+from lattica.sources import files, text
 from lattica.streaming import temporal
 
 RNG = np.random.default_rng(3)
@@ -226,3 +229,112 @@ def test_components_of_paths_and_hubs(spark):
     got = {r.id: r.component for r in graph.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert all(got[i] == 0 for i in range(301)) and all(got[k] == 1000 for k in range(1000, 1400)) and got[5000] == 5000 and got[2001] == 2000
     assert graph.components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+# ---------------------------------------------------------------- text formats, clusters in one call, models
+
+def test_graphml_both_ways(spark, tmp_path):
+    nodes = spark.createDataFrame([(1, 0.5, "a<b"), (2, None, None), (7, 2.0, "&")], "id long, v double, name string")
+    edges = spark.createDataFrame([(1, 2, 0.25), (2, 1, 0.5), (7, 7, 1.0)], "src long, dst long, weight double")
+    for tag, loops in (("node", True), ("vertex", False)):
+        at = str(tmp_path / tag)
+        text.write_lines(text.graphml_lines(nodes, edges, tag, loops=loops).coalesce(1), at)
+        whole = ElementTree.fromstringlist(r.value for r in spark.read.text(at, wholetext=True).collect())
+        ns = "{" + text.GRAPHML + "}"
+        assert len(list(whole.iter(ns + tag))) == 3 and len(list(whole.iter(ns + "edge"))) == (3 if loops else 2)
+        assert [d.text for d in whole.iter(ns + "data") if d.get("key") == "name"] == ["a<b", "&"]
+        n, e = text.read_graphml(spark, at, tag)
+        assert sorted((r.id, r.x) for r in n.collect()) == [(1, [None, 0.5]), (2, []), (7, [None, 2.0])]
+        assert sorted(map(tuple, e.collect())) == [(1, 2, 1.0), (2, 1, 1.0)] + ([(7, 7, 1.0)] if loops else [])
+
+
+def test_codebooks_as_xml(spark, tmp_path):
+    book = spark.createDataFrame([(0, 0, 0, [1.0, 1e-9]), (1, 0, 1, [-2.5, 3.0])], "neuron_id long, gx int, gy int, w array<double>")
+    files.write_grid(book, str(tmp_path / "grid"), hexagonal=True)
+    files.write_gas(book, str(tmp_path / "gas"))
+    root = ElementTree.fromstring("\n".join(r.value for r in spark.read.text(str(tmp_path / "grid")).collect()))
+    assert root.tag == "grid" and root.attrib == {"hex": "true", "toroid": "false"} and root[0].tag == "units"
+    assert sorted(map(tuple, text.read_grid(spark, str(tmp_path / "grid")).collect())) == [(0, 0, [1.0, 1e-9]), (0, 1, [-2.5, 3.0])]
+    assert sorted(r.w for r in files.read_gas(spark, str(tmp_path / "gas")).collect()) == [[-2.5, 3.0], [1.0, 1e-9]]
+
+
+def test_matrix_and_regions(spark, tmp_path):
+    entries = spark.createDataFrame([(0, 0, 1.5), (0, 2, -2.0), (1, 1, 3.0)], "i long, j long, v double")
+    lines = [r.value for r in text.matrix_lines(entries, 3).orderBy("o", "k").collect()]
+    assert lines == ["X1,X1,X2", "1.5, 0.0, -2.0", "0.0, 3.0, 0.0"]
+    (tmp_path / "r.csv").write_text("n,a,b\n0,5,1\n1,5,2\n2,6,1\n")
+    assert sorted(map(tuple, text.read_regions(spark, str(tmp_path / "r.csv"), 2).collect())) == [(0, 1), (1, 2), (2, 1)]
+
+
+def test_wkt(spark, tmp_path):
+    (tmp_path / "g.csv").write_text('id,geom\n# a comment\n1,POINT (1 2)\n2,"POLYGON ((0 0, 1.5 0, 0 1, 0 0), (0.1 0.1, 0.2 0.1, 0.1 0.2, 0.1 0.1))"\n3,\n4,POINT EMPTY\n5,"LINESTRING(-1e3 2,  3 4)"\n')
+    got = {int(r.id): r for r in text.read_wkt_csv(spark, str(tmp_path / "g.csv"), 1).collect()}
+    assert got[1]["geom"] is not None and got[3].asDict()["geom"] is None
+    rows = text.read_wkt_csv(spark, str(tmp_path / "g.csv"), 1).select("id", F.col("geom.kind").alias("kind"), F.transform("geom.rings", lambda r: F.size(r)).alias("n")).collect()
+    assert {int(r.id): (r.kind, r.n) for r in rows} == {1: ("POINT", [1]), 2: ("POLYGON", [4, 4]), 3: (None, None), 4: (None, None), 5: ("LINESTRING", [2])}
+    again = text.read_wkt_csv(spark, str(tmp_path / "g.csv"), 1).where("geom is not null").select(text.parse_wkt(text.to_wkt(F.col("geom.kind"), F.col("geom.rings"))).alias("b"), "geom")
+    assert all(r.b == r.geom for r in again.collect())
+
+
+def test_clusters_in_one_call(spark):
+    x = np.concatenate([RNG.normal(size=(6, 2)) + 20 * k for k in range(3)])
+    rows = [(i, v, i // 3, i % 3) for i, v in enumerate(x.tolist())]
+    book = spark.createDataFrame(rows, "neuron_id long, w array<double>, gx int, gy int")
+    for algo in cluster.ALGORITHMS:
+        got = [r.cluster_id for r in cluster.cluster_codebook(book, algo, 3, connected=algo not in ("kmeans",), seed=4).orderBy("neuron_id").collect()]
+        assert len(set(got)) == 3 and (got == [0] * 6 + [1] * 6 + [2] * 6 or algo == "kmeans")
+    with pytest.raises(ValueError):
+        cluster.cluster(x, "other", 2)
+    with pytest.raises(ValueError):
+        cluster.cluster(x, "skater", 2)
+
+
+def test_least_size_in_trees():
+    x = np.array([[0.0], [1.0], [10.0], [11.0], [30.0]])
+    whole = cluster.tree(x, "ward")
+    some = cluster.tree(x, "ward", min_size=2)
+    assert len(whole) == 4 and [m[:2] for m in some[:2]] == [(0, 1), (2, 3)]
+    sizes = {i: 1 for i in range(5)}
+    for k, (a, b, _) in enumerate(some):
+        assert min(sizes[a], sizes[b]) < 2
+        sizes[5 + k] = sizes[a] + sizes[b]
+    assert len(some) == 3
+
+
+def test_modularity_with_restarts_and_number():
+    e = {(i, j): 1.0 for g in (range(0, 4), range(4, 8), range(8, 12)) for i in g for j in g if i != j}
+    e |= {(a, b): 0.5 for a, b in ((0, 4), (4, 0), (5, 8), (8, 5))}
+    a = np.zeros((12, 12))
+    for (i, j), w in e.items():
+        a[i, j] = w
+    one, many = cluster.greedy_modularity(12, e), cluster.greedy_modularity(12, e, restarts=8)
+    assert many.tolist() == [0] * 4 + [1] * 4 + [2] * 4 and cluster.modularity(a, many) >= cluster.modularity(a, one)
+    assert len(set(cluster.greedy_modularity(12, e, restarts=3, k=2).tolist())) == 2
+    assert len(set(cluster.greedy_modularity(12, e, k=5).tolist())) == 5
+
+
+def test_same_model_and_columns(spark):
+    a = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (1, [2.0])], "neuron_id long, w array<double>")
+    assert assign.same_model(a, a.select("w", "neuron_id")).first().same and not assign.same_model(a, a.distinct()).first().same
+    df = spark.createDataFrame([(1.0, 2.0, 3.0, 1.0), (3.0, 4.0, 9.0, 1.0)], ["a", "b", "c", "one"])
+    assert frame.drop_positions(df, {0, 2}).columns == ["b", "one"] and frame.keep_positions(df, [2, 0]).columns == ["a", "c"]
+    with pytest.raises(ValueError):
+        frame.drop_positions(df, {9})
+    s = frame.Scaler(frame.except_intercept(df.columns), ["scale01"]).fit(df).transform(df)
+    assert sorted(map(tuple, s.collect())) == [(0.0, 0.0, 0.0, 1.0), (1.0, 1.0, 1.0, 1.0)]
+    own = frame.ColumnScaler({"c": ["log"]}, ("a", "b"), "scale01").fit(df).transform(df)
+    assert sorted((r.a, r.b, round(r.c, 6)) for r in own.collect()) == [(0.0, 0.0, 1.098612), (1.0, 1.0, 2.197225)]
+
+
+def test_lag_of_vectors_and_identity(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0]), (3, [5.0, 6.0])], "sample_id long, x array<double>")
+    w = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.5), (2, 1, 1.0)], "src long, dst long, w double")
+    assert {r.sample_id: r.x for r in weights.lag_vectors(w, df).collect()} == {1: [1.0, 2.0, 4.0, 5.0], 2: [3.0, 4.0, 1.0, 2.0], 3: [5.0, 6.0, 0.0, 0.0]}
+    cells = spark.createDataFrame([(k, k // 2, k % 2) for k in range(4)], "id long, i int, j int")
+    assert weights.lattice(cells, False, identity=True).count() == 16 and weights.lattice(cells, True, identity=True).count() == 12
+
+
+def test_watershed(spark):
+    labels = spark.createDataFrame([(i, j, i // 2 + 10) for i in range(3) for j in range(3)], "i int, j int, label int")
+    book = spark.createDataFrame([(k, k // 2, k % 2) for k in range(6)], "neuron_id long, gx int, gy int")
+    assert {r.neuron_id: r.cluster_id for r in cluster.watershed(labels, book).collect()} == {0: 10, 1: 10, 2: 11, 3: 11}
