@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import generators, models, oracle, regions
+from .plans import formats, generators, models, oracle, regions
 
 
 def entry(spark, sf_dir):
@@ -11,8 +11,8 @@ def entry(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {**oracle.QUERIES, **models.QUERIES, **regions.QUERIES, **generators.QUERIES}
+    return {**oracle.QUERIES, **models.QUERIES, **regions.QUERIES, **generators.QUERIES, **formats.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**oracle.SQL, **models.SQL, **regions.SQL, **generators.SQL}
+    return {**oracle.SQL, **models.SQL, **regions.SQL, **generators.SQL, **formats.SQL}
