@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.functions import vector as V
-from lattica.operators import assign, cluster, frame, graph, synth, train, weights
+from lattica.operators import assign, blocks, cluster, frame, graph, synth, train, weights
 from lattica.plans import models
 from lattica.sources import files, text
 from lattica.streaming import temporal
@@ -338,3 +338,32 @@ def test_watershed(spark):
     labels = spark.createDataFrame([(i, j, i // 2 + 10) for i in range(3) for j in range(3)], "i int, j int, label int")
     book = spark.createDataFrame([(k, k // 2, k % 2) for k in range(6)], "neuron_id long, gx int, gy int")
     assert {r.neuron_id: r.cluster_id for r in cluster.watershed(labels, book).collect()} == {0: 10, 1: 10, 2: 11, 3: 11}
+
+
+@pytest.mark.parametrize("kind", ["spread", "clumps", "line", "same"])
+def test_nearest_in_the_plane_are_exact(spark, kind):
+    n = 700
+    x = RNG.random((n, 2)) * [3.0, 1.0]
+    if kind == "clumps":
+        x = np.round(RNG.normal(size=(n, 2)) * 0.02, 3) + RNG.integers(0, 3, (n, 1)) * 50.0
+    if kind == "line":
+        x[:, 1] = 0.5
+    if kind == "same":
+        x[: n // 2] = 0.25
+    ids = RNG.permutation(n)
+    df = spark.createDataFrame([(int(i), v) for i, v in zip(ids, x.tolist())] + [(5000, None), (5001, [None, 1.0])], "sample_id long, x array<double>").repartition(3)
+    whole = sorted(map(tuple, blocks.knn(df, "x", 4).collect()))
+    rows = df.where("sample_id < 5000").select("sample_id", F.col("x")[0].alias("px"), F.col("x")[1].alias("py"))
+    cells = sorted(map(tuple, blocks.knn_plane(rows, 4, per_cell=12, block=100).select("src", "dst", "dist", "rank").collect()))
+    assert cells == whole and len(whole) == 4 * n
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    for r in range(0, n, 97):
+        best = sorted((round(v, 12), int(i)) for v, i in zip(d[r], ids))[:4]
+        assert {t[1] for t in whole if t[0] == ids[r]} == {i for _, i in best} or kind == "clumps"
+
+
+def test_nearest_of_few(spark):
+    df = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 0.0)], "sample_id long, px double, py double")
+    assert sorted((r.src, r.dst) for r in blocks.knn_plane(df, 3).collect()) == [(1, 2), (2, 1)]
+    assert blocks.knn_plane(df.limit(0), 3).count() == 0
