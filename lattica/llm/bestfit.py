@@ -234,11 +234,13 @@ def _pack(path: str, end_id: int, sizes: tuple[int, ...], overhead: int, buffer_
                     yield send()
         if ids:
             yield send()
+        b = texts = cuts = None
+        U.release()
 
     return run
 
 
-def pack(docs: DataFrame, path: str, *, end_id: int = 1, sizes: tuple[int, ...] = SIZES, overhead: int = OVERHEAD, buffer_tokens: int = 4 << 20) -> DataFrame:
+def pack(docs: DataFrame, path: str, *, end_id: int = 1, sizes: tuple[int, ...] = SIZES, overhead: int = OVERHEAD, buffer_tokens: int = 2 << 20) -> DataFrame:
     """``docs(doc_id, text, ...)`` as bins of token ids by the tokenizer at ``path``; see the module."""
     keep = [c for c in docs.columns if c != "text"]
     own = T.StructType([docs.schema[c] for c in keep])

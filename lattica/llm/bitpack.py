@@ -128,7 +128,7 @@ def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
 # ---------------------------------------------------------------- tokens
 
 _TOKENIZERS: dict[str, object] = {}
-CACHE_WORDS = 1_500_000  # about 60 bytes each
+CACHE_WORDS = 800_000  # about 60 bytes each
 
 
 def tokenizer(path: str):
@@ -205,7 +205,7 @@ BLANKS = (b" ", b"\t", b"\n", b"\v", b"\f", b"\r")
 SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 STOPS = np.isin(np.arange(256), list(b".,"))
 LETTERS = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
-PIECE = 1 << 20
+PIECE = 1 << 19
 OLD = "\u0530"  # letters before it (Latin, Greek, Cyrillic) are the same in all versions of Unicode
 
 
@@ -230,9 +230,8 @@ class Words:
     commas that end a word after an ASCII letter count as a word (such a tokenizer parts letters
     from other signs). Words are found and looked up by hashes, many at a time, and each is
     encoded once and kept; a full table is emptied, which only costs work. New words are encoded
-    many at a time: lower-case ASCII letters, and composed texts of letters, by the same model
-    without the parts that change nothing in them, their ids told apart by the tokens that end a
-    word; others parted by a sign that is one token of its own. What doesn't come out even, or
+    many at a time: composed words of letters by the same model without the parts that change
+    nothing in them, their ids told apart by the tokens that end a word; others parted by a sign that is one token of its own. What doesn't come out even, or
     holds that sign, is encoded singly.
     """
 
@@ -243,7 +242,7 @@ class Words:
             raise ValueError("this tokenizer's ids are not those of its words in turn")
         self.by_words = apt if by_words is None else by_words
         if self.by_words:
-            self.ends, self.ascii, self.composed, self.sign = _parts(path)
+            self.ends, self.composed, self.sign = _parts(path)
             self.known = _KNOWN.setdefault(path, Known())
 
     # ---- new words
@@ -278,7 +277,7 @@ class Words:
         return ids, np.concatenate(begins), np.concatenate(many)
 
     def learn(self, words: list[bytes], h1: np.ndarray, h2: np.ndarray) -> None:
-        plain, other, rest, alone = [], [], [], []
+        plain, other, rest, alone, got = [], [], [], [], []
         for i, w in enumerate(words):
             if w.isalpha():
                 plain.append(i)
@@ -288,13 +287,17 @@ class Words:
                 (alone if self.sign[0] in w else rest).append(i)
         texts = lambda at: [words[i] for i in at]
         composed = unicodedata.is_normalized("NFC", b" ".join(texts(other)).decode())
-        for at, coder, sign in ((plain, self.ascii, b""), (other, self.composed if composed else self.tokenizer, b""), (rest, self.tokenizer, self.sign[0])):
+        for at, coder, sign in ((plain, self.composed, b""), (other, self.composed if composed else self.tokenizer, b""), (rest, self.tokenizer, self.sign[0])):
             if at:
-                self.known.add(h1[at], h2[at], *self.grouped([w.lower() for w in texts(at)] if at is plain else texts(at), coder, sign))
+                got.append((at, *self.grouped(texts(at), coder, sign)))
         if alone:
-            ids = self.single(texts(alone))
-            many = np.array([len(x) for x in ids])
-            self.known.add(h1[alone], h2[alone], ids, np.cumsum(many) - many, many)
+            one = self.single(texts(alone))
+            many = np.array([len(x) for x in one])
+            got.append((alone, one, np.cumsum(many) - many, many))
+        order = np.concatenate([at for at, *_ in got])
+        base = np.cumsum([0, *(sum(map(len, ids)) for _, ids, _, _ in got)])
+        begin = np.concatenate([b + at for (_, _, b, _), at in zip(got, base)])
+        self.known.add(h1[order], h2[order], [x for _, ids, _, _ in got for x in ids], begin, np.concatenate([m for *_, m in got]))
 
     # ---- texts
 
@@ -367,8 +370,8 @@ class Words:
 
 @functools.cache
 def _parts(path: str):
-    """Of a tokenizer that parts words at blanks: which tokens end a word, the model alone for
-    lower-case ASCII words and for composed words of letters, and a sign that is one token with its id."""
+    """Of a tokenizer that parts words at blanks: which tokens end a word, the model without the parts that
+    change nothing in composed words of letters, and a sign that is one token with its id."""
     from tokenizers import Tokenizer
 
     t = tokenizer(path)
@@ -377,11 +380,10 @@ def _parts(path: str):
     ends = np.zeros(max(vocabulary.values()) + 1, bool)
     ends[[i for w, i in vocabulary.items() if w.endswith(d["model"]["end_of_word_suffix"])]] = True
     blanks, level = {"type": "WhitespaceSplit"}, [x for x in d["pre_tokenizer"].get("pretokenizers", []) if x["type"] == "ByteLevel"]
-    ascii_ = Tokenizer.from_str(json.dumps(d | {"normalizer": None, "pre_tokenizer": blanks, "added_tokens": []}))
     composed = Tokenizer.from_str(json.dumps(d | {"normalizer": {"type": "Lowercase"}, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [blanks, *level]}, "added_tokens": []}))
     one = ((c.encode(), t.encode(c, add_special_tokens=False).ids) for c in "^~|`\\")
     sign = next((c, ids[0]) for c, ids in one if len(ids) == 1)
-    return ends, ascii_, composed, sign
+    return ends, composed, sign
 
 
 FILE_DDL = "part int, seq int, n_docs long, n_ids long, n_bytes long, path string"
@@ -423,6 +425,8 @@ def _pack(path: str, folder: str, bits: int, end_id: int, file_ids: int, by_word
                 at += len(texts)
         if docs:
             yield write()
+        b = ids = None
+        U.release()
 
     return pack
 
