@@ -453,9 +453,9 @@ def contexts(spark, d):
     return assign.merge_context(fifth(spark, d), assigned(spark, d).select("sample_id", "neuron_id"), cb, 0.25)
 
 
-@query("wmc_context", f"WITH {CONTEXT} SELECT src, pos, round(v, 6) AS v FROM ct")
+@query("wmc_context", f"WITH {CONTEXT} SELECT src, pos, round(v, 6) + 0.0 AS v FROM ct")
 def wmc_context(spark, d):
-    return vector_rows(contexts(spark, d), "src", "context")
+    return vector_rows(contexts(spark, d), "src", "context").withColumn("v", F.col("v") + 0.0)  # no -0
 
 
 @query("wmc_assign", f"WITH {CONTEXT}, cl AS (SELECT src, list(v ORDER BY pos) AS c FROM ct GROUP BY src), q AS (SELECT sample_id, neuron_id, 0.6 * list_distance(x, w) + 0.4 * list_distance(c, list_transform(w, lambda v: 0.0::DOUBLE)) AS dist FROM vec JOIN cl ON src = sample_id, cb) SELECT sample_id, neuron_id, round(dist, 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY dist, neuron_id) AS k FROM q) WHERE k = 1")

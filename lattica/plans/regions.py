@@ -333,15 +333,16 @@ query("growing_som_fit")(lambda spark, d: train.fit(samples(spark, d), _grown, [
 
 
 def _over_series(name, kernel):
-    """Trains on the generated series, in one task: order is what these networks learn."""
+    """Trains a network on the events of each user, in their order, which is what these networks learn."""
 
     def run(spark, d):
-        def work(batches):
-            for _ in batches:
-                w = kernel(synth.mackey_glass(1_000)[200:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(w)), pa.int64()), pa.array(w.tolist(), pa.list_(pa.float64()))], names=["neuron_id", "w"])
+        def work(key, table):
+            t = table.sort_by([("ts", "ascending"), ("event_id", "ascending")])
+            w = kernel(t["value"].to_numpy()[:, None])
+            return pa.table({"series": pa.array([key[0].as_py()] * len(w), pa.int64()), "neuron_id": pa.array(range(len(w)), pa.int64()), "w": pa.array(w.tolist(), pa.list_(pa.float64()))})
 
-        return spark.range(1, numPartitions=1).mapInArrow(work, "neuron_id long, w array<double>")
+        events = T.read(spark, d, "events").select(F.col("user_id").cast("long").alias("series"), "ts", "event_id", "value").where("value is not null")
+        return events.groupBy("series").applyInArrow(work, "series long, neuron_id long, w array<double>")
 
     query(name)(run)
 

@@ -16,8 +16,11 @@ def vec(spark, d) -> DataFrame:
 
 
 def codebook(spark, d, n: int = 25, side: int = 5) -> DataFrame:
-    i = F.col("sample_id")
-    return vec(spark, d).where(i < n).select(i.alias("neuron_id"), F.floor(i / side).cast("int").alias("gx"), (i % side).cast("int").alias("gy"), F.col("x").alias("w"), "f", "g")
+    """n neurons on a grid: the means of all vectors whose number has the same remainder."""
+    i = F.col("neuron_id")
+    part = vec(spark, d).select((F.col("sample_id") % n).alias("neuron_id"), F.posexplode("x").alias("pos", "v")).groupBy("neuron_id", "pos").agg(F.avg("v").alias("v"))
+    w = part.groupBy("neuron_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("w"))
+    return w.select(i, F.floor(i / side).cast("int").alias("gx"), (i % side).cast("int").alias("gy"), "w", F.slice("w", 3, 62).alias("f"), F.slice("w", 1, 2).alias("g"))
 
 
 def clusters(spark, d) -> DataFrame:
@@ -55,7 +58,8 @@ def parts(spark, d) -> DataFrame:
 
 
 VEC = """vec AS (SELECT vec_id AS sample_id, embedding::DOUBLE[] AS x, (embedding::DOUBLE[])[3:64] AS f, (embedding::DOUBLE[])[1:2] AS g, label FROM embeddings)"""
-CB = VEC + """, cb AS (SELECT sample_id AS neuron_id, sample_id // 5 AS gx, sample_id % 5 AS gy, x AS w, f, g FROM vec WHERE sample_id < 25)"""
+CB = VEC + """, cw AS (SELECT neuron_id, list(v ORDER BY pos) AS w FROM (SELECT sample_id % 25 AS neuron_id, pos, avg(v) AS v FROM (SELECT sample_id, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM vec) GROUP BY ALL) GROUP BY neuron_id),
+cb AS (SELECT neuron_id, neuron_id // 5 AS gx, neuron_id % 5 AS gy, w, w[3:64] AS f, w[1:2] AS g FROM cw)"""
 ASSIGN = CB + """, r AS (SELECT sample_id, label, neuron_id, list_distance(vec.x, cb.w) AS dist, row_number() OVER (PARTITION BY sample_id ORDER BY list_distance(vec.x, cb.w), neuron_id) AS rank FROM vec, cb)"""
 PAIRS = CB + """, np AS (SELECT a.neuron_id AS n0, b.neuron_id AS n1, (abs(a.gx-b.gx)+abs(a.gy-b.gy))::DOUBLE AS hops, list_distance(a.w, b.w) AS dist, a.gx AS x0, a.gy AS y0, b.gx AS x1, b.gy AS y1 FROM cb a JOIN cb b ON a.neuron_id < b.neuron_id),
 adj AS (SELECT n0 AS neuron_id, dist FROM np WHERE hops = 1 UNION ALL SELECT n1, dist FROM np WHERE hops = 1)"""

@@ -47,7 +47,7 @@ def test_kmeans_runs_until_it_settles(spark, sf, monkeypatch):
     start = spark.createDataFrame([(i, [float(i)]) for i in range(4)], "neuron_id long, w array<double>")  # 16 rounds
     monkeypatch.setattr(models, "samples", lambda spark, d: rows)
     monkeypatch.setattr(models.T, "codebook", lambda spark, d: start)
-    w = np.array(sorted(r.w[0] for r in models.QUERIES["kmeans"](spark, sf).collect()))
+    w = np.array(sorted(r.w for r in models.QUERIES["kmeans"](spark, sf).collect()))
     best = abs(x[:, None] - w).argmin(axis=1)
     assert max(abs(x[best == k].mean() - w[k]) for k in range(4)) <= 1e-5
     with pytest.raises(RuntimeError, match="settle"):
