@@ -183,19 +183,35 @@ for _l in cluster.LINKAGES:
 _hac("hac_constrained", "ward", True)
 
 
-def _labels(name, label):
+def _cut(k: int) -> str:
+    """SQL of the clusters that are left of the 25 neurons when k are: each follows its merges up."""
+    return _merges("ward", False).replace("SELECT DISTINCT it - 1 AS age, l AS left_id, r AS right_id, round(c, 6) AS cost FROM t WHERE it > 0", f""", g AS (SELECT DISTINCT it - 1 AS age, l, r FROM t WHERE it BETWEEN 1 AND {25 - k}),
+up AS (SELECT neuron_id, neuron_id AS node FROM cb UNION ALL SELECT up.neuron_id, 25 + g.age FROM up JOIN g ON node IN (g.l, g.r)),
+top AS (SELECT neuron_id, max(node) AS node FROM up GROUP BY neuron_id)
+SELECT neuron_id, dense_rank() OVER (ORDER BY first) - 1 AS cluster_id FROM (SELECT neuron_id, min(neuron_id) OVER (PARTITION BY node) AS first FROM top)""")
+
+
+def _labels(name, label, sql=None):
     def work(ids, x, pos):
         return {"neuron_id": pa.array(ids, pa.int64()), "cluster_id": pa.array(label(x, pos).tolist(), pa.int64())}
 
-    query(name)(lambda spark, d: problem(spark, d, work, "neuron_id long, cluster_id long"))
+    query(name, sql)(lambda spark, d: problem(spark, d, work, "neuron_id long, cluster_id long"))
 
 
-_labels("cut_tree", lambda x, pos: cluster.cut_tree(len(x), cluster.tree(x, "ward"), 5))
+_labels("cut_tree", lambda x, pos: cluster.cut_tree(len(x), cluster.tree(x, "ward"), 5), _cut(5))
 _labels("skater", lambda x, pos: cluster.cut_edges(x, cluster.spanning(x, cluster.grid_edges(pos)), 5, 2))
 _labels("redcap", lambda x, pos: cluster.cut_edges(x, cluster.merge_edges(x, cluster.grid_edges(pos), "ward"), 5))
 
 
-@query("greedy_modularity")
+@query("greedy_modularity", f"""WITH RECURSIVE {T.TRADE}, e AS (SELECT src, dst, w / (SELECT sum(w) FROM trade WHERE src <> dst) AS w FROM trade WHERE src <> dst), k AS (SELECT src, sum(w) AS k FROM e GROUP BY src),
+t AS (SELECT 0 AS it, src AS a, dst AS b, w AS s, i.k AS ka, j.k AS kb, NULL::BIGINT AS l, NULL::BIGINT AS r FROM e JOIN k i USING (src) JOIN k j ON j.src = dst WHERE e.src < e.dst
+UNION ALL SELECT it + 1, least(a, b), greatest(a, b), sum(s), max(CASE WHEN a < b THEN ka ELSE kb END), max(CASE WHEN a < b THEN kb ELSE ka END), any_value(l), any_value(r) FROM (
+WITH m AS (SELECT a AS l, b AS r, ka + kb AS km, it FROM t WHERE a <> b AND 2 * s - 2 * ka * kb > 0 ORDER BY 2 * s - 2 * ka * kb DESC, a, b LIMIT 1)
+SELECT m.it, CASE WHEN a = r THEN l ELSE a END AS a, CASE WHEN b = r THEN l ELSE b END AS b, s, CASE WHEN a IN (m.l, m.r) THEN km ELSE ka END AS ka, CASE WHEN b IN (m.l, m.r) THEN km ELSE kb END AS kb, m.l, m.r FROM m, (SELECT a, b, s, ka, kb FROM t) x WHERE NOT (a = m.l AND b = m.r)
+UNION ALL SELECT it, -1, -1, 0, 0, 0, l, r FROM m) GROUP BY it, least(a, b), greatest(a, b)),
+g AS (SELECT DISTINCT it, l, r FROM t WHERE it > 0), up AS (SELECT src AS id, src AS node FROM k UNION ALL SELECT id, l FROM up JOIN g ON r = node),
+top AS (SELECT id, min(node) AS node FROM up GROUP BY id)
+SELECT id, (dense_rank() OVER (ORDER BY node) - 1)::BIGINT AS module FROM top""")
 def greedy_modularity(spark, d):
     t = T.trade(spark, d).withColumn("one", F.lit(1))
 
