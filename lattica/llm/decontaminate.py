@@ -152,6 +152,8 @@ def _scan(windows, keep: list[str], item_type: pa.DataType):
             items = [sorted({*o, *n}, key=lambda x: (x is None, x)) for o, n in zip(old_items, items, strict=True)]
             cols = [b.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n_words, pa.int64()), pa.array(hits, HITS), pa.array(items, pa.list_(item_type))], names=[*keep, "_n_words", "_hits", "_items"])
+        b = texts = words = cols = hits = items = old_hits = old_items = None
+        U.release()
 
     return scan
 
@@ -178,15 +180,26 @@ def blocks_of(benchmark: DataFrame, block_bytes: int):
 
 def scan(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, block_bytes: int = 8 << 20) -> DataFrame:
     """``docs`` with _n_words, _hits (positions of hit words) and _items (item_ids found)."""
+    return _passes(docs, benchmark, width, block_bytes, None)
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame, width: int, block_bytes: int, last) -> DataFrame:
+    """A pass over ``docs`` for each block of the benchmark; ``last`` is done with the batches of the last one."""
     spark = docs.sparkSession
     keep = [c for c in docs.columns if c not in ("_n_words", "_hits", "_items")]
     kind = benchmark.schema["item_id"].dataType
     out = docs.select(*(f"`{c}`" for c in keep), F.array().cast("array<long>").alias("_hits"), F.array().cast(T.ArrayType(kind)).alias("_items"))
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("_n_words", T.LongType()), T.StructField("_hits", T.ArrayType(T.LongType())), T.StructField("_items", T.ArrayType(kind))])
-    for k, items in enumerate(blocks_of(benchmark, block_bytes)):
-        if k:
+    blocks = blocks_of(benchmark, block_bytes)
+    items = next(blocks)
+    while items is not None:
+        held, items = spark.sparkContext.broadcast(WindowSet(items, width)), next(blocks, None)
+        one = _scan(held, keep, to_arrow_type(kind))
+        if items is None and last is not None:
+            return out.mapInArrow(lambda batches, one=one: last(one(batches)), docs.select(*keep).schema)
+        out = out.mapInArrow(one, schema)
+        if items is not None:
             out = U.materialize(out, "scan")
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(WindowSet(items, width)), keep, to_arrow_type(kind)), schema)
     return out
 
 
@@ -201,36 +214,39 @@ def report(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.col("_n_words").alias("n_words"), F.size("_hits").cast("long").alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), contaminated().alias("contaminated"))
 
 
-def _cut(column: list[str]):
+def _cleaned(columns: list[str]):
+    """Batches of scanned documents without contaminated ones, with hit words cut out of the others' texts."""
+
     def run(batches):
         for b in batches:
-            at = b.schema.get_field_index("text")
-            texts = b.column(at).to_pylist()
-            for i, h in enumerate(b.column("_hits").to_pylist()):
-                if h:
-                    texts[i] = cut(texts[i].encode(), set(h)).decode()
-            b = b.set_column(at, "text", pa.array(texts, b.column(at).type))
-            yield b.select(column)
+            hits, n_words = b.column("_hits").to_pylist(), b.column("_n_words").to_pylist()
+            stay = [i for i, (h, n) in enumerate(zip(hits, n_words, strict=True)) if not h or 20 * len(h) < n]
+            b = b.take(pa.array(stay, pa.int64()))
+            touched = [i for i, k in enumerate(stay) if hits[k]]
+            if touched:
+                at = b.schema.get_field_index("text")
+                texts = b.column(at).to_pylist()
+                for i in touched:
+                    texts[i] = cut(texts[i].encode(), set(hits[stay[i]])).decode()
+                b = b.set_column(at, b.schema.field(at), pa.array(texts, b.column(at).type))
+                if "n_chars" in columns:
+                    at = b.schema.get_field_index("n_chars")
+                    counts = b.column(at).to_pylist()
+                    for i in touched:
+                        counts[i] = len(texts[i])
+                    b = b.set_column(at, b.schema.field(at), pa.array(counts, b.column(at).type))
+            yield b.select(columns)
 
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, block_bytes: int = 8 << 20) -> DataFrame:
     """``docs`` without contaminated documents, and without hit spans in the others.
 
     ``n_chars`` is counted anew where the text was cut; a document without hits stays as it is.
-    Further columns are kept, whatever their names.
+    Further columns are kept, whatever their names. A document is read and cut in one pass.
     """
-
-    def cleaned(docs):
-        found = scan(docs, benchmark, **options).where(~contaminated())
-        out = found.mapInArrow(_cut([*docs.columns, "_hits"]), T.StructType([*docs.schema, found.schema["_hits"]]))
-        if "n_chars" in docs.columns:
-            kind = docs.schema["n_chars"].dataType
-            out = out.withColumn("n_chars", F.when(F.size("_hits") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-        return out.drop("_hits")
-
-    return U.sheltered(docs, cleaned)
+    return U.sheltered(docs, lambda d: _passes(d, benchmark, width, block_bytes, _cleaned(d.columns)))
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
