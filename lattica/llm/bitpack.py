@@ -128,7 +128,7 @@ def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
 # ---------------------------------------------------------------- tokens
 
 _TOKENIZERS: dict[str, object] = {}
-CACHE_WORDS = 800_000  # about 60 bytes each
+CACHE_WORDS = 400_000  # about 60 bytes each, held by a worker from task to task
 
 
 def tokenizer(path: str):
@@ -230,8 +230,8 @@ class Words:
     commas that end a word after an ASCII letter count as a word (such a tokenizer parts letters
     from other signs). Words are found and looked up by hashes, many at a time, and each is
     encoded once and kept; a full table is emptied, which only costs work. New words are encoded
-    many at a time: composed words of letters by the same model without the parts that change
-    nothing in them, their ids told apart by the tokens that end a word; others parted by a sign that is one token of its own. What doesn't come out even, or
+    many at a time: lower-case ASCII words and composed words of letters by the same model without
+    the parts that change nothing in them, their ids told apart by the tokens that end a word; others parted by a sign that is one token of its own. What doesn't come out even, or
     holds that sign, is encoded singly.
     """
 
@@ -242,7 +242,7 @@ class Words:
             raise ValueError("this tokenizer's ids are not those of its words in turn")
         self.by_words = apt if by_words is None else by_words
         if self.by_words:
-            self.ends, self.composed, self.sign = _parts(path)
+            self.ends, self.ascii, self.composed, self.sign = _parts(path)
             self.known = _KNOWN.setdefault(path, Known())
 
     # ---- new words
@@ -287,9 +287,9 @@ class Words:
                 (alone if self.sign[0] in w else rest).append(i)
         texts = lambda at: [words[i] for i in at]
         composed = unicodedata.is_normalized("NFC", b" ".join(texts(other)).decode())
-        for at, coder, sign in ((plain, self.composed, b""), (other, self.composed if composed else self.tokenizer, b""), (rest, self.tokenizer, self.sign[0])):
+        for at, coder, sign in ((plain, self.ascii, b""), (other, self.composed if composed else self.tokenizer, b""), (rest, self.tokenizer, self.sign[0])):
             if at:
-                got.append((at, *self.grouped(texts(at), coder, sign)))
+                got.append((at, *self.grouped([w.lower() for w in texts(at)] if at is plain else texts(at), coder, sign)))
         if alone:
             one = self.single(texts(alone))
             many = np.array([len(x) for x in one])
@@ -370,20 +370,25 @@ class Words:
 
 @functools.cache
 def _parts(path: str):
-    """Of a tokenizer that parts words at blanks: which tokens end a word, the model without the parts that
-    change nothing in composed words of letters, and a sign that is one token with its id."""
-    from tokenizers import Tokenizer
+    """Of a tokenizer that parts words at blanks: which tokens end a word, its model (not a copy) without the
+    parts that change nothing in lower-case ASCII words and in composed words of letters, and a sign
+    that is one token with its id."""
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
     t = tokenizer(path)
     d = json.loads(t.to_str())
     vocabulary = t.get_vocab()
     ends = np.zeros(max(vocabulary.values()) + 1, bool)
     ends[[i for w, i in vocabulary.items() if w.endswith(d["model"]["end_of_word_suffix"])]] = True
-    blanks, level = {"type": "WhitespaceSplit"}, [x for x in d["pre_tokenizer"].get("pretokenizers", []) if x["type"] == "ByteLevel"]
-    composed = Tokenizer.from_str(json.dumps(d | {"normalizer": {"type": "Lowercase"}, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [blanks, *level]}, "added_tokens": []}))
+    ascii_, composed = Tokenizer(t.model), Tokenizer(t.model)
+    blanks = pre_tokenizers.WhitespaceSplit()
+    level = any(x["type"] == "ByteLevel" for x in d["pre_tokenizer"].get("pretokenizers", []))
+    ascii_.pre_tokenizer = blanks
+    composed.normalizer = normalizers.Lowercase()
+    composed.pre_tokenizer = pre_tokenizers.Sequence([blanks, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]) if level else blanks
     one = ((c.encode(), t.encode(c, add_special_tokens=False).ids) for c in "^~|`\\")
     sign = next((c, ids[0]) for c, ids in one if len(ids) == 1)
-    return ends, composed, sign
+    return ends, ascii_, composed, sign
 
 
 FILE_DDL = "part int, seq int, n_docs long, n_ids long, n_bytes long, path string"
