@@ -169,17 +169,22 @@ def bands(spark):
     return grid_cells(spark).select("id", (F.floor(F.col("j") / 3) % 2).alias("cluster"))
 
 
-@query("contiguous_parts", f"WITH {T.CELLS} SELECT id, (j // 3) % 2 AS cluster, (j // 3) * 3 AS part FROM cells")
+#: Connected parts of the bands, by reachability inside of each.
+PARTS = f"""WITH RECURSIVE {T.CELLS}, b AS (SELECT id, i, j, (j // 3) % 2 AS cluster FROM cells), l AS (SELECT x.id AS src, y.id AS dst FROM b x JOIN b y ON abs(x.i - y.i) + abs(x.j - y.j) = 1 AND x.cluster = y.cluster),
+reach AS (SELECT id, id AS node FROM b UNION SELECT reach.id, dst FROM reach JOIN l ON src = node), parts AS (SELECT id, cluster, min(node) AS part FROM reach JOIN b USING (id) GROUP BY ALL)"""
+
+
+@query("contiguous_parts", PARTS + " SELECT id, cluster, part FROM parts")
 def contiguous_parts(spark, d):
     return region.contiguous_parts(rook(spark), bands(spark))
 
 
-@query("is_contiguous", "SELECT * FROM (VALUES (0::BIGINT, false), (1::BIGINT, true)) t(cluster, contiguous)")
+@query("is_contiguous", PARTS + " SELECT cluster, min(part) = max(part) AS contiguous FROM parts GROUP BY cluster")
 def is_contiguous(spark, d):
     return region.is_contiguous(contiguous_parts(spark, d))
 
 
-@query("compact_clusters", "SELECT 1::BIGINT AS n")
+@query("compact_clusters", PARTS + " SELECT count(*) FILTER (contiguous) AS n FROM (SELECT cluster, min(part) = max(part) AS contiguous FROM parts GROUP BY cluster)")
 def compact_clusters(spark, d):
     return is_contiguous(spark, d).agg(F.count_if("contiguous").alias("n"))
 
