@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lattica import catalog
 from lattica.functions import vector as V
 from lattica.operators import assign, blocks, cluster, frame, graph, synth, train, weights
 from lattica.plans import models
@@ -367,3 +368,25 @@ def test_nearest_of_few(spark):
     df = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 0.0)], "sample_id long, px double, py double")
     assert sorted((r.src, r.dst) for r in blocks.knn_plane(df, 3).collect()) == [(1, 2), (2, 1)]
     assert blocks.knn_plane(df.limit(0), 3).count() == 0
+
+
+@pytest.mark.parametrize("name", ["som_fit", "ng_fit", "cng_fit", "gng_fit", "growing_som_fit"])
+def test_registered_training_fits_the_samples(spark, sf, name):
+    x = np.array([r.x for r in models.samples(spark, sf).collect()])
+    qe = lambda w: np.sqrt(((x[:, None] - w[None]) ** 2).sum(axis=2)).min(axis=1).mean()
+    runs = {}
+    for r in catalog.queries()[name](spark, sf).collect():
+        runs.setdefault(r.run, []).append(r.w)
+    assert len(runs) >= 2
+    for w in map(np.array, runs.values()):
+        assert np.isfinite(w).all() and (w >= x.min(axis=0) - 1e-6).all() and (w <= x.max(axis=0) + 1e-6).all()
+        assert len(w) > 4 and qe(w) < 0.95 * qe(x.mean(axis=0)[None])
+
+
+@pytest.mark.parametrize(("name", "width"), [("tkm_fit", 1), ("rsom_fit", 1), ("mng_fit", 2), ("msom_fit", 2)])
+def test_registered_series_are_learnt_one_by_one(spark, sf, name, width):
+    events = spark.read.parquet(f"{sf}/events.parquet").where("value is not null")
+    ends = {r.user_id: (r.a, r.b) for r in events.groupBy("user_id").agg(F.min("value").alias("a"), F.max("value").alias("b")).collect()}
+    rows = catalog.queries()[name](spark, sf).collect()
+    assert {r.series for r in rows} == set(ends) and len(rows) == 25 * len(ends)
+    assert all(len(r.w) == width and ends[r.series][0] - 1e-6 <= r.w[0] <= ends[r.series][1] + 1e-6 for r in rows)
