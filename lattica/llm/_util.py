@@ -19,10 +19,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: ASCII white space, as in ``[\x20\x09-\x0D]``; ``bytes.split()`` uses the same set.
-SPACE_RE = r"[\x20\x09-\x0D]+"
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only in a session without executors of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -107,10 +103,6 @@ def sheltered(docs: DataFrame, f) -> DataFrame:
     return out.withColumnsRenamed({v: k for k, v in other.items()}) if other else out
 
 
-def text_bytes(df: DataFrame, column: str = "text") -> int:
-    return int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)
-
-
 def with_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     """Dense positions 0.. in the order of ``order``, without a single-task sort.
 

@@ -85,12 +85,12 @@ def keys_of(data: np.ndarray, lengths: np.ndarray, depth: int) -> np.ndarray:
     return key
 
 
-def slices(texts: list[bytes], most: int = 1 << 21):
-    """Ranges of texts of about ``most`` bytes, at least one text each."""
+def slices(texts: list[bytes], most: int = 1 << 21, docs: int = 65536):
+    """Ranges of at most ``docs`` texts of about ``most`` bytes, at least one text each."""
     i = 0
     while i < len(texts):
         j, n = i, 0
-        while j < len(texts) and (j == i or n + len(texts[j]) <= most):
+        while j < len(texts) and j - i < docs and (j == i or n + len(texts[j]) <= most):
             n += len(texts[j]) + 1
             j += 1
         yield i, j
@@ -99,15 +99,9 @@ def slices(texts: list[bytes], most: int = 1 << 21):
 
 def batches(texts: list[bytes], depth: int, most: int = 1 << 21):
     """(first document, document number of each key, keys), over at most 65,536 documents each."""
-    i = 0
-    while i < len(texts):
-        j, n = i, 0
-        while j < len(texts) and j - i < 65536 and (j == i or n + len(texts[j]) <= most):
-            n += len(texts[j]) + 1
-            j += 1
+    for i, j in slices(texts, most):
         data, lengths = stream(texts[i:j], depth)
         yield i, lengths, keys_of(data, lengths, depth)
-        i = j
 
 
 def runs(sorted_keys: np.ndarray) -> np.ndarray:

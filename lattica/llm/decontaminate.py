@@ -18,7 +18,6 @@ nothing is hit, and an empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from itertools import repeat
 

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.llm import _util, bitpack, chat, ctw, cws, decontaminate, merkle, ngram_join, quality, vectorbins
+from lattica.llm import _util, chat, ctw, cws, decontaminate, merkle, ngram_join, quality, vectorbins
 
 LONG = " ".join(f"w{i % 97}x{i}" for i in range(3000))
 ROWS = [
