@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
-from ..operators import assign, cluster, graph, palette, project, region, reshape, synth, train, validate, weights
+from ..operators import assign, cluster, graph, palette, project, region, reshape, train, validate, weights
 from ..sources import shape
 from ..streaming import stateful
 from . import tables as T
