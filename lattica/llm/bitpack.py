@@ -128,7 +128,7 @@ def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
 # ---------------------------------------------------------------- tokens
 
 _TOKENIZERS: dict[str, object] = {}
-CACHE_WORDS = 400_000  # about 60 bytes each, held by a worker from task to task
+CACHE_WORDS = 800_000  # about 40 bytes each, held by a worker from task to task
 
 
 def tokenizer(path: str):
