@@ -279,3 +279,35 @@ def test_totals_in_parts(spark):
     edges = spark.createDataFrame([(0, i) for i in range(1, 300)] + [(i, 999) for i in range(400, 700)] + [(10_000, 10_001)], "a long, b long")
     roots = {r.node: r.root for r in _util.components(edges).collect()}
     assert all(roots[i] == 0 for i in range(300)) and all(roots[i] == 400 for i in [*range(400, 700), 999]) and roots[10_001] == 10_000
+
+
+@pytest.fixture(scope="module")
+def long(spark):
+    """One text of two megabytes, a copy of it with a few other words, and a short one."""
+    words = [f"w{i % 9973}x{i % 7}" for i in range(300_000)]
+    return spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:-3], "three", "other", "words"])), (3, "short one")], "doc_id long, text string")
+
+
+def test_very_long_texts(long, spark):
+    scored = {r.doc_id: r for r in ctw.score_documents(long.withColumn("train", F.lit(True)), least_chunks=2, buckets=8).collect()}
+    assert scored[1].n_tokens == 300_001 and 0 < scored[1].bits_per_byte < scored[3].bits_per_byte
+    assert {r.doc_id: r.component_id for r in ngram_join.classes(long, least_buckets=2).collect()} == {1: 1, 2: 1, 3: 3}
+    assert {r.doc_id for r in ngram_join.dedupe(long).collect()} == {1, 3}
+    bench = spark.createDataFrame([(7, "three other words"), (8, " ".join(f"w{i}x{i % 7}" for i in range(500, 520)))], "item_id long, text string")
+    found = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.report(decontaminate.scan(long, bench)).collect()}
+    assert found[1][0] == 300_000 and found[2][2] == 2 and found[2][1] == found[1][1] + 3 and found[3] == (2, 0, 0)
+    assert {r.doc_id: r.shard for r in vectorbins.shard(long, 2).collect()}.keys() == {1, 2, 3}
+    weights = quality.train(long, spark.createDataFrame([(1, 0), (3, 1)], "doc_id long, quality int"), bits=12)
+    assert {r.doc_id: r._score > 0.5 for r in quality.score(long, weights, bits=12).collect()} == {1: False, 2: False, 3: True}
+    turns = long.select(F.lit(1).cast("long").alias("conv_id"), F.col("doc_id").alias("turn"), F.lit("assistant").alias("role"), "text")
+    row = chat.read_back(chat.windows(turns)).first()
+    assert row.n_turns == 3 and row.loss_chars == sum(len(r.text) for r in long.collect())
+
+
+def test_extra_columns_of_any_name(docs):
+    names = ["train", "chunk", "vals", "_id", "_h", "_text", "_sig", "size", "shard", "sid", "h", "bucket", "_tie", "turns", "idx"]
+    wide = docs.select("*", *(F.lit(i).alias(c) for i, c in enumerate(names)))
+    assert cws.compare(wide).count() == vectorbins.shard(wide, 2).count() == ngram_join.classes(wide, least_buckets=2).count() == len(ROWS)
+    assert ctw.score_documents(wide.withColumn("train", F.lit(True)), least_chunks=2, buckets=4).count() == len(ROWS)
+    turns = wide.select("*", F.col("doc_id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("user").alias("role"))
+    assert chat.windows(turns).count() == len({d for d, _ in ROWS})
