@@ -12,16 +12,37 @@ from .graph import cut
 from .reshape import numbered
 
 
-def radius_pairs(points: DataFrame, radius: float) -> DataFrame:
-    """Pairs of ``points(id, px, py)`` within ``radius``: (src, dst, dist). Points meet in cells of
-    the radius' size, so each is compared with nine cells only."""
-    cell = lambda c: F.floor(F.col(c) / radius).cast("long")
+#: Ids in an array of ``radius_groups`` at most, so that no row grows with the copies of a point.
+MEMBERS = 1024
+
+
+def radius_groups(points: DataFrame, radius: float) -> DataFrame:
+    """``radius_pairs`` before points of equal coordinates are told apart: (src, dst, dist, lo, hi), dst an
+    array of ids at one place, lo and hi the least and greatest of it; ``members`` makes pairs of it. Points
+    meet in cells a little wider than the radius, so each is compared with the places of nine cells only, and
+    rounding at a border loses none. The nine copies must not be broadcast: Spark takes them for one."""
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cell = lambda c: F.floor(F.col(c) / (radius * (1 + 1e-6))).cast("long")
     a = points.select(F.col("id").alias("src"), F.col("px").alias("ax"), F.col("py").alias("ay"), cell("px").alias("cx"), cell("py").alias("cy"))
+    places = points.groupBy("px", "py").agg(F.collect_list("id").alias("ids")).where(F.size("ids") > 0)
+    some = F.transform(F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / MEMBERS).cast("int")), lambda k: F.slice("ids", k * MEMBERS + 1, MEMBERS))
+    b = places.select("px", "py", F.explode(some).alias("dst"))
     step = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    b = points.select(F.col("id").alias("dst"), F.col("px").alias("bx"), F.col("py").alias("by"), cell("px").alias("x"), cell("py").alias("y"), step.alias("s"))
-    b = b.select("dst", "bx", "by", (F.col("x") + F.col("s.i")).alias("cx"), (F.col("y") + F.col("s.j")).alias("cy"))
-    d = F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2)
-    return a.join(b, ["cx", "cy"]).where("src <> dst").withColumn("dist", d).where(F.col("dist") <= radius).select("src", "dst", "dist")
+    b = b.select("dst", F.array_min("dst").alias("lo"), F.array_max("dst").alias("hi"), F.col("px").alias("bx"), F.col("py").alias("by"), cell("px").alias("x"), cell("py").alias("y"), step.alias("s"))
+    b = b.select("dst", "lo", "hi", "bx", "by", (F.col("x") + F.col("s.i")).alias("cx"), (F.col("y") + F.col("s.j")).alias("cy"))
+    dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
+    met = a.repartition(parts, "cx", "cy").join(b.repartition(parts, "cx", "cy").hint("merge"), ["cx", "cy"]).where("src <> lo OR src <> hi")
+    return met.withColumn("dist", F.sqrt(dx * dx + dy * dy)).where(F.col("dist") <= radius).select("src", "dst", "dist", "lo", "hi")
+
+
+def members(groups: DataFrame) -> DataFrame:
+    """(src, dst, ...) for each other id in the arrays dst of ``radius_groups``."""
+    return groups.drop("lo", "hi").withColumn("dst", F.explode("dst")).where("src <> dst")
+
+
+def radius_pairs(points: DataFrame, radius: float) -> DataFrame:
+    """Pairs of ``points(id, px, py)`` within ``radius``: (src, dst, dist)."""
+    return members(radius_groups(points, radius))
 
 
 def inverse_distance(pairs: DataFrame, power: float) -> DataFrame:

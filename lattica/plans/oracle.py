@@ -227,7 +227,7 @@ def radius_join(spark, d):
 
 @query("inverse_distance", f"WITH {RADIUS} SELECT src, dst, round(1 / pow(CASE WHEN dist = 0 THEN (SELECT min(dist) FROM rp WHERE dist > 0) ELSE dist END, 2.0), 6) AS w FROM rp")
 def inverse_distance(spark, d):
-    return rounded(weights.inverse_distance(weights.radius_pairs(T.parts(spark, d), 3.0), 2.0), "w")
+    return weights.members(rounded(weights.inverse_distance(weights.radius_groups(T.parts(spark, d), 3.0), 2.0), "w"))
 
 
 def neighbours(spark, d):

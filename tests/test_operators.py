@@ -341,6 +341,31 @@ def test_watershed(spark):
     assert {r.neuron_id: r.cluster_id for r in cluster.watershed(labels, book).collect()} == {0: 10, 1: 10, 2: 11, 3: 11}
 
 
+@pytest.mark.parametrize("name", ["inverse_distance"])
+def test_radius_joins_broadcast_no_points(spark, sf, name):
+    out = catalog.queries()[name](spark, sf)
+    assert out.collect() and "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def near_points(spark):
+    """Copies of points, of ids and of both, borders of cells, and nulls; with all pairs within 3."""
+    x = [(i, i % 9 / 2, i % 5 * 1.5) for i in range(90)] + [(200, -1e-20, 50.0), (201, 3.0, 50.0), (7, 0.5, 0.0), (8, 4.0, 4.5), (8, 4.0, 4.5), (202, 99.0, 99.0), (202, 99.0, 99.0), (202, 99.5, 99.0)]
+    pairs = sorted((i, j, d) for i, a, b in x for j, p, q in x if i != j and (d := float(np.sqrt((a - p) ** 2 + (b - q) ** 2))) <= 3.0)
+    return spark.createDataFrame([*x, (300, None, 1.0), (301, 1.0, None), (None, 1.0, 1.5)], "id long, px double, py double").repartition(3), pairs
+
+
+@pytest.mark.parametrize("most", [4, 1024])
+def test_radius_groups_hold_all_pairs(spark, monkeypatch, most):
+    monkeypatch.setattr(weights, "MEMBERS", most)
+    df, pairs = near_points(spark)
+    groups = weights.radius_groups(df, 3.0)
+    assert groups.where(F.size("dst") > most).isEmpty() and (200, 201, 3.0) in pairs
+    assert sorted(map(tuple, weights.radius_pairs(df, 3.0).collect())) == pairs
+    low = min(d for *_, d in pairs if d)
+    got = weights.members(weights.inverse_distance(groups, 2.0)).collect()
+    assert sorted((r.src, r.dst, round(r.w, 9)) for r in got) == sorted((i, j, round((d or low) ** -2, 9)) for i, j, d in pairs)
+
+
 @pytest.mark.parametrize("kind", ["spread", "clumps", "line", "same"])
 def test_nearest_in_the_plane_are_exact(spark, kind):
     n = 700
