@@ -222,7 +222,7 @@ RADIUS = "rp AS (SELECT a.p_partkey AS src, b.p_partkey AS dst, sqrt((a.p_size -
 
 @query("radius_join", f"WITH {RADIUS} SELECT src, dst, round(dist, 6) AS dist FROM rp")
 def radius_join(spark, d):
-    return rounded(weights.radius_pairs(T.parts(spark, d), 3.0), "dist")
+    return weights.members(rounded(weights.radius_groups(T.parts(spark, d), 3.0), "dist"))
 
 
 @query("inverse_distance", f"WITH {RADIUS} SELECT src, dst, round(1 / pow(CASE WHEN dist = 0 THEN (SELECT min(dist) FROM rp WHERE dist > 0) ELSE dist END, 2.0), 6) AS w FROM rp")

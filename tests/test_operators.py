@@ -341,7 +341,7 @@ def test_watershed(spark):
     assert {r.neuron_id: r.cluster_id for r in cluster.watershed(labels, book).collect()} == {0: 10, 1: 10, 2: 11, 3: 11}
 
 
-@pytest.mark.parametrize("name", ["inverse_distance"])
+@pytest.mark.parametrize("name", ["inverse_distance", "radius_join"])
 def test_radius_joins_broadcast_no_points(spark, sf, name):
     out = catalog.queries()[name](spark, sf)
     assert out.collect() and "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
