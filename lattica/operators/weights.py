@@ -16,14 +16,16 @@ from .reshape import numbered
 MEMBERS = 1024
 
 
-def radius_groups(points: DataFrame, radius: float) -> DataFrame:
+def radius_groups(points: DataFrame, radius: float, sources: DataFrame | None = None) -> DataFrame:
     """``radius_pairs`` before points of equal coordinates are told apart: (src, dst, dist, lo, hi), dst an
-    array of ids at one place, lo and hi the least and greatest of it; ``members`` makes pairs of it. Points
-    meet in cells a little wider than the radius, so each is compared with the places of nine cells only, and
+    array of ids at one place, lo and hi the least and greatest of it; ``members`` makes pairs of it.
+    ``sources`` are the points whose rows are wanted, where they have more columns to keep. Points meet in cells a little wider than the radius, so each is compared with the places of nine cells only, and
     rounding at a border loses none. The nine copies must not be broadcast: Spark takes them for one."""
     parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cell = lambda c: F.floor(F.col(c) / (radius * (1 + 1e-6))).cast("long")
-    a = points.select(F.col("id").alias("src"), F.col("px").alias("ax"), F.col("py").alias("ay"), cell("px").alias("cx"), cell("py").alias("cy"))
+    own = points if sources is None else sources
+    more = [c for c in own.columns if c not in ("id", "px", "py")]
+    a = own.select(F.col("id").alias("src"), F.col("px").alias("ax"), F.col("py").alias("ay"), cell("px").alias("cx"), cell("py").alias("cy"), *more)
     places = points.groupBy("px", "py").agg(F.collect_list("id").alias("ids")).where(F.size("ids") > 0)
     some = F.transform(F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / MEMBERS).cast("int")), lambda k: F.slice("ids", k * MEMBERS + 1, MEMBERS))
     b = places.select("px", "py", F.explode(some).alias("dst"))
@@ -32,7 +34,7 @@ def radius_groups(points: DataFrame, radius: float) -> DataFrame:
     b = b.select("dst", "lo", "hi", "bx", "by", (F.col("x") + F.col("s.i")).alias("cx"), (F.col("y") + F.col("s.j")).alias("cy"))
     dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
     met = a.repartition(parts, "cx", "cy").join(b.repartition(parts, "cx", "cy").hint("merge"), ["cx", "cy"]).where("src <> lo OR src <> hi")
-    return met.withColumn("dist", F.sqrt(dx * dx + dy * dy)).where(F.col("dist") <= radius).select("src", "dst", "dist", "lo", "hi")
+    return met.withColumn("dist", F.sqrt(dx * dx + dy * dy)).where(F.col("dist") <= radius).select("src", "dst", "dist", "lo", "hi", *more)
 
 
 def members(groups: DataFrame) -> DataFrame:
@@ -56,6 +58,17 @@ def row_normalize(w: DataFrame) -> DataFrame:
     return w.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("src")))
 
 
+def row_normalize_radius(points: DataFrame, radius: float) -> DataFrame:
+    """``row_normalize`` of the positive distances of ``radius_pairs``, as (src, dst, w) for ``members``. Rows
+    are summed before places are told apart, then the points meet again with their sums, so no pair is
+    exchanged."""
+    groups = radius_groups(points, radius).where("dist > 0")
+    itself = F.when(F.col("src").between(F.col("lo"), F.col("hi")) & F.array_contains("dst", F.col("src")), F.size(F.filter("dst", lambda k: k == F.col("src")))).otherwise(0)
+    sums = groups.groupBy(F.col("src").alias("id")).agg(F.sum(F.col("dist") * (F.size("dst") - itself)).alias("total"))
+    again = radius_groups(points, radius, points.join(sums.hint("merge"), "id")).where("dist > 0")
+    return again.select("src", "dst", (F.col("dist") / F.col("total")).alias("w"))
+
+
 def lattice(points: DataFrame, rook: bool, identity: bool = False) -> DataFrame:
     """Contiguity of unit cells ``points(id, i, j)``: shared sides (rook) or also corners (queen), and
     with ``identity`` each cell beside itself."""

@@ -245,8 +245,7 @@ def knn(spark, d):
 
 @query("row_normalize", f"WITH {RADIUS} SELECT src, dst, round(dist / sum(dist) OVER (PARTITION BY src), 6) AS w FROM rp WHERE dist > 0")
 def row_normalize(spark, d):
-    p = weights.radius_pairs(T.parts(spark, d), 3.0).where("dist > 0").select("src", "dst", F.col("dist").alias("w"))
-    return rounded(weights.row_normalize(p), "w")
+    return weights.members(rounded(weights.row_normalize_radius(T.parts(spark, d), 3.0), "w"))
 
 
 @query("lattice_rook", f"WITH {T.CELLS} SELECT a.id AS src, b.id AS dst FROM cells a JOIN cells b ON abs(a.i - b.i) + abs(a.j - b.j) = 1")

@@ -341,7 +341,7 @@ def test_watershed(spark):
     assert {r.neuron_id: r.cluster_id for r in cluster.watershed(labels, book).collect()} == {0: 10, 1: 10, 2: 11, 3: 11}
 
 
-@pytest.mark.parametrize("name", ["inverse_distance", "radius_join"])
+@pytest.mark.parametrize("name", ["inverse_distance", "radius_join", "row_normalize"])
 def test_radius_joins_broadcast_no_points(spark, sf, name):
     out = catalog.queries()[name](spark, sf)
     assert out.collect() and "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
@@ -366,6 +366,17 @@ def test_radius_groups_hold_all_pairs(spark, monkeypatch, most):
     assert sorted((r.src, r.dst, round(r.w, 9)) for r in got) == sorted((i, j, round((d or low) ** -2, 9)) for i, j, d in pairs)
 
 
+def test_rows_within_a_radius_are_normalized(spark, monkeypatch):
+    monkeypatch.setattr(weights, "MEMBERS", 4)
+    df, pairs = near_points(spark)
+    w = [(i, j, d) for i, j, d in pairs if d]
+    total = {i: sum(d for k, _, d in w if k == i) for i, *_ in w}
+    want = sorted((i, j, round(d / total[i], 9)) for i, j, d in w)
+    edges = weights.row_normalize(weights.radius_pairs(df, 3.0).where("dist > 0").withColumnRenamed("dist", "w"))
+    for got in (weights.members(weights.row_normalize_radius(df, 3.0)), edges):
+        assert sorted((r.src, r.dst, round(r.w, 9)) for r in got.collect()) == want
+
+
 @pytest.mark.parametrize("kind", ["spread", "clumps", "line", "same"])
 def test_nearest_in_the_plane_are_exact(spark, kind):
     n = 700
